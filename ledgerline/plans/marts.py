@@ -33,44 +33,16 @@ def cf_summary(spark, sf_dir):
     return finish(M.cf_summary(_wh(spark, sf_dir).cf, DRIVER_CF_PATTERNS))
 
 
-@query("doctor_kpi", S.with_fact(S.DIM_BRANCH, S.DIM_DOCTOR) + """
-SELECT CAST(date_trunc('month', t.transaction_date) AS DATE) AS year_month, t.doctor_id,
-       d.full_name AS doctor_name, d.specialization, t.branch_id, b.display_name AS branch_name,
-       CAST(SUM(t.transaction_amount) FILTER (WHERE t.operation_type = 'payment') AS DOUBLE) AS revenue,
-       COUNT(*) FILTER (WHERE t.operation_type = 'payment') AS visit_count,
-       COUNT(DISTINCT t.patient_hash) AS unique_patients,
-       COUNT(*) FILTER (WHERE t.is_primary_visit = TRUE AND t.operation_type = 'payment') AS primary_visits,
-       CAST(SUM(t.transaction_amount) FILTER (WHERE t.operation_type = 'payment') AS DOUBLE)
-         / NULLIF(COUNT(*) FILTER (WHERE t.operation_type = 'payment'), 0) AS avg_ticket,
-       CAST(SUM(t.transaction_amount) FILTER (WHERE t.operation_type = 'payment') AS DOUBLE)
-         / CAST(GREATEST(COUNT(DISTINCT t.transaction_date) FILTER (WHERE t.operation_type = 'payment'), 1) AS DOUBLE)
-         AS revenue_per_workday
-FROM fact t LEFT JOIN dim_doctor d ON t.doctor_id = d.doctor_id
-LEFT JOIN dim_branch b ON t.branch_id = b.branch_id
-WHERE t.doctor_id IS NOT NULL
-GROUP BY 1, 2, 3, 4, 5, 6""")
+@query("doctor_kpi", S.with_dk() + """
+SELECT year_month, doctor_id, doctor_name, specialization, branch_id, branch_name,
+       CAST(revenue AS DOUBLE) AS revenue, visit_count, unique_patients, primary_visits, avg_ticket,
+       revenue_per_workday
+FROM doctor_kpi""")
 def doctor_kpi(spark, sf_dir):
     return finish(_wh(spark, sf_dir).doctor_kpi)
 
 
-BRANCH_COMPARISON_SQL = """branch_comparison AS (
-SELECT CAST(date_trunc('month', t.transaction_date) AS DATE) AS year_month, t.branch_id,
-       b.display_name AS branch_name,
-       SUM(t.transaction_amount) FILTER (WHERE t.operation_type = 'payment') AS revenue,
-       SUM(t.transaction_amount) AS net_revenue,
-       COUNT(*) FILTER (WHERE t.operation_type = 'payment') AS payments,
-       COUNT(DISTINCT t.patient_hash) AS unique_patients,
-       COUNT(*) FILTER (WHERE t.is_primary_visit AND t.operation_type = 'payment') AS primary_visits,
-       CAST(SUM(t.transaction_amount) FILTER (WHERE t.operation_type = 'payment') AS DOUBLE)
-         / NULLIF(COUNT(*) FILTER (WHERE t.operation_type = 'payment'), 0) AS avg_ticket,
-       SUM(t.transaction_amount) FILTER (WHERE t.is_child = TRUE AND t.operation_type = 'payment') AS children_revenue,
-       SUM(t.transaction_amount) FILTER (WHERE t.is_child = FALSE AND t.operation_type = 'payment') AS adult_revenue
-FROM fact t LEFT JOIN dim_branch b ON t.branch_id = b.branch_id
-GROUP BY 1, 2, 3)"""
-BC_MONEY = ["revenue", "net_revenue", "children_revenue", "adult_revenue"]
-
-
-@query("branch_comparison", S.with_fact(S.DIM_BRANCH, BRANCH_COMPARISON_SQL) + """
+@query("branch_comparison", S.with_bc() + """
 SELECT year_month, branch_id, branch_name, CAST(revenue AS DOUBLE) AS revenue, CAST(net_revenue AS DOUBLE) AS net_revenue,
        payments, unique_patients, primary_visits, avg_ticket,
        CAST(children_revenue AS DOUBLE) AS children_revenue, CAST(adult_revenue AS DOUBLE) AS adult_revenue
@@ -79,28 +51,10 @@ def branch_comparison(spark, sf_dir):
     return finish(_wh(spark, sf_dir).branch_comparison)
 
 
-SERVICE_ECONOMICS_SQL = """service_economics AS (
-SELECT t.service_name, t.branch_id, b.display_name AS branch_name,
-       COUNT(*) FILTER (WHERE t.operation_type = 'payment') AS service_count,
-       SUM(t.transaction_amount) FILTER (WHERE t.operation_type = 'payment') AS total_revenue,
-       CAST(SUM(t.transaction_amount) FILTER (WHERE t.operation_type = 'payment') AS DOUBLE)
-         / NULLIF(COUNT(*) FILTER (WHERE t.operation_type = 'payment'), 0) AS avg_price,
-       cs.material_cost, cs.doctor_pay, cs.margin_pct, ds.category
-FROM fact t LEFT JOIN dim_branch b ON t.branch_id = b.branch_id
-LEFT JOIN costs cs ON t.service_name = cs.service_name
-LEFT JOIN dim_service ds ON t.service_name = ds.name
-WHERE t.service_name IS NOT NULL
-GROUP BY t.service_name, t.branch_id, b.display_name, cs.material_cost, cs.doctor_pay, cs.margin_pct, ds.category
-HAVING COUNT(*) FILTER (WHERE t.operation_type = 'payment') >= 5)"""
-
-
-@query("service_economics", S.with_fact(S.DIM_BRANCH, S.COSTS, S.DIM_SERVICE, SERVICE_ECONOMICS_SQL) + """
+@query("service_economics", S.with_se() + """
 SELECT service_name, branch_id, branch_name, service_count, CAST(total_revenue AS DOUBLE) AS total_revenue,
        avg_price, CAST(material_cost AS DOUBLE) AS material_cost, CAST(doctor_pay AS DOUBLE) AS doctor_pay,
        margin_pct, category
 FROM service_economics""")
 def service_economics(spark, sf_dir):
     return finish(_wh(spark, sf_dir).service_economics)
-
-
-_ = F

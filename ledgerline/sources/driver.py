@@ -46,7 +46,7 @@ DRIVER_SERVICE_DEFAULT = "Other"
 
 # Cash-flow buckets over ``o_orderpriority`` line items. Buckets overlap on
 # purpose ('4-NOT SPECIFIED' feeds two; '3-MEDIUM' feeds lab and marketing)
-# and ``it_costs`` matches nothing (NULL path).
+# and the two-letter '%IT%' pattern matches no priority by itself.
 DRIVER_CF_PATTERNS = {
     "cash_revenue": ["%urgent%"],
     "materials": ["%high%"],
@@ -55,7 +55,7 @@ DRIVER_CF_PATTERNS = {
     "payroll_assistants": ["%low%"],
     "rent": ["%specified%"],
     "marketing": ["%medium%", "%5-%"],
-    "it_costs": ["%IT%"],
+    "it_costs": ["%IT%", "%2-%"],
 }
 
 MONEY = "decimal(15,2)"
@@ -203,6 +203,12 @@ class Warehouse:
     def branches(self) -> DataFrame:
         return dim_branch(self.spark, self.sf_dir)
 
+    @property
+    def cf_lines(self) -> DataFrame:
+        """Cash-flow report input: monthly lines with branch name."""
+        names = self.branches.select("branch_id", F.col("display_name").alias("branch_name"))
+        return self.cf.join(names, "branch_id", "left")
+
     @property
     def doctors(self) -> DataFrame:
         return self._get("doctors", lambda: dim_doctor(self.spark, self.sf_dir), keep=False)
