@@ -16,7 +16,7 @@ from pyspark.sql.types import DecimalType
 _QUERIES: dict[str, Callable] = {}
 _SQL: dict[str, str] = {}
 
-_MODULES = ["marts", "reports", "planning", "ingest", "quality", "statements", "incremental"]
+_MODULES = ["marts", "reports", "planning", "quality", "ingest", "statements", "incremental"]
 
 
 def query(name: str, sql: str | None = None):
