@@ -1 +1,208 @@
-"""placeholder"""
+"""Computed staging reports (RPT-1..10) as registered queries."""
+
+from __future__ import annotations
+
+import datetime as dt
+
+from pyspark.sql import functions as F
+
+from ..operators import statements as T
+from ..sources.driver import Warehouse, read
+from .registry import query, finish
+from . import sqlbase as S
+from .sqlbase import ratio, r6, psum
+
+YEARS = (1998, 1999)
+LEDGER_PERIOD = (dt.date(1998, 1, 1), dt.date(1998, 12, 31))
+
+
+def _wh(spark, sf_dir):
+    return Warehouse.of(spark, sf_dir)
+
+
+PAYF = "FILTER (WHERE operation_type = 'payment')"
+
+
+@query("avg_ticket", S.with_fact() + f"""
+SELECT branch_id, COUNT(*) {PAYF} AS visits, CAST(SUM(transaction_amount) {PAYF} AS DOUBLE) AS revenue,
+       {ratio(f'SUM(transaction_amount) {PAYF}', f'COUNT(*) {PAYF}')} AS avg_ticket
+FROM fact GROUP BY branch_id""")
+def avg_ticket(spark, sf_dir):
+    return finish(T.avg_ticket(_wh(spark, sf_dir).fact))
+
+
+@query("ltv_procedures", S.with_fact() + f"""
+SELECT service_name, COUNT(DISTINCT patient_hash) AS clients, COUNT(*) AS procedures,
+       CAST(SUM(transaction_amount) AS DOUBLE) AS revenue, {ratio('SUM(transaction_amount)', 'COUNT(*)')} AS avg_price,
+       CAST(MIN(transaction_amount) AS DOUBLE) AS min_price, CAST(MAX(transaction_amount) AS DOUBLE) AS max_price,
+       {ratio('SUM(transaction_amount)', 'COUNT(DISTINCT patient_hash)')} AS revenue_per_client,
+       {r6(ratio('COUNT(*)', 'COUNT(DISTINCT patient_hash)'))} AS procedures_per_client
+FROM fact WHERE operation_type = 'payment' AND service_name IS NOT NULL GROUP BY service_name""")
+def ltv_procedures(spark, sf_dir):
+    return finish(T.ltv_procedures(_wh(spark, sf_dir).fact))
+
+
+@query("top_services_per_branch", S.with_fact("""g AS (SELECT branch_id, service_name, COUNT(*) AS quantity,
+  SUM(transaction_amount) AS total FROM fact WHERE operation_type = 'payment' GROUP BY branch_id, service_name),
+r AS (SELECT *, ROW_NUMBER() OVER (PARTITION BY branch_id ORDER BY total DESC, service_name ASC) AS rank FROM g)""") + f"""
+SELECT branch_id, rank, service_name, {ratio('total', 'quantity')} AS price, quantity, CAST(total AS DOUBLE) AS total
+FROM r WHERE rank <= 10""")
+def top_services_per_branch(spark, sf_dir):
+    return finish(T.top_services_per_branch(_wh(spark, sf_dir).fact, 10))
+
+
+def _yoy_lines_sql():
+    y0, y1 = YEARS
+    return S.with_cf(f"""g AS (SELECT line_item,
+    COALESCE(SUM(amount) FILTER (WHERE year(year_month) = {y0}), 0) AS amount_base,
+    COALESCE(SUM(amount) FILTER (WHERE year(year_month) = {y1}), 0) AS amount_cur
+  FROM cfl WHERE year_month BETWEEN DATE '{y0}-01-01' AND DATE '{y1}-12-31' GROUP BY line_item)""",
+                     f"""s AS (SELECT *, {ratio('amount_base', 'SUM(amount_base) OVER ()')} AS sb,
+                     {ratio('amount_cur', 'SUM(amount_cur) OVER ()')} AS sc FROM g)""") + f"""
+SELECT line_item, CAST(amount_base AS DOUBLE) AS amount_base, CAST(amount_cur AS DOUBLE) AS amount_cur,
+       {r6('sb')} AS share_base, {r6('sc')} AS share_cur, CAST(amount_cur - amount_base AS DOUBLE) AS delta,
+       {r6(f"({ratio('amount_cur', 'amount_base')} - 1.0) * 100.0")} AS delta_pct,
+       {r6('(sc - sb) * 100.0')} AS share_delta_pp FROM s"""
+
+
+@query("yoy_lines", _yoy_lines_sql())
+def yoy_lines(spark, sf_dir):
+    return finish(T.yoy_lines(_wh(spark, sf_dir).cf_lines, *YEARS))
+
+
+def ledger(spark, sf_dir):
+    """Counterparty ledger from orders x customer: F orders are debits."""
+    o = read(spark, sf_dir, "orders").select("o_custkey", "o_orderdate", "o_orderstatus", "o_totalprice")
+    c = read(spark, sf_dir, "customer").select("c_custkey", "c_name", "c_mktsegment")
+    return o.join(c, o.o_custkey == c.c_custkey, "inner").select(
+        F.to_date("o_orderdate").alias("entry_date"), F.col("c_mktsegment").alias("account"),
+        F.col("c_name").alias("counterparty"),
+        F.when(F.col("o_orderstatus") == "F", "debit").otherwise("credit").alias("side"),
+        F.col("o_totalprice").cast("decimal(15,2)").alias("amount"))
+
+
+def _ledger_sql():
+    lo, hi = (f"DATE '{d}'" for d in LEDGER_PERIOD)
+    led = """led AS (SELECT CAST(o.o_orderdate AS DATE) AS entry_date, c.c_mktsegment AS account, c.c_name AS counterparty,
+  CASE WHEN o.o_orderstatus = 'F' THEN 'debit' ELSE 'credit' END AS side, CAST(o.o_totalprice AS DECIMAL(15,2)) AS amount
+  FROM orders o JOIN customer c ON o.o_custkey = c.c_custkey)"""
+    g = f"""g AS (SELECT account, counterparty,
+    COALESCE(SUM(amount) FILTER (WHERE entry_date < {lo} AND side = 'debit'), 0) AS opening_debit,
+    COALESCE(SUM(amount) FILTER (WHERE entry_date < {lo} AND side = 'credit'), 0) AS opening_credit,
+    COALESCE(SUM(amount) FILTER (WHERE entry_date >= {lo} AND entry_date <= {hi} AND side = 'debit'), 0) AS turnover_debit,
+    COALESCE(SUM(amount) FILTER (WHERE entry_date >= {lo} AND entry_date <= {hi} AND side = 'credit'), 0) AS turnover_credit
+  FROM led WHERE entry_date <= {hi} GROUP BY account, counterparty)"""
+    cols = ["opening_debit", "opening_credit", "turnover_debit", "turnover_credit"]
+    return S.with_(led, g) + "SELECT account, counterparty, " + ", ".join(f"CAST({c} AS DOUBLE) AS {c}" for c in cols) + \
+        ", CAST(opening_debit + turnover_debit AS DOUBLE) AS closing_debit, " \
+        "CAST(opening_credit + turnover_credit AS DOUBLE) AS closing_credit FROM g"
+
+
+@query("supplier_turnover", _ledger_sql())
+def supplier_turnover(spark, sf_dir):
+    return finish(T.supplier_turnover(ledger(spark, sf_dir), *LEDGER_PERIOD))
+
+
+def _stmt_lines_sql():
+    sums = ", ".join(f"COALESCE(SUM({m}), 0) AS {m}" for _, m in T.STATEMENT_LINES)
+    rows = " UNION ALL ".join(f"SELECT legal_entity_id, year, '{c}' AS line_code, '{m}' AS line_name, {m} AS amount_current FROM g"
+                              for c, m in T.STATEMENT_LINES)
+    return S.with_pnl(f"""g AS (SELECT b.legal_entity_id, CAST(year(p.year_month) AS INTEGER) AS year, {sums}
+  FROM pnl p LEFT JOIN dim_branch b ON p.branch_id = b.branch_id GROUP BY 1, 2)""", f"l AS ({rows})") + """
+SELECT legal_entity_id, make_date(year, 12, 31) AS period_end, line_code, line_name,
+       CAST(amount_current AS DOUBLE) AS amount_current,
+       CAST(LAG(amount_current) OVER (PARTITION BY legal_entity_id, line_code ORDER BY year) AS DOUBLE) AS amount_previous
+FROM l"""
+
+
+@query("statement_lines", _stmt_lines_sql())
+def statement_lines(spark, sf_dir):
+    w = _wh(spark, sf_dir)
+    return finish(T.statement_lines(w.pnl, w.branches))
+
+
+@query("patient_stats", S.with_fact(f"""first AS (SELECT patient_hash, MIN(year_month) AS first_month,
+    SUM(transaction_amount) {PAYF} AS ltv FROM fact WHERE patient_hash IS NOT NULL GROUP BY patient_hash),
+pg AS (SELECT year_month, branch_id, patient_hash, COUNT(*) {PAYF} AS visits, SUM(transaction_amount) {PAYF} AS revenue
+  FROM fact WHERE patient_hash IS NOT NULL GROUP BY year_month, branch_id, patient_hash),
+g AS (SELECT year_month, branch_id, COUNT(*) AS total_patients,
+    COUNT(*) FILTER (WHERE first_month = year_month) AS new_patients, SUM(visits) AS v, SUM(revenue) AS r,
+    SUM(ltv) AS l, COUNT(ltv) AS nl
+  FROM pg JOIN first USING (patient_hash) GROUP BY year_month, branch_id)""") + f"""
+SELECT year_month, branch_id, total_patients, new_patients, total_patients - new_patients AS returning_patients,
+       {r6(ratio('total_patients - new_patients', 'total_patients'))} AS retention_rate,
+       {r6(ratio('v', 'total_patients'))} AS avg_visits_per_patient,
+       {ratio('r', 'total_patients')} AS avg_revenue_per_patient, {ratio('l', 'nl')} AS avg_ltv
+FROM g""")
+def patient_stats(spark, sf_dir):
+    return finish(T.patient_stats(_wh(spark, sf_dir).fact))
+
+
+def leads(spark, sf_dir):
+    """Lead counts per day from ``events``: signups are primary leads, views secondary."""
+    e = read(spark, sf_dir, "events").where(F.col("event_type").isin("signup", "view"))
+    return (e.groupBy(F.to_date("ts").alias("day"), "event_type").agg(F.count(F.lit(1)).alias("count"))
+            .select(F.trunc("day", "month").alias("year_month"),
+                    F.when(F.col("event_type") == "signup", "primary").otherwise("secondary").alias("lead_type"),
+                    "count"))
+
+
+@query("leads_monthly", S.with_pnl("""lg AS (SELECT CAST(date_trunc('month', ts) AS DATE) AS year_month,
+    CASE WHEN event_type = 'signup' THEN 'primary' ELSE 'secondary' END AS lead_type, COUNT(*) AS leads
+  FROM events WHERE event_type IN ('signup', 'view') GROUP BY 1, 2)""",
+                                   f"pv AS (SELECT year_month, {psum('primary_visits', True)} AS primary_visits FROM pnl GROUP BY year_month)") + f"""
+SELECT lg.year_month, lead_type, leads, pv.primary_visits, {r6(ratio('pv.primary_visits', 'leads'))} AS conversion
+FROM lg LEFT JOIN pv ON lg.year_month = pv.year_month""")
+def leads_monthly(spark, sf_dir):
+    return finish(T.leads_monthly(leads(spark, sf_dir), _wh(spark, sf_dir).pnl))
+
+
+def appointments(spark, sf_dir):
+    """Appointment outcomes from orders: F completed, P cancelled, O no-show;
+    the clinic is the customer's nation."""
+    o = read(spark, sf_dir, "orders").select("o_custkey", "o_orderstatus")
+    c = read(spark, sf_dir, "customer").select("c_custkey", "c_nationkey")
+    st = F.col("o_orderstatus")
+    return o.join(c, o.o_custkey == c.c_custkey, "inner").select(
+        F.col("c_nationkey").alias("branch_id"),
+        F.when(st == "F", "completed").when(st == "P", "cancelled").when(st == "O", "no_show").alias("status"))
+
+
+@query("appointment_outcomes", S.with_("""a AS (SELECT c.c_nationkey AS branch_id,
+    CASE o.o_orderstatus WHEN 'F' THEN 'completed' WHEN 'P' THEN 'cancelled' WHEN 'O' THEN 'no_show' END AS status
+  FROM orders o JOIN customer c ON o.o_custkey = c.c_custkey)""",
+                                        """g AS (SELECT branch_id, COUNT(*) AS appointments,
+    COUNT(*) FILTER (WHERE status = 'completed') AS completed, COUNT(*) FILTER (WHERE status = 'cancelled') AS cancelled,
+    COUNT(*) FILTER (WHERE status = 'no_show') AS no_show FROM a GROUP BY branch_id)""") + f"""
+SELECT *, {r6(ratio('completed', 'appointments'))} AS completed_share, {r6(ratio('cancelled', 'appointments'))} AS cancelled_share,
+       {r6(ratio('no_show', 'appointments'))} AS no_show_share FROM g""")
+def appointment_outcomes(spark, sf_dir):
+    return finish(T.appointment_outcomes(appointments(spark, sf_dir)))
+
+
+def invoice_items(spark, sf_dir):
+    """Invoice lines from lineitem: clinic = supplier nation, status = return flag,
+    paid when the line is closed (``l_linestatus = 'F'``)."""
+    li = read(spark, sf_dir, "lineitem").select("l_suppkey", "l_extendedprice", "l_discount", "l_returnflag", "l_linestatus")
+    s = read(spark, sf_dir, "supplier").select("s_suppkey", "s_nationkey")
+    sub = F.col("l_extendedprice").cast("decimal(15,2)")
+    return li.join(s, li.l_suppkey == s.s_suppkey, "left").select(
+        F.col("s_nationkey").alias("branch_id"), F.col("l_returnflag").alias("status"), sub.alias("subtotal"),
+        (sub * F.col("l_discount").cast("decimal(4,2)")).cast("decimal(15,2)").alias("discount_amount"),
+        (F.col("l_linestatus") == "F").alias("paid"))
+
+
+@query("receivables", S.with_("""it AS (SELECT s.s_nationkey AS branch_id, l.l_returnflag AS status,
+    CAST(l.l_extendedprice AS DECIMAL(15,2)) AS subtotal,
+    CAST(CAST(l.l_extendedprice AS DECIMAL(15,2)) * CAST(l.l_discount AS DECIMAL(4,2)) AS DECIMAL(15,2)) AS discount_amount,
+    l.l_linestatus = 'F' AS paid
+  FROM lineitem l LEFT JOIN supplier s ON l.l_suppkey = s.s_suppkey)""",
+                               """g AS (SELECT branch_id, status, SUM(subtotal) AS subtotal, SUM(discount_amount) AS discount_total,
+    SUM(subtotal - discount_amount) AS total_amount,
+    COALESCE(SUM(subtotal - discount_amount) FILTER (WHERE paid), 0) AS paid_amount, COUNT(*) AS invoices
+  FROM it GROUP BY branch_id, status)""") + """
+SELECT branch_id, status, CAST(subtotal AS DOUBLE) AS subtotal, CAST(discount_total AS DOUBLE) AS discount_total,
+       CAST(total_amount AS DOUBLE) AS total_amount, CAST(paid_amount AS DOUBLE) AS paid_amount, invoices,
+       CAST(total_amount - paid_amount AS DOUBLE) AS debt FROM g""")
+def receivables(spark, sf_dir):
+    return finish(T.receivables(invoice_items(spark, sf_dir)))
