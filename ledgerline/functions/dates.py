@@ -20,7 +20,7 @@ def iso_weekday(c) -> Column:
 def parse_date_any(c, formats=("yyyy-MM-dd", "dd.MM.yyyy", "dd/MM/yyyy")) -> Column:
     """First format that parses wins; unparseable text -> NULL (never raises)."""
     s = F.trim(col_of(c).cast("string"))
-    return F.coalesce(*[F.try_to_date(s, F.lit(f)) for f in formats])
+    return F.coalesce(*[F.try_to_date(s, f) for f in formats])
 
 
 def parse_year_month(c) -> Column:
