@@ -1 +1,55 @@
-"""placeholder"""
+"""Incremental / streaming operators (INC-*, WIN-8) as registered queries."""
+
+from __future__ import annotations
+
+import datetime as dt
+
+from ..sources.driver import read
+from ..streaming import incremental as I
+from .registry import query
+
+HWM = dt.datetime(2024, 1, 15, 0, 0, 0)
+LATEST_SQL = """SELECT event_id, ts, user_id, event_type, value, props FROM (
+  SELECT *, ROW_NUMBER() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS rn FROM events) WHERE rn = 1"""
+DAILY_SQL = """SELECT time_bucket(INTERVAL 1 DAY, ts) AS window_start, time_bucket(INTERVAL 1 DAY, ts) + INTERVAL 1 DAY AS window_end,
+  event_type, COUNT(*) AS events, CAST(SUM(CAST(value AS DECIMAL(18,2))) AS DOUBLE) AS value_sum FROM events GROUP BY 1, 2, 3"""
+
+
+@query("incremental_filter", f"SELECT * FROM events WHERE ts >= TIMESTAMP '{HWM.isoformat(sep=' ')}'")
+def incremental_filter(spark, sf_dir):
+    return I.incremental_filter(read(spark, sf_dir, "events"), HWM, "ts")
+
+
+@query("latest_per_key", LATEST_SQL)
+def latest_per_key(spark, sf_dir):
+    return I.latest_per_key(read(spark, sf_dir, "events"), "user_id", "ts", "event_id")
+
+
+@query("events_daily", DAILY_SQL)
+def events_daily(spark, sf_dir):
+    return I.events_daily(read(spark, sf_dir, "events"))
+
+
+@query("latest_per_key_stream", LATEST_SQL)
+def latest_per_key_stream(spark, sf_dir):
+    """Structured Streaming ingest of the events table (as landed files) with
+    a checkpoint, then latest-wins per user on read."""
+    schema = read(spark, sf_dir, "events").schema
+    out, ckpt = I.scratch_dirs(spark, "latest")
+    I.run_to_end(I.stream_changes(spark, sf_dir, schema, out, ckpt, glob="events.parquet"))
+    return I.read_latest(spark, out, "user_id", "ts", "event_id")
+
+
+# Append mode emits a day once the watermark (max event time - 1 day) has
+# passed its end; the last open days are not final and not emitted.
+DAILY_FINAL_SQL = f"""SELECT * FROM ({DAILY_SQL})
+WHERE window_end <= (SELECT max(ts) FROM events) - INTERVAL 1 DAY"""
+
+
+@query("events_daily_stream", DAILY_FINAL_SQL)
+def events_daily_stream(spark, sf_dir):
+    """Watermarked streaming daily aggregate over the events table."""
+    schema = read(spark, sf_dir, "events").schema
+    out, ckpt = I.scratch_dirs(spark, "daily")
+    I.run_to_end(I.stream_events_daily(spark, sf_dir, schema, out, ckpt, glob="events.parquet"))
+    return spark.read.parquet(out)
