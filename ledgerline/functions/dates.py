@@ -17,10 +17,22 @@ def iso_weekday(c) -> Column:
     return (F.weekday(col_of(c)) + F.lit(1)).cast("int")
 
 
+# Shape of the common formats: a cheap regex check picks the format before
+# parsing, so the parser is not asked (and does not fail) for other shapes.
+_SHAPES = {
+    "yyyy-MM-dd": r"^\d{4}-\d{2}-\d{2}$",
+    "dd.MM.yyyy": r"^\d{2}\.\d{2}\.\d{4}$",
+    "dd/MM/yyyy": r"^\d{2}/\d{2}/\d{4}$",
+    "yyyy-MM-dd HH:mm:ss": r"^\d{4}-\d{2}-\d{2} \d{2}:\d{2}:\d{2}$",
+}
+
+
 def parse_date_any(c, formats=("yyyy-MM-dd", "dd.MM.yyyy", "dd/MM/yyyy")) -> Column:
     """First format that parses wins; unparseable text -> NULL (never raises)."""
     s = F.trim(col_of(c).cast("string"))
-    return F.coalesce(*[F.try_to_date(s, f) for f in formats])
+    parsed = [F.when(s.rlike(_SHAPES[f]), F.try_to_date(s, f)) if f in _SHAPES else F.try_to_date(s, f)
+              for f in formats]
+    return F.coalesce(*parsed)
 
 
 def parse_year_month(c) -> Column:

@@ -8,12 +8,17 @@ from pyspark.sql import Column, functions as F
 
 from ._util import col_of
 
-# Unicode-aware trim: strips tabs, no-break and other Unicode spaces too.
-_EDGE_WS = r"(?U)^\s+|\s+$"
+# Unicode white space (the White_Space property): tab, line breaks, space,
+# next-line, no-break space, ogham mark, en/em spaces .. hair space, line and
+# paragraph separators, narrow no-break, medium mathematical, ideographic.
+UNICODE_WS = ("\t\n\x0b\x0c\r \x85\xa0\u1680" + "".join(chr(c) for c in range(0x2000, 0x200B))
+              + "\u2028\u2029\u202f\u205f\u3000")
 
 
 def trim_unicode(c) -> Column:
-    return F.regexp_replace(col_of(c).cast("string"), _EDGE_WS, "")
+    """Trim every Unicode white-space character from both ends (Spark's plain
+    ``trim`` strips ASCII spaces only)."""
+    return F.btrim(col_of(c).cast("string"), F.lit(UNICODE_WS))
 
 
 def patient_hash(c) -> Column:

@@ -19,12 +19,20 @@ from .. import vocab
 from ..functions import ilike_any
 from ._joins import lookup_join
 
-PAY = F.col("operation_type") == F.lit(vocab.PAYMENT)
-REF = F.col("operation_type") == F.lit(vocab.REFUND)
-AMT = F.col("transaction_amount")
+def _pay():
+    return F.col("operation_type") == F.lit(vocab.PAYMENT)
 
 
-def _sum_if(cond, value=AMT):
+def _ref():
+    return F.col("operation_type") == F.lit(vocab.REFUND)
+
+
+def _amt():
+    return F.col("transaction_amount")
+
+
+def _sum_if(cond, value=None):
+    value = _amt() if value is None else value
     return F.sum(F.when(cond, value))
 
 
@@ -32,7 +40,8 @@ def _count_if(cond):
     return F.count(F.when(cond, F.lit(1)))
 
 
-def _avg_if(cond, value=AMT):
+def _avg_if(cond, value=None):
+    value = _amt() if value is None else value
     """Mean as exact decimal sum / count, rendered double; NULL when no row."""
     return F.try_divide(_sum_if(cond, value).cast("double"), _count_if(cond).cast("double"))
 
@@ -40,13 +49,13 @@ def _avg_if(cond, value=AMT):
 def revenue_accrual(fact: DataFrame) -> DataFrame:
     """AGG-1: accrual revenue per month x branch."""
     return (fact.groupBy("year_month", "branch_id").agg(
-        F.sum(F.when(PAY, AMT).otherwise(F.lit(0))).alias("gross_revenue"),
-        F.sum(F.when(REF, F.abs(AMT)).otherwise(F.lit(0))).alias("refunds"),
-        F.sum(AMT).alias("net_revenue"),
+        F.sum(F.when(_pay(), _amt()).otherwise(F.lit(0))).alias("gross_revenue"),
+        F.sum(F.when(_ref(), F.abs(_amt())).otherwise(F.lit(0))).alias("refunds"),
+        F.sum(_amt()).alias("net_revenue"),
         F.count_distinct("patient_hash").alias("unique_patients"),
-        _count_if(PAY).alias("payment_count"),
-        _count_if(PAY & (F.col("is_primary_visit") == F.lit(True))).alias("primary_visits"),
-        _avg_if(PAY).alias("avg_ticket"),
+        _count_if(_pay()).alias("payment_count"),
+        _count_if(_pay() & (F.col("is_primary_visit") == F.lit(True))).alias("primary_visits"),
+        _avg_if(_pay()).alias("avg_ticket"),
     ))
 
 
@@ -102,14 +111,14 @@ def monthly_pnl(fact: DataFrame, cf_monthly: DataFrame, dim_branch: DataFrame,
 def doctor_kpi(fact: DataFrame, dim_doctor: DataFrame, dim_branch: DataFrame) -> DataFrame:
     """AGG-4: month x doctor x branch KPIs; revenue per distinct paying day
     (at least 1). Rows without a doctor are left out."""
-    pay_day = F.when(PAY, F.col("transaction_date"))
+    pay_day = F.when(_pay(), F.col("transaction_date"))
     agg = (fact.where(F.col("doctor_id").isNotNull())
            .groupBy("year_month", "doctor_id", "branch_id").agg(
-               _sum_if(PAY).alias("revenue"),
-               _count_if(PAY).alias("visit_count"),
+               _sum_if(_pay()).alias("revenue"),
+               _count_if(_pay()).alias("visit_count"),
                F.count_distinct("patient_hash").alias("unique_patients"),
-               _count_if(PAY & (F.col("is_primary_visit") == F.lit(True))).alias("primary_visits"),
-               _avg_if(PAY).alias("avg_ticket"),
+               _count_if(_pay() & (F.col("is_primary_visit") == F.lit(True))).alias("primary_visits"),
+               _avg_if(_pay()).alias("avg_ticket"),
                F.count_distinct(pay_day).alias("_days"),
            ))
     agg = agg.withColumn("revenue_per_workday",
@@ -126,14 +135,14 @@ def doctor_kpi(fact: DataFrame, dim_doctor: DataFrame, dim_branch: DataFrame) ->
 def branch_comparison(fact: DataFrame, dim_branch: DataFrame) -> DataFrame:
     """AGG-5: month x branch comparison with children/adult split."""
     agg = fact.groupBy("year_month", "branch_id").agg(
-        _sum_if(PAY).alias("revenue"),
-        F.sum(AMT).alias("net_revenue"),
-        _count_if(PAY).alias("payments"),
+        _sum_if(_pay()).alias("revenue"),
+        F.sum(_amt()).alias("net_revenue"),
+        _count_if(_pay()).alias("payments"),
         F.count_distinct("patient_hash").alias("unique_patients"),
-        _count_if(PAY & (F.col("is_primary_visit") == F.lit(True))).alias("primary_visits"),
-        _avg_if(PAY).alias("avg_ticket"),
-        _sum_if(PAY & (F.col("is_child") == F.lit(True))).alias("children_revenue"),
-        _sum_if(PAY & (F.col("is_child") == F.lit(False))).alias("adult_revenue"),
+        _count_if(_pay() & (F.col("is_primary_visit") == F.lit(True))).alias("primary_visits"),
+        _avg_if(_pay()).alias("avg_ticket"),
+        _sum_if(_pay() & (F.col("is_child") == F.lit(True))).alias("children_revenue"),
+        _sum_if(_pay() & (F.col("is_child") == F.lit(False))).alias("adult_revenue"),
     )
     names = dim_branch.select("branch_id", F.col("display_name").alias("branch_name"))
     out = lookup_join(agg, names, "branch_id")
@@ -155,7 +164,7 @@ def service_economics(fact: DataFrame, cost_rows: DataFrame, dim_branch: DataFra
     """
     pre = (fact.where(F.col("service_name").isNotNull())
            .groupBy("service_name", "branch_id").agg(
-               _count_if(PAY).alias("_n"), _sum_if(PAY).alias("_rev")))
+               _count_if(_pay()).alias("_n"), _sum_if(_pay()).alias("_rev")))
     costs = cost_rows.select("service_name", "material_cost", "doctor_pay", "margin_pct",
                              *(["effective_date"] if "effective_date" in cost_rows.columns else []))
     if latest_cost:

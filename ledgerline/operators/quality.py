@@ -56,32 +56,35 @@ def alert_metrics(pnl: DataFrame, growth_pct: float = 12.0) -> DataFrame:
 
 
 def alerts(pnl: DataFrame, thresholds: dict | None = None, templates=vocab.ALERT_TEMPLATES) -> DataFrame:
-    """ALR-1/2: one alert row per (rule, month, branch) that fires."""
+    """ALR-1/2: one alert row per (rule, month, branch) that fires.
+
+    One pass: the rule metrics are computed once per month x branch, the rules
+    are expanded with ``inline`` (one struct per rule) and filtered."""
     th = dict(ALERT_THRESHOLDS, **(thresholds or {}))
     m = alert_metrics(pnl)
-    parts = []
+    rules = []
     for a_type, severity, metric_name, desc, advice in templates:
         if a_type not in th:
             continue
-        v = F.col(a_type)
-        fires = v < F.lit(th[a_type]) if a_type == "low_primary" else v > F.lit(th[a_type])
-        val = F.round(v, 4)
-        parts.append(m.where(fires).select(
-            "year_month", "branch_id", "branch_name",
+        rules.append(F.struct(
             F.lit(a_type).alias("alert_type"), F.lit(severity).alias("severity"),
-            F.lit(metric_name).alias("metric_name"), val.alias("metric_value"),
-            F.lit(float(th[a_type])).alias("threshold_value"),
-            F.format_string(desc, F.round(v, 1 if ".1f" in desc else 0)).alias("description"),
+            F.lit(metric_name).alias("metric_name"), F.col(a_type).cast("double").alias("v"),
+            F.lit(float(th[a_type])).alias("threshold_value"), F.lit(desc).alias("tmpl"),
+            F.lit(1 if ".1f" in desc else 0).alias("nd"), F.lit(a_type == "low_primary").alias("below"),
             F.lit(advice).alias("recommendation")))
-    out = reduce(DataFrame.unionByName, parts)
+    x = m.select("year_month", "branch_id", "branch_name", F.inline(F.array(*rules)))
+    v = F.col("v")
+    fires = F.when(F.col("below"), v < F.col("threshold_value")).otherwise(v > F.col("threshold_value"))
+    shown = F.when(F.col("nd") == 1, F.round(v, 1)).otherwise(F.round(v, 0))
+    out = x.where(fires).withColumn("_shown", shown)
     w = Window.orderBy("year_month", "branch_id", "alert_type")
     return out.select(
         F.row_number().over(w).alias("alert_id"),
         F.add_months("year_month", 1).cast("timestamp").alias("created_at"),
         "year_month", "branch_id", "branch_name",
         F.lit(None).cast("int").alias("doctor_id"), F.lit(None).cast("string").alias("doctor_name"),
-        "alert_type", "severity", "metric_name", "metric_value", "threshold_value", "description",
-        "recommendation")
+        "alert_type", "severity", "metric_name", F.round(v, 4).alias("metric_value"), "threshold_value",
+        F.expr("format_string(tmpl, _shown)").alias("description"), "recommendation")
 
 
 def recent_alerts(al: DataFrame, n: int = 6) -> DataFrame:

@@ -12,23 +12,27 @@ from pyspark.sql import DataFrame, Window, functions as F
 from .. import vocab
 from ._agg import psum, ratio, r6
 
-PAY = F.col("operation_type") == F.lit(vocab.PAYMENT)
-AMT = F.col("transaction_amount")
+def _pay():
+    return F.col("operation_type") == F.lit(vocab.PAYMENT)
+
+
+def _amt():
+    return F.col("transaction_amount")
 
 
 def avg_ticket(fact: DataFrame, key: str = "branch_id") -> DataFrame:
     """RPT-1: visits (payments), revenue and revenue per visit by clinic."""
-    g = fact.groupBy(key).agg(F.count(F.when(PAY, 1)).alias("visits"), F.sum(F.when(PAY, AMT)).alias("revenue"))
+    g = fact.groupBy(key).agg(F.count(F.when(_pay(), 1)).alias("visits"), F.sum(F.when(_pay(), _amt())).alias("revenue"))
     return g.withColumn("avg_ticket", ratio("revenue", "visits"))
 
 
 def ltv_procedures(fact: DataFrame) -> DataFrame:
     """RPT-2: per procedure: distinct clients, count, revenue, mean/min/max
     price, revenue and count per client (payments only)."""
-    p = fact.where(PAY & F.col("service_name").isNotNull())
+    p = fact.where(_pay() & F.col("service_name").isNotNull())
     g = p.groupBy("service_name").agg(
         F.count_distinct("patient_hash").alias("clients"), F.count(F.lit(1)).alias("procedures"),
-        F.sum(AMT).alias("revenue"), F.min(AMT).alias("min_price"), F.max(AMT).alias("max_price"))
+        F.sum(_amt()).alias("revenue"), F.min(_amt()).alias("min_price"), F.max(_amt()).alias("max_price"))
     return g.select("service_name", "clients", "procedures", "revenue",
                     ratio("revenue", "procedures").alias("avg_price"), "min_price", "max_price",
                     ratio("revenue", "clients").alias("revenue_per_client"),
@@ -38,8 +42,8 @@ def ltv_procedures(fact: DataFrame) -> DataFrame:
 def top_services_per_branch(fact: DataFrame, n: int = 10) -> DataFrame:
     """RPT-3: top-n services per clinic by paid total (window per branch over
     the branch x service aggregate)."""
-    g = fact.where(PAY).groupBy("branch_id", "service_name").agg(
-        F.count(F.lit(1)).alias("quantity"), F.sum(AMT).alias("total"))
+    g = fact.where(_pay()).groupBy("branch_id", "service_name").agg(
+        F.count(F.lit(1)).alias("quantity"), F.sum(_amt()).alias("total"))
     w = Window.partitionBy("branch_id").orderBy(F.desc("total"), F.asc("service_name"))
     return (g.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= n)
             .withColumn("price", ratio("total", "quantity"))
@@ -105,8 +109,8 @@ def patient_stats(fact: DataFrame, keys=("year_month", "branch_id"), age_col: st
     keys = list(keys)
     pat = fact.where(F.col("patient_hash").isNotNull())
     first = pat.groupBy("patient_hash").agg(F.min("year_month").alias("first_month"),
-                                            F.sum(F.when(PAY, AMT)).alias("ltv"))
-    aggs = [F.count(F.when(PAY, 1)).alias("visits"), F.sum(F.when(PAY, AMT)).alias("revenue")]
+                                            F.sum(F.when(_pay(), _amt())).alias("ltv"))
+    aggs = [F.count(F.when(_pay(), 1)).alias("visits"), F.sum(F.when(_pay(), _amt())).alias("revenue")]
     if age_col:
         aggs.append(F.max(age_col).alias("age"))
     pg = pat.groupBy(*keys, "patient_hash").agg(*aggs)

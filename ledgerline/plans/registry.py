@@ -35,9 +35,19 @@ def _load():
         importlib.import_module(f"{__package__}.{m}")
 
 
+def _configured(fn):
+    def run(spark, sf_dir):
+        from ..session import configure
+        configure(spark)  # UTC session time zone, AQE defaults (only where unset)
+        return fn(spark, sf_dir)
+    run.__name__ = fn.__name__
+    run.__doc__ = fn.__doc__
+    return run
+
+
 def queries() -> dict[str, Callable]:
     _load()
-    return dict(_QUERIES)
+    return {k: _configured(v) for k, v in _QUERIES.items()}
 
 
 def oracle_sql() -> dict[str, str]:

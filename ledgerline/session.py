@@ -66,11 +66,15 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     A cluster names a shared (distributed file system) folder there. Only when
     the setting is absent — local runs and tests — do we create our own.
     """
-    conf = spark.sparkContext.getConf()
-    d = conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.checkpoint.dir", None)
+    sc = spark.sparkContext
+    d = sc.getConf().get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
     if not d:
-        d = tempfile.mkdtemp(prefix="ledgerline-ckpt-")
-        spark.conf.set("spark.checkpoint.dir", d)
-    if spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(d)
-    return d
+        try:
+            d = spark.conf.get("spark.checkpoint.dir", None)
+        except Exception:  # not readable as a session setting
+            d = None
+    if not d:
+        d = tempfile.mkdtemp(prefix="ledgerline-ckpt-")  # local runs and tests only
+    if sc.getCheckpointDir() is None:
+        sc.setCheckpointDir(d)
+    return d.replace("file:", "", 1) if d.startswith("file:") else d
