@@ -54,3 +54,14 @@ def first_listed_date(c, formats=("yyyy-MM-dd", "dd.MM.yyyy")) -> Column:
 def month_label(c, short_year: bool = False) -> Column:
     """``Mon YYYY`` / ``Mon YY`` label; a display column, never a sort key."""
     return F.date_format(col_of(c), "MMM yy" if short_year else "MMM yyyy")
+
+
+def parse_instant(c) -> Column:
+    """ISO-8601 text with an offset (``2025-01-15T10:30:00+03:00``) -> instant;
+    bad text -> NULL. With the session in UTC the result is the UTC instant."""
+    return F.try_to_timestamp(F.trim(col_of(c).cast("string")))
+
+
+def local_date(instant, tz: str) -> Column:
+    """Calendar date of an instant in a given zone (e.g. the clinic's)."""
+    return F.to_date(F.from_utc_timestamp(col_of(instant), tz))

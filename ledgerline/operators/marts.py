@@ -190,3 +190,16 @@ def service_economics(fact: DataFrame, cost_rows: DataFrame, dim_branch: DataFra
     if dim_service is not None:
         cols.append("category")
     return g.select(*cols)
+
+
+
+def mart_order(df: DataFrame, mart: str) -> DataFrame:
+    """TOP-1: the source's read order of a mart. Its DESC puts NULLs first, so
+    that is kept explicitly. Applied at read time; stored tables are unordered."""
+    orders = {
+        "monthly_pnl": [F.asc("year_month"), F.asc("branch_id")],
+        "doctor_kpi": [F.asc("year_month"), F.desc_nulls_first("revenue")],
+        "branch_comparison": [F.asc("year_month"), F.desc_nulls_first("revenue")],
+        "service_economics": [F.desc_nulls_first("total_revenue")],
+    }
+    return df.orderBy(*orders[mart])

@@ -336,3 +336,8 @@ def category_branch(se: DataFrame) -> DataFrame:
 def top_services(se: DataFrame, by: str = "total_revenue", n: int = 10) -> DataFrame:
     """TOP-5: top services by revenue or by margin."""
     return service_summary(se).orderBy(F.col(by).desc_nulls_last(), "service_name").limit(n)
+
+
+def distinct_values(df: DataFrame, col: str) -> DataFrame:
+    """AGG-24: sorted distinct values of a column (filter option lists)."""
+    return df.select(col).where(F.col(col).isNotNull()).distinct().orderBy(col)

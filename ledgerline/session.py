@@ -66,7 +66,13 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     A cluster names a shared (distributed file system) folder there. Only when
     the setting is absent — local runs and tests — do we create our own.
     """
-    sc = spark.sparkContext
+    try:
+        sc = spark.sparkContext
+    except Exception:  # Connect session: only the session setting is visible
+        sc = None
+    if sc is None:
+        d = spark.conf.get("spark.checkpoint.dir", None)
+        return d or tempfile.mkdtemp(prefix="ledgerline-ckpt-")
     d = sc.getConf().get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
     if not d:
         try:

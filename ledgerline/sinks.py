@@ -31,7 +31,9 @@ def write_mart(df: DataFrame, target: str, partition_by: str = "year_month") ->
     """SNK-2: materialise a mart partitioned by month; with dynamic partition
     overwrite only the months present in ``df`` are replaced (incremental
     refresh of touched months)."""
-    return write_table(df, target, "overwrite", partition_by)
+    # REBALANCE keeps files per month few, and AQE splits a hot month's rows
+    # over several tasks instead of one.
+    return write_table(df.hint("rebalance", partition_by), target, "overwrite", partition_by)
 
 
 def append_new(new: DataFrame, existing: DataFrame, key, target: str) -> int:
@@ -39,3 +41,11 @@ def append_new(new: DataFrame, existing: DataFrame, key, target: str) -> int:
     keys = [key] if isinstance(key, str) else list(key)
     fresh = new.join(existing.select(*keys).distinct(), keys, "left_anti")
     return write_table(fresh, target, "append")
+
+
+def append_frames(*frames: DataFrame) -> DataFrame:
+    """SET-1: UNION ALL by column name; columns missing on one side are NULL."""
+    out = frames[0]
+    for f in frames[1:]:
+        out = out.unionByName(f, allowMissingColumns=True)
+    return out

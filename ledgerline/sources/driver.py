@@ -75,8 +75,12 @@ def spread(df: DataFrame) -> DataFrame:
     round-robin; a scan that is already wide (the large-data case: many files
     and row groups) is left untouched, so no extra shuffle is added at scale.
     The partition count comes from planning the scan, no job is run."""
-    target = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(target) if df.rdd.getNumPartitions() < target else df
+    try:
+        target = df.sparkSession.sparkContext.defaultParallelism
+        narrow = df.rdd.getNumPartitions() < target
+    except Exception:  # no RDD API (e.g. a Connect session): leave the scan as is
+        return df
+    return df.repartition(target) if narrow else df
 
 
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -183,40 +187,68 @@ def cost_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 class Warehouse:
     """The conformed star schema over one driver directory, built once per
-    session and kept with ``persist(MEMORY_AND_DISK)``: partitions lost with an
-    executor are recomputed from lineage. Many reports read the same fact and
-    monthly P&L, so they share one computation."""
+    session and shared by every report.
+
+    ``ledgerline.warehouse.mode`` (session setting) chooses how it is kept:
+
+    * ``persist`` (default): ``persist(MEMORY_AND_DISK)``; partitions lost with
+      an executor are recomputed from lineage.
+    * ``table``: the fact and the monthly cash flow are written once to the
+      shared folder named by ``spark.checkpoint.dir`` (Parquet, partitioned by
+      ``year_month``) and read back — lineage is cut, a lost executor costs a
+      re-read of its files, and month predicates prune partitions.
+    """
 
     _memo: dict = {}
 
     def __init__(self, spark: SparkSession, sf_dir: str):
         self.spark, self.sf_dir = spark, sf_dir
         self._frames: dict[str, DataFrame] = {}
+        self.mode = spark.conf.get("ledgerline.warehouse.mode", "persist")
 
     @classmethod
     def of(cls, spark: SparkSession, sf_dir: str) -> "Warehouse":
-        key = (spark.sparkContext.applicationId, id(spark), sf_dir.rstrip("/"))
+        try:
+            app = spark.sparkContext.applicationId
+        except Exception:
+            app = spark.conf.get("spark.app.id", "")
+        key = (app, id(spark), sf_dir.rstrip("/"), spark.conf.get("ledgerline.warehouse.mode", "persist"))
         w = cls._memo.get(key)
         if w is None:
             w = cls._memo[key] = cls(spark, sf_dir)
         return w
 
-    def _get(self, name, build, keep=True):
+    def _get(self, name, build, keep=True, table=False):
         if name not in self._frames:
             df = build()
-            self._frames[name] = df.persist(StorageLevel.MEMORY_AND_DISK) if keep else df
+            if keep and table and self.mode == "table":
+                df = self._write(name, df)
+            elif keep:
+                df = df.persist(StorageLevel.MEMORY_AND_DISK)
+            self._frames[name] = df
         return self._frames[name]
 
+    def _write(self, name: str, df: DataFrame) -> DataFrame:
+        import hashlib
+        import os
+        from ..session import ensure_checkpoint_dir
+        tag = hashlib.sha1(self.sf_dir.rstrip("/").encode()).hexdigest()[:12]
+        path = os.path.join(ensure_checkpoint_dir(self.spark), "warehouse", tag, name)
+        # REBALANCE: files grouped by month, but AQE splits a hot month across tasks
+        (df.hint("rebalance", "year_month").write.mode("overwrite").option("partitionOverwriteMode", "static")
+         .partitionBy("year_month").parquet(path))
+        return self.spark.read.parquet(path)
+
     def table(self, name: str) -> DataFrame:
         return read(self.spark, self.sf_dir, name)
 
     @property
     def fact(self) -> DataFrame:
-        return self._get("fact", lambda: fact_transactions(self.spark, self.sf_dir))
+        return self._get("fact", lambda: fact_transactions(self.spark, self.sf_dir), table=True)
 
     @property
     def cf(self) -> DataFrame:
-        return self._get("cf", lambda: cf_monthly(self.spark, self.sf_dir))
+        return self._get("cf", lambda: cf_monthly(self.spark, self.sf_dir), table=True)
 
     @property
     def branches(self) -> DataFrame:

@@ -58,3 +58,19 @@ def test_flagship_plan_shape(wh):
     """Aggregation happens before the full outer join; no cartesian product."""
     plan = wh.pnl._jdf.queryExecution().executedPlan().toString()
     assert "CartesianProduct" not in plan and "BroadcastNestedLoopJoin" not in plan
+
+
+def test_warehouse_table_mode_matches_persist(spark, sf_dir, wh):
+    """The durable mode (fact written to the shared folder, month-partitioned)
+    gives the same marts as the in-memory mode."""
+    spark.conf.set("ledgerline.warehouse.mode", "table")
+    try:
+        t = Warehouse.of(spark, sf_dir)
+        assert t.mode == "table"
+        cols = ["year_month", "branch_id", "revenue_accrual", "ebitda", "unique_patients"]
+        a = sorted(map(tuple, t.pnl.select(*cols).collect()), key=str)
+        b = sorted(map(tuple, wh.pnl.select(*cols).collect()), key=str)
+        assert a == b
+        assert "year_month" in t.fact.columns
+    finally:
+        spark.conf.unset("ledgerline.warehouse.mode")

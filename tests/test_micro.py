@@ -304,3 +304,21 @@ def test_calendar_fixed_range(spark):
     assert d.count() == 2191
     r = d.where(F.col("date_id") == F.lit(dt.date(2025, 1, 5))).first()   # a Sunday
     assert r.day_of_week == 7 and not r.is_workday and r.year_month == "2025-01" and r.week_of_year == 1
+
+
+def test_instants_order_and_union(spark):
+    from ledgerline.functions import parse_instant, local_date
+    from ledgerline.operators.marts import mart_order
+    from ledgerline.operators.reports import distinct_values
+    from ledgerline.sinks import append_frames
+    df = spark.createDataFrame([("2025-01-15T23:30:00+03:00",), ("nonsense",)], "s string")
+    r = df.select(parse_instant("s").alias("t")).collect()
+    assert r[0].t is not None and r[1].t is None
+    d = df.select(local_date(parse_instant("s"), "Europe/Moscow").alias("d")).first().d
+    assert d == dt.date(2025, 1, 15)
+    bc = spark.createDataFrame([(JAN, 1, None), (JAN, 2, D("5.00")), (JAN, 3, D("9.00"))],
+                               "year_month date, branch_id int, revenue decimal(15,2)")
+    assert [x.branch_id for x in mart_order(bc, "branch_comparison").collect()] == [1, 3, 2]
+    assert [x.branch_id for x in distinct_values(bc, "branch_id").collect()] == [1, 2, 3]
+    u = append_frames(bc.select("branch_id"), bc.select("branch_id", "revenue"))
+    assert u.count() == 6 and u.where("revenue IS NULL").count() == 4
