@@ -9,6 +9,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, Window, functions as F
 
+from ._joins import bounded_broadcast
+
 from .. import vocab
 from ..functions import trim_unicode, classify_by_rules, flag_equals, first_of_month, parse_year_month
 
@@ -17,8 +19,8 @@ def resolve_branch(df: DataFrame, text_col: str, aliases: DataFrame, dim_branch:
                    out_col: str = "branch_id") -> DataFrame:
     """JN-6: two-hop lookup alias -> code -> id; the text is trimmed first,
     unmatched stays NULL. ``aliases``: (alias, code), bounded by the vocabulary."""
-    a = F.broadcast(aliases.select(trim_unicode("alias").alias("_alias"), "code").dropDuplicates(["_alias"]))
-    ids = F.broadcast(dim_branch.select("code", F.col("branch_id").alias(out_col)))
+    a = bounded_broadcast(aliases.select(trim_unicode("alias").alias("_alias"), "code").dropDuplicates(["_alias"]))
+    ids = bounded_broadcast(dim_branch.select("code", F.col("branch_id").alias(out_col)))
     j = df.withColumn("_alias", trim_unicode(text_col)).join(a, "_alias", "left").join(ids, "code", "left")
     return j.drop("_alias", "code")
 
@@ -27,7 +29,7 @@ def lookup_id(df: DataFrame, col: str, dim: DataFrame, dim_key: str, dim_id: str
               bounded: bool = False) -> DataFrame:
     """JN-7: one-hop name -> id lookup on a trimmed key."""
     d = dim.select(F.col(dim_key).alias("_k"), F.col(dim_id).alias(out_col)).dropDuplicates(["_k"])
-    d = F.broadcast(d) if bounded else d
+    d = bounded_broadcast(d) if bounded else d
     return df.withColumn("_k", trim_unicode(col)).join(d, "_k", "left").drop("_k")
 
 
@@ -74,7 +76,7 @@ def cf_monthly_conform(svod: DataFrame, entity_map: DataFrame) -> DataFrame:
     """DIM-5: consolidated grid rows -> monthly cash-flow fact: month parsed
     from ``YYYY-M``, legal entity mapped by short name (inner: unmapped rows
     are dropped), rows with an unparseable month dropped."""
-    m = F.broadcast(entity_map.select(F.col("short_name").alias("legal_entity"), "legal_entity_id"))
+    m = bounded_broadcast(entity_map.select(F.col("short_name").alias("legal_entity"), "legal_entity_id"))
     j = svod.join(m, "legal_entity", "inner")
     return (j.select(parse_year_month("year_month_str").alias("year_month"), "legal_entity_id",
                      F.lit(None).cast("int").alias("branch_id"), "line_item", "amount", "source_file")
@@ -85,7 +87,7 @@ def expense_hierarchy(lines: DataFrame, expense_types: DataFrame, name_col: str
                       amount_col: str = "amount") -> DataFrame:
     """DIM-7: lines -> expense type -> category -> parent, totals rolled up
     (parent, category) and ordered by the types' sort order."""
-    et = F.broadcast(expense_types.select(F.col("name").alias(name_col), "category", "parent_category", "sort_order"))
+    et = bounded_broadcast(expense_types.select(F.col("name").alias(name_col), "category", "parent_category", "sort_order"))
     j = lines.join(et, name_col, "inner")
     g = j.rollup("parent_category", "category").agg(F.sum(amount_col).alias("amount"),
                                                      F.min("sort_order").alias("sort_order"),

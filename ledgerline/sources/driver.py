@@ -28,6 +28,8 @@ from __future__ import annotations
 from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from ..operators._joins import bounded_broadcast
+
 from .. import vocab
 from ..functions import patient_hash, first_of_month, classify_by_rules
 
@@ -143,7 +145,7 @@ def cf_monthly(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def dim_branch(spark: SparkSession, sf_dir: str) -> DataFrame:
     n = read(spark, sf_dir, "nation")
-    return F.broadcast(n.select(
+    return bounded_broadcast(n.select(
         F.col("n_nationkey").alias("branch_id"), F.col("n_name").alias("name"),
         F.lower("n_name").alias("code"), F.col("n_name").alias("display_name"),
         F.col("n_regionkey").alias("legal_entity_id")))
@@ -151,8 +153,8 @@ def dim_branch(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def dim_doctor(spark: SparkSession, sf_dir: str) -> DataFrame:
     s = read(spark, sf_dir, "supplier")
-    n = F.broadcast(read(spark, sf_dir, "nation").select("n_nationkey", "n_regionkey"))
-    r = F.broadcast(read(spark, sf_dir, "region"))
+    n = bounded_broadcast(read(spark, sf_dir, "nation").select("n_nationkey", "n_regionkey"))
+    r = bounded_broadcast(read(spark, sf_dir, "region"))
     return (s.join(n, s.s_nationkey == n.n_nationkey, "left")
             .join(r, F.col("n_regionkey") == r.r_regionkey, "left")
             .select(F.col("s_suppkey").cast("int").alias("doctor_id"),

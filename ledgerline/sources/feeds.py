@@ -13,6 +13,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from ..operators._joins import bounded_broadcast
+
 from .. import vocab, schemas as SC
 from .driver import read, DRIVER_SERVICE_RULES, DRIVER_SERVICE_DEFAULT
 from ..functions import patient_hash, classify_by_rules
@@ -58,7 +60,7 @@ def branch_aliases(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _order_frame(spark, sf_dir):
     o = read(spark, sf_dir, "orders")
     c = read(spark, sf_dir, "customer")
-    n = F.broadcast(read(spark, sf_dir, "nation").select("n_nationkey", "n_name", "n_regionkey"))
+    n = bounded_broadcast(read(spark, sf_dir, "nation").select("n_nationkey", "n_name", "n_regionkey"))
     return (o.join(c, o.o_custkey == c.c_custkey, "inner")
             .join(n, F.col("c_nationkey") == n.n_nationkey, "left"))
 
@@ -160,7 +162,7 @@ def svod_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
     """SRC-3 input: consolidated grid cells. Columns are (month, region);
     rows are order priorities; one row holds text, one cell block is zero."""
     x = _order_frame(spark, sf_dir).withColumn("ym_y", F.year("o_orderdate")).withColumn("ym_m", F.month("o_orderdate"))
-    r = F.broadcast(read(spark, sf_dir, "region"))
+    r = bounded_broadcast(read(spark, sf_dir, "region"))
     x = x.join(r, F.col("n_regionkey") == r.r_regionkey, "left")
     col = (F.lit(2) + ((F.col("ym_y") - F.lit(1990)) * F.lit(12) + F.col("ym_m") - F.lit(1)) * F.lit(5)
            + F.col("r_regionkey")).cast("int")
@@ -273,7 +275,7 @@ def doctor_json(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = read(spark, sf_dir, "part").select("p_partkey", "p_type")
     o = read(spark, sf_dir, "orders").select("o_orderkey", "o_custkey")
     c = read(spark, sf_dir, "customer").select("c_custkey", "c_nationkey")
-    n = F.broadcast(read(spark, sf_dir, "nation"))
+    n = bounded_broadcast(read(spark, sf_dir, "nation"))
     types = (li.join(p, li.l_partkey == p.p_partkey).groupBy("l_suppkey", "p_type").agg(F.count(F.lit(1)).alias("_n"))
              .groupBy("l_suppkey").agg(F.array_sort(F.collect_list("p_type")).alias("specs")))
     served = (li.join(o, li.l_orderkey == o.o_orderkey).join(c, F.col("o_custkey") == c.c_custkey)
@@ -282,7 +284,7 @@ def doctor_json(spark: SparkSession, sf_dir: str) -> DataFrame:
               .groupBy("sk").agg(F.array_sort(F.collect_list(F.struct(F.col("c_nationkey").alias("id"),
                                                                          F.col("n_name").alias("name")))).alias("branches")))
     s = read(spark, sf_dir, "supplier")
-    r = F.broadcast(read(spark, sf_dir, "region"))
+    r = bounded_broadcast(read(spark, sf_dir, "region"))
     x = (s.join(n, s.s_nationkey == n.n_nationkey, "left").join(r, F.col("n_regionkey") == r.r_regionkey, "left")
          .join(types, s.s_suppkey == types.l_suppkey, "left").join(served, s.s_suppkey == served.sk, "left"))
     rec = F.struct(

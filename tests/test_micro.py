@@ -322,3 +322,64 @@ def test_instants_order_and_union(spark):
     assert [x.branch_id for x in distinct_values(bc, "branch_id").collect()] == [1, 2, 3]
     u = append_frames(bc.select("branch_id"), bc.select("branch_id", "revenue"))
     assert u.count() == 6 and u.where("revenue IS NULL").count() == 4
+
+
+def test_incremental_refresh_rewrites_touched_months_only(spark, branches, tmp_path):
+    from ledgerline.operators.refresh import touched_months, refresh_monthly_pnl
+    old = [fact_row(dt.date(2025, 1, 5), 1, "p1", "payment", "100.00"),
+           fact_row(dt.date(2025, 2, 5), 1, "p2", "payment", "70.00")]
+    cf = spark.createDataFrame([(JAN, 1, "аренда", D("-5.00")), (FEB, 1, "аренда", D("-6.00"))], CF)
+    target = str(tmp_path / "pnl")
+    fact0 = spark.createDataFrame(old, FACT)
+    from ledgerline.sinks import write_mart
+    write_mart(M.monthly_pnl(fact0, cf, branches), target)
+    # the February payment is corrected and moved to March
+    new_row = fact_row(dt.date(2025, 3, 2), 1, "p2", "payment", "75.00")
+    fact1 = spark.createDataFrame([old[0], new_row], FACT)
+    months = touched_months(spark.createDataFrame([new_row], FACT), spark.createDataFrame([old[1]], FACT))
+    assert sorted(r.year_month for r in months.collect()) == [FEB, MAR]
+    refresh_monthly_pnl(fact1, cf, branches, months, target)
+    got = {r.year_month: r for r in spark.read.parquet(target).collect()}
+    full = {r.year_month: r for r in M.monthly_pnl(fact1, cf, branches).collect()}
+    assert set(got) == set(full) == {JAN, FEB, MAR}
+    for m in (JAN, FEB, MAR):
+        assert got[m].revenue_accrual == full[m].revenue_accrual and got[m].ebitda == full[m].ebitda
+
+
+def test_hot_key_holding_a_third_of_rows(spark, branches):
+    """One branch / patient / user with a third of all rows: results stay exact
+    and the operators aggregate map-side (no window over the raw hot key)."""
+    from ledgerline.streaming import latest_per_key
+    n = 3000
+    rows = [fact_row(dt.date(2025, 1, 1 + i % 28), 1 if i % 3 == 0 else 2 + i % 7, "hot" if i % 3 == 0 else f"p{i}",
+                     "payment", "10.00", service="crown" if i % 3 == 0 else f"s{i % 11}") for i in range(n)]
+    fact = spark.createDataFrame(rows, FACT)
+    ra = {r.branch_id: r for r in M.revenue_accrual(fact).collect()}
+    assert ra[1].payment_count == n // 3 and ra[1].unique_patients == 1
+    plan = M.revenue_accrual(fact)._jdf.queryExecution().executedPlan().toString()
+    assert "Window" not in plan and plan.count("HashAggregate") >= 2
+    ev = spark.createDataFrame([(i % 3 == 0 and 7 or i, dt.datetime(2025, 1, 1) + dt.timedelta(seconds=i), i)
+                                for i in range(n)], "user_id long, ts timestamp, event_id long")
+    lp = latest_per_key(ev, "user_id", "ts", "event_id")
+    assert lp.where("user_id = 7").first().event_id == max(i for i in range(n) if i % 3 == 0)
+    assert "Window" not in lp._jdf.queryExecution().executedPlan().toString()
+
+
+def test_bounded_broadcast_checks_size(spark, sf_dir):
+    from ledgerline.operators._joins import bounded_broadcast, estimated_bytes
+    small = spark.read.parquet(f"{sf_dir}/nation.parquet")
+    assert estimated_bytes(small) < 1024 * 1024
+    assert "broadcast" in bounded_broadcast(small)._jdf.queryExecution().analyzed().toString().lower()
+    assert bounded_broadcast(small, max_bytes=0) is small      # over the cap: no hint, planner decides
+    unknown = spark.createDataFrame([(1, "a")], "k int, v string")   # no statistics: never hinted
+    assert bounded_broadcast(unknown) is unknown
+
+
+def test_seeds_are_sized_local_tables(spark):
+    from ledgerline.sources.seeds import payment_types, expense_types, aliases
+    from ledgerline.operators._joins import estimated_bytes
+    pt = payment_types(spark)
+    assert [r.name for r in pt.orderBy("payment_type_id").collect()] == [n for n, _ in vocab.PAYMENT_TYPES]
+    assert estimated_bytes(pt) < 10_000 and estimated_bytes(expense_types(spark)) < 100_000
+    al = aliases(spark, {"(Zeta)": "zeta", "O'Neil": "oneil"})
+    assert sorted(r.alias for r in al.collect()) == ["(Zeta)", "O'Neil"]
