@@ -72,13 +72,29 @@ def _sel(cols, prefix: str = "") -> str:
     return ", ".join(f"CAST({prefix}{c} AS DOUBLE) AS {c}" if c in MONEY_COLS else f"{prefix}{c}" for c in cols)
 
 
+def _csv(spark, sf_dir, name, columns=None):
+    """Landed CSV read with an all-string schema (header row skipped)."""
+    path = FD.landed(spark, sf_dir, name)
+    if columns is None:  # data-dependent header (week columns): names from the header, all text
+        return spark.read.option("header", True).option("inferSchema", False).csv(path)
+    return FI.read_flat(spark, path, columns, ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False)
+
+
+def _json(spark, sf_dir, name, schema):
+    return A.read_records(spark, FD.landed(spark, sf_dir, name), schema)
+
+
+def _tx_raw(spark, sf_dir):
+    return _csv(spark, sf_dir, "transactions", list(vocab.TRANSACTION_COLUMNS))
+
+
 def _typed(spark, sf_dir):
-    return FI.transactions_typed(FD.transactions_text(spark, sf_dir))
+    return FI.transactions_typed(_tx_raw(spark, sf_dir))
 
 
 @query("ingest_transactions", S.with_(SRC, TX_EXPECTED) + f"SELECT {_sel(TX_COLS)} FROM tx")
 def ingest_transactions(spark, sf_dir):
-    return finish(FI.ingest_transactions(FD.transactions_text(spark, sf_dir)))
+    return finish(FI.ingest_transactions(_tx_raw(spark, sf_dir)))
 
 
 @query("dq_rejects", S.with_(SRC) + """SELECT COUNT(*) AS rows,
@@ -115,7 +131,7 @@ SELECT transaction_date, CAST(date_trunc('month', transaction_date) AS DATE) AS
   visit_status = '{vocab.SOURCE_PRIMARY_LABEL}' AS is_primary_visit, CAST(transaction_amount AS DOUBLE) AS transaction_amount
 FROM tx""")
 def conform_fact(spark, sf_dir):
-    tx = FI.ingest_transactions(FD.transactions_text(spark, sf_dir))
+    tx = FI.ingest_transactions(_tx_raw(spark, sf_dir))
     f = C.conform_fact(tx, FD.branch_aliases(spark, sf_dir), dim_branch(spark, sf_dir), _payment_types(spark),
                        _doctors(spark, sf_dir))
     return finish(f.select(*FACT_COLS))
@@ -135,7 +151,8 @@ cfe AS (SELECT 'operating' AS entry_type, CASE WHEN o_orderstatus = 'P' THEN 'in
 
 
 def _cf_entries(spark, sf_dir):
-    return FI.ingest_cf_entries(FD.cf_journal_text(spark, sf_dir), source_file="cf_journal.csv")
+    return FI.ingest_cf_entries(_csv(spark, sf_dir, "cf_journal", list(vocab.CF_ENTRY_COLUMNS)),
+                                source_file="cf_journal.csv")
 
 
 @query("ingest_cf_entries", S.with_(CF_EXPECTED) + f"SELECT {_sel(CF_COLS)} FROM cfe")
@@ -161,7 +178,7 @@ COST_COLS = ["service_code", "service_name", "price", "material_cost", "doctor_p
 SELECT {_sel(COST_COLS[:8])}, CAST(material_cost AS DOUBLE) / CAST(price AS DOUBLE) AS material_pct,
   CAST(price - total_cost AS DOUBLE) AS margin_rub, CAST(price - total_cost AS DOUBLE) / CAST(price AS DOUBLE) AS margin_pct FROM cs""")
 def ingest_cost_structure(spark, sf_dir):
-    return finish(FI.ingest_cost_structure(FD.cost_sheet_text(spark, sf_dir)))
+    return finish(FI.ingest_cost_structure(_csv(spark, sf_dir, "cost_sheet", list(vocab.COST_COLUMNS))))
 
 
 @query("unpivot_leads", f"""SELECT CAST(year(o_orderdate) AS INTEGER) AS year, CAST(month(o_orderdate) AS INTEGER) AS month,
@@ -169,13 +186,14 @@ def ingest_cost_structure(spark, sf_dir):
   CAST(COUNT(*) AS INTEGER) AS count
 FROM orders WHERE o_orderpriority IN ('1-URGENT', '2-HIGH') GROUP BY 1, 2, 3""")
 def unpivot_leads(spark, sf_dir):
-    return FI.unpivot_leads(FD.leads_sheet(spark, sf_dir), year="year")
+    cols = [vocab.LEAD_LABEL_COLUMN, "year"] + vocab.MONTH_NAMES
+    return FI.unpivot_leads(_csv(spark, sf_dir, "leads_sheet", cols), year="year")
 
 
 @query("lead_sources_weekly", """SELECT event_type AS source, CAST(date_trunc('week', ts) AS DATE) AS week_start,
   CAST(date_trunc('week', ts) AS DATE) + 6 AS week_end, CAST(COUNT(*) AS INTEGER) AS count FROM events GROUP BY 1, 2, 3""")
 def lead_sources_weekly(spark, sf_dir):
-    return FI.lead_sources_weekly(FD.weekly_sources_sheet(spark, sf_dir))
+    return FI.lead_sources_weekly(_csv(spark, sf_dir, "weekly_sources"))
 
 
 SVOD_EXPECTED = OFR + """,
@@ -189,7 +207,7 @@ sv AS (SELECT CAST(year(o_orderdate) AS VARCHAR) || '-' || CAST(month(o_orderdat
 
 
 def _svod(spark, sf_dir):
-    return G.grid_unpivot_svod(FD.svod_cells(spark, sf_dir))
+    return G.grid_unpivot_svod(spark.read.parquet(FD.landed(spark, sf_dir, "svod_cells")))
 
 
 @query("grid_unpivot_svod", S.with_(SVOD_EXPECTED) + "SELECT year_month_str, legal_entity, line_item, amount, source_file FROM sv")
@@ -210,7 +228,7 @@ def cf_monthly_conform(spark, sf_dir):
 FROM ofr WHERE n_regionkey <> 4 GROUP BY 1, 2, 4""")
 def grid_unpivot_clinics(spark, sf_dir):
     allowed = read(spark, sf_dir, "nation").where(F.col("n_regionkey") != 4).select("n_name")
-    return G.grid_unpivot_clinics(FD.clinics_cells(spark, sf_dir), allowed)
+    return G.grid_unpivot_clinics(spark.read.parquet(FD.landed(spark, sf_dir, "clinics_cells")), allowed)
 
 
 # ----------------------------------------------------------------- JSON ----
@@ -251,7 +269,7 @@ FLAT_TX_COLS = ["transaction_id_api", "transaction_date", "transaction_datetime"
 
 
 def _flat_tx(spark, sf_dir):
-    return A.flatten_transactions(A.parse_records(FD.transaction_json(spark, sf_dir), "json", SC.TRANSACTION))
+    return A.flatten_transactions(_json(spark, sf_dir, "transactions_json", SC.TRANSACTION))
 
 
 @query("flatten_transactions", S.with_(OFR, LINES, FLAT_TX) + f"SELECT {_sel(FLAT_TX_COLS)} FROM ft")
@@ -280,7 +298,7 @@ SELECT CAST(s.s_suppkey AS INTEGER) AS doctor_id_api, s.s_name AS full_name, 'S'
 FROM supplier s LEFT JOIN nation n ON s.s_nationkey = n.n_nationkey LEFT JOIN region r ON n.n_regionkey = r.r_regionkey
 LEFT JOIN ty ON s.s_suppkey = ty.l_suppkey LEFT JOIN sb ON s.s_suppkey = sb.l_suppkey""")
 def flatten_doctors(spark, sf_dir):
-    return A.flatten_doctors(A.parse_records(FD.doctor_json(spark, sf_dir), "json", SC.DOCTOR))
+    return A.flatten_doctors(_json(spark, sf_dir, "doctors_json", SC.DOCTOR))
 
 
 @query("flatten_branches", """WITH k AS (SELECT s_nationkey, CAST(COUNT(*) AS INTEGER) AS k FROM supplier GROUP BY s_nationkey)
@@ -291,7 +309,7 @@ SELECT n_nationkey AS branch_id_api, n_name AS name, lower(n_name) AS code, CAST
   CAST(NULL AS TIMESTAMP) AS updated_at
 FROM nation LEFT JOIN k ON n_nationkey = k.s_nationkey""")
 def flatten_branches(spark, sf_dir):
-    return A.flatten_branches(A.parse_records(FD.branch_json(spark, sf_dir), "json", SC.BRANCH))
+    return A.flatten_branches(_json(spark, sf_dir, "branches_json", SC.BRANCH))
 
 
 def _classify_sql(col: str) -> str:
@@ -306,7 +324,7 @@ def _classify_sql(col: str) -> str:
   CAST(min(CAST(p_retailprice AS DECIMAL(10,2))) AS DOUBLE) AS min_branch_price
 FROM part GROUP BY p_name""")
 def flatten_services(spark, sf_dir):
-    return finish(A.flatten_services(A.parse_records(FD.service_json(spark, sf_dir), "json", SC.SERVICE)))
+    return finish(A.flatten_services(_json(spark, sf_dir, "services_json", SC.SERVICE)))
 
 
 @query("flatten_appointments", S.with_(OFR) + f"""SELECT o_orderkey AS appointment_id_api, CAST(o_orderdate AS DATE) AS date,
@@ -317,7 +335,7 @@ def flatten_services(spark, sf_dir):
   CASE o_orderstatus WHEN 'F' THEN 'completed' WHEN 'P' THEN 'cancelled' WHEN 'O' THEN 'no_show' END AS status,
   o_orderpriority AS source, o_orderdate AS created_at, o_orderdate AS updated_at FROM ofr""")
 def flatten_appointments(spark, sf_dir):
-    return A.flatten_appointments(A.parse_records(FD.appointment_json(spark, sf_dir), "json", SC.APPOINTMENT))
+    return A.flatten_appointments(_json(spark, sf_dir, "appointments_json", SC.APPOINTMENT))
 
 
 @query("flatten_invoices", S.with_(OFR, LINES) + f"""SELECT 'INV-' || CAST(o_orderkey AS VARCHAR) AS invoice_id,
@@ -330,7 +348,7 @@ def flatten_appointments(spark, sf_dir):
   CAST(n AS INTEGER) AS items_count, CASE WHEN o_orderstatus = 'F' THEN 1 ELSE 0 END AS payments_count,
   o_orderdate AS created_at, o_orderdate AS updated_at FROM ofr JOIN lines ON o_orderkey = l_orderkey""")
 def flatten_invoices(spark, sf_dir):
-    return finish(A.flatten_invoices(A.parse_records(FD.invoice_json(spark, sf_dir), "json", SC.INVOICE)))
+    return finish(A.flatten_invoices(_json(spark, sf_dir, "invoices_json", SC.INVOICE)))
 
 
 @query("flatten_patient_stats", S.with_(OFR) + "SELECT strftime(o_orderdate, '%Y-%m') AS period, c_nationkey AS branch_id_api, "
@@ -341,7 +359,7 @@ def flatten_invoices(spark, sf_dir):
        ", CAST(COUNT(*) AS DOUBLE) / CAST(COUNT(DISTINCT o_custkey) AS DOUBLE) AS avg_visits_per_patient, "
        "CAST(NULL AS DOUBLE) AS avg_revenue_per_patient, CAST(NULL AS DOUBLE) AS avg_ltv FROM ofr GROUP BY 1, 2, 3")
 def flatten_patient_stats(spark, sf_dir):
-    return finish(A.flatten_patient_stats(A.parse_records(FD.patient_stats_json(spark, sf_dir), "json", SC.PATIENT_STATS)))
+    return finish(A.flatten_patient_stats(_json(spark, sf_dir, "patient_stats_json", SC.PATIENT_STATS)))
 
 
 @query("explode_pages", S.with_(OFR) + f"""SELECT CAST(floor(o_orderkey / {FD.PAGE_SIZE}) AS BIGINT) AS page_no,
@@ -349,7 +367,7 @@ def flatten_patient_stats(spark, sf_dir):
   CASE WHEN o_orderstatus = 'P' THEN 'refund' ELSE 'payment' END AS operation_type,
   CAST(CAST(o_totalprice AS DECIMAL(15,2)) AS DOUBLE) AS amount FROM ofr""")
 def explode_pages(spark, sf_dir):
-    pages = A.parse_records(FD.transaction_pages(spark, sf_dir), "json", SC.envelope(SC.TRANSACTION))
+    pages = _json(spark, sf_dir, "transaction_pages", SC.envelope(SC.TRANSACTION))
     r = A.explode_pages(pages)
     return finish(r.select("page_no", "transaction_id", "transaction_date", F.col("branch.id").alias("branch_id"),
                            "operation_type", "amount"))

@@ -408,3 +408,55 @@ def transaction_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
         total.cast("long").alias("total_count")).alias("pagination"))
     stale = env.where(F.col("page_no") == 0).withColumn("page_no", F.lit(STALE_PAGE).cast("long"))
     return env.unionByName(stale).select(F.to_json(F.struct("page_no", "data", "pagination")).alias("json"))
+
+
+# ------------------------------------------------------------- landing ----
+# Rendered inputs are landed once per session as real files under the shared
+# checkpoint folder and read back through the production readers
+# (explicit-schema CSV / JSON / Parquet), exactly as uploaded files would be.
+_LANDED: dict = {}
+
+BUILDERS = {
+    "transactions": (transactions_text, "csv"),
+    "cf_journal": (cf_journal_text, "csv"),
+    "cost_sheet": (cost_sheet_text, "csv"),
+    "leads_sheet": (leads_sheet, "csv"),
+    "weekly_sources": (weekly_sources_sheet, "csv"),
+    "svod_cells": (svod_cells, "parquet"),
+    "clinics_cells": (clinics_cells, "parquet"),
+    "transactions_json": (transaction_json, "text"),
+    "doctors_json": (doctor_json, "text"),
+    "branches_json": (branch_json, "text"),
+    "services_json": (service_json, "text"),
+    "appointments_json": (appointment_json, "text"),
+    "invoices_json": (invoice_json, "text"),
+    "patient_stats_json": (patient_stats_json, "text"),
+    "transaction_pages": (transaction_pages, "text"),
+}
+
+
+def landed(spark: SparkSession, sf_dir: str, name: str) -> str:
+    """Path of the landed input ``name`` (written on first use in a session)."""
+    import hashlib
+    import os
+    from ..session import ensure_checkpoint_dir
+    try:
+        app = spark.sparkContext.applicationId
+    except Exception:
+        app = spark.conf.get("spark.app.id", "app")
+    key = (app, sf_dir.rstrip("/"), name)
+    if key not in _LANDED:
+        build, fmt = BUILDERS[name]
+        tag = hashlib.sha1(sf_dir.rstrip("/").encode()).hexdigest()[:12]
+        path = os.path.join(ensure_checkpoint_dir(spark), "landing", app, tag, name)
+        w = build(spark, sf_dir).write.mode("overwrite")
+        if fmt == "csv":
+            # keep padding and blanks exactly as rendered
+            w.option("header", True).option("ignoreLeadingWhiteSpace", False) \
+             .option("ignoreTrailingWhiteSpace", False).csv(path)
+        elif fmt == "text":
+            w.text(path)
+        else:
+            w.parquet(path)
+        _LANDED[key] = path
+    return _LANDED[key]
