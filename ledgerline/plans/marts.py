@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from pyspark.sql import functions as F
-
 from ..operators import marts as M
 from ..sources.driver import Warehouse, DRIVER_CF_PATTERNS
 from .registry import query, finish

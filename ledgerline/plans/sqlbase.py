@@ -5,7 +5,6 @@ Used only by the oracle side of the correctness gate.
 
 from __future__ import annotations
 
-from ..operators.marts import PNL_COST_BUCKETS
 from ..sources.driver import DRIVER_CF_PATTERNS, DRIVER_SERVICE_RULES, DRIVER_SERVICE_DEFAULT
 from .. import vocab
 
@@ -164,7 +163,6 @@ def pnl_select(alias: str = "pnl") -> str:
 
 
 CF_SUMMARY = _cf_summary_sql()
-_ = PNL_COST_BUCKETS
 
 PAYF = "FILTER (WHERE t.operation_type = 'payment')"
 
