@@ -36,25 +36,34 @@ def monthly_total(pnl: DataFrame, metrics=PNL_METRICS) -> DataFrame:
     return g
 
 
-def branch_summary(pnl: DataFrame) -> DataFrame:
+def branch_summary(pnl: DataFrame, fact: DataFrame | None = None) -> DataFrame:
     """AGG-9 / PRJ-3: per-branch totals over the period.
 
     ``avg_ticket`` is the mean of monthly means and ``unique_patients`` the sum
     of monthly distinct counts (source semantics, both non-additive); the
-    payment-weighted ticket is given separately as ``weighted_ticket``."""
+    payment-weighted ticket is given as ``weighted_ticket`` and, when the fact
+    (already filtered to the same period) is passed, the true number of
+    distinct patients over the period as ``distinct_patients``."""
     g = pnl.groupBy("branch_name").agg(
         psum("revenue_accrual").alias("revenue_accrual"), psum("ebitda").alias("ebitda"),
         fmean("avg_ticket").alias("avg_ticket"), psum("unique_patients").alias("unique_patients"),
         psum("primary_visits").alias("primary_visits"), psum("materials").alias("materials"),
         psum("total_payroll_direct").alias("total_payroll_direct"),
         psum("gross_revenue").alias("_gross"), psum("payment_count").alias("_n"))
-    return g.select(
+    out = g.select(
         "branch_name", "revenue_accrual", "ebitda", "avg_ticket", "unique_patients",
         "primary_visits", "materials", "total_payroll_direct",
         r6(ratio("ebitda", "revenue_accrual")).alias("ebitda_margin"),
         r6(ratio(F.col("materials") + F.col("total_payroll_direct"), "revenue_accrual")).alias("cost_ratio"),
         r6(ratio("primary_visits", "unique_patients")).alias("primary_share"),
         r6(ratio("_gross", "_n")).alias("weighted_ticket"))
+    if fact is not None:
+        names = pnl.select("branch_id", "branch_name").distinct()
+        d = (fact.groupBy("branch_id").agg(F.count_distinct("patient_hash").alias("distinct_patients"))
+             .join(names, "branch_id", "inner").groupBy("branch_name")
+             .agg(F.sum("distinct_patients").alias("distinct_patients")))
+        out = out.join(d, "branch_name", "left")
+    return out
 
 
 def branch_month_series(pnl: DataFrame, metric: str = "revenue_accrual") -> DataFrame:

@@ -73,17 +73,21 @@ def monthly_total(spark, sf_dir):
          {psum('primary_visits', True)} AS primary_visits, COALESCE(SUM(materials), 0) AS materials,
          COALESCE(SUM(total_payroll_direct), 0) AS total_payroll_direct,
          COALESCE(SUM(gross_revenue), 0) AS g, COALESCE(SUM(payment_count), 0) AS n
-  FROM pnl WHERE year_month BETWEEN {LO} AND {HI} GROUP BY branch_name)""") + f"""
-SELECT branch_name, CAST(revenue_accrual AS DOUBLE) AS revenue_accrual, CAST(ebitda AS DOUBLE) AS ebitda, avg_ticket,
+  FROM pnl WHERE year_month BETWEEN {LO} AND {HI} GROUP BY branch_name)""",
+                                  f"""dp AS (SELECT b.display_name AS branch_name, COUNT(DISTINCT f.patient_hash) AS distinct_patients
+  FROM fact f JOIN dim_branch b ON f.branch_id = b.branch_id
+  WHERE f.year_month BETWEEN {LO} AND {HI} GROUP BY b.display_name)""") + f"""
+SELECT bs.branch_name, CAST(revenue_accrual AS DOUBLE) AS revenue_accrual, CAST(ebitda AS DOUBLE) AS ebitda, avg_ticket,
        unique_patients, primary_visits, CAST(materials AS DOUBLE) AS materials,
        CAST(total_payroll_direct AS DOUBLE) AS total_payroll_direct,
        {r6(ratio('ebitda', 'revenue_accrual'))} AS ebitda_margin,
        {r6(ratio('materials + total_payroll_direct', 'revenue_accrual'))} AS cost_ratio,
        {r6(ratio('primary_visits', 'unique_patients'))} AS primary_share,
-       {r6(ratio('g', 'n'))} AS weighted_ticket
-FROM bs""")
+       {r6(ratio('g', 'n'))} AS weighted_ticket, dp.distinct_patients
+FROM bs LEFT JOIN dp ON bs.branch_name = dp.branch_name""")
 def branch_summary(spark, sf_dir):
-    return finish(R.branch_summary(FL.filter_period(_pnl(spark, sf_dir), *PERIOD)))
+    w = _wh(spark, sf_dir)
+    return finish(R.branch_summary(FL.filter_period(w.pnl, *PERIOD), FL.filter_period(w.fact, *PERIOD)))
 
 
 @query("branch_month_series", S.with_pnl() + "SELECT year_month, branch_id, branch_name, CAST(revenue_accrual AS DOUBLE) AS revenue_accrual FROM pnl")
