@@ -74,3 +74,17 @@ def test_warehouse_table_mode_matches_persist(spark, sf_dir, wh):
         assert "year_month" in t.fact.columns
     finally:
         spark.conf.unset("ledgerline.warehouse.mode")
+
+
+def test_patient_stats_identities(spark, sf_dir, wh):
+    """Source identity: the five age buckets add up to the patient total;
+    retention = returning / total."""
+    import __spark_entry__ as E
+    ps = E.queries()["flatten_patient_stats"](spark, sf_dir)
+    buckets = sum(F.col(f"age_{b}") for b in ["0_17", "18_30", "31_45", "46_60", "60_plus"])
+    assert ps.where(buckets != F.col("total_patients")).count() == 0
+    from ledgerline.operators.statements import patient_stats
+    st = patient_stats(wh.fact)
+    bad = st.where(F.abs(F.col("retention_rate") - F.col("returning_patients") / F.col("total_patients")) > 1e-6)
+    assert bad.count() == 0
+    assert st.where(F.col("new_patients") + F.col("returning_patients") != F.col("total_patients")).count() == 0
