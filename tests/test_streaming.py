@@ -62,3 +62,35 @@ def test_events_daily_stream_matches_batch_for_closed_days(spark, sf_dir):
     b = I.events_daily(ev).where(F.col("window_end") <= F.lit(wm))
     key = ["window_start", "event_type", "events", "value_sum"]
     assert sorted(map(tuple, s.select(*key).collect())) == sorted(map(tuple, b.select(*key).collect()))
+
+
+def test_change_events_dedup_and_late_data(spark):
+    """Replayed events are counted once; an event older than the watermark
+    when it arrives is not counted."""
+    import json
+    root = tempfile.mkdtemp(prefix="ll-events-")
+    src, out, ck = (os.path.join(root, x) for x in ("in", "out", "ck"))
+    os.makedirs(src)
+
+    def ev(kind, ts, tid, branch, amount):
+        return json.dumps({"event": kind, "timestamp": ts, "signature": "x",
+                           "data": {"transaction_id": tid, "branch_id": branch, "amount": amount}})
+
+    def land(name, lines):
+        with open(os.path.join(src, name), "w") as f:
+            f.write("\n".join(lines) + "\n")
+
+    land("b0.json", [ev("paid", "2025-01-01T10:00:00Z", 1, 1, 100.0),
+                     ev("paid", "2025-01-01T10:00:00Z", 1, 1, 100.0),      # exact replay
+                     ev("created", "2025-01-01T09:00:00Z", 2, 1, 50.0),    # other event type
+                     ev("paid", "2025-01-01T12:00:00Z", 3, 2, 30.0)])
+    I.run_to_end(I.stream_change_events(spark, src, out, ck))
+    land("b1.json", [ev("paid", "2025-01-03T08:00:00Z", 4, 1, 10.0)])     # moves the watermark past Jan 1-2
+    I.run_to_end(I.stream_change_events(spark, src, out, ck))
+    # the watermark advances between micro-batches: this event arrives after it passed Jan 1
+    land("b2.json", [ev("paid", "2025-01-01T23:00:00Z", 5, 1, 999.0)])
+    I.run_to_end(I.stream_change_events(spark, src, out, ck))
+    land("b3.json", [ev("paid", "2025-01-05T08:00:00Z", 6, 1, 1.0)])      # closes Jan 3
+    I.run_to_end(I.stream_change_events(spark, src, out, ck))
+    got = sorted((str(r.day)[:10], r.branch_id, r.events, float(r.amount)) for r in spark.read.parquet(out).collect())
+    assert got == [("2025-01-01", 1, 1, 100.0), ("2025-01-01", 2, 1, 30.0), ("2025-01-03", 1, 1, 10.0)]
