@@ -46,13 +46,22 @@ def _avg_if(cond, value=None):
     return F.try_divide(_sum_if(cond, value).cast("double"), _count_if(cond).cast("double"))
 
 
-def revenue_accrual(fact: DataFrame) -> DataFrame:
+def _patients(approx_rsd: float | None):
+    """Distinct patients: exact (two-phase aggregate, shuffled by group keys +
+    patient) or, at very large scale, a HyperLogLog++ sketch merged map-side
+    (one shuffle, bounded memory, ``approx_rsd`` relative standard deviation)."""
+    if approx_rsd:
+        return F.approx_count_distinct("patient_hash", approx_rsd)
+    return F.count_distinct("patient_hash")
+
+
+def revenue_accrual(fact: DataFrame, approx_patients: float | None = None) -> DataFrame:
     """AGG-1: accrual revenue per month x branch."""
     return (fact.groupBy("year_month", "branch_id").agg(
         F.sum(F.when(_pay(), _amt()).otherwise(F.lit(0))).alias("gross_revenue"),
         F.sum(F.when(_ref(), F.abs(_amt())).otherwise(F.lit(0))).alias("refunds"),
         F.sum(_amt()).alias("net_revenue"),
-        F.count_distinct("patient_hash").alias("unique_patients"),
+        _patients(approx_patients).alias("unique_patients"),
         _count_if(_pay()).alias("payment_count"),
         _count_if(_pay() & (F.col("is_primary_visit") == F.lit(True))).alias("primary_visits"),
         _avg_if(_pay()).alias("avg_ticket"),
@@ -77,10 +86,10 @@ PNL_COST_BUCKETS = ["materials", "lab", "payroll_doctors", "payroll_assistants",
 
 
 def monthly_pnl(fact: DataFrame, cf_monthly: DataFrame, dim_branch: DataFrame,
-                patterns: dict | None = None) -> DataFrame:
+                patterns: dict | None = None, approx_patients: float | None = None) -> DataFrame:
     """AGG-3: accrual revenue FULL OUTER cash buckets on (year_month, branch_id),
     then branch name. A NULL branch never matches, so it stays one-sided."""
-    r = revenue_accrual(fact)
+    r = revenue_accrual(fact, approx_patients)
     c = cf_summary(cf_monthly, patterns)
     for b in ["cash_revenue"] + PNL_COST_BUCKETS:
         if b not in c.columns:
@@ -132,13 +141,13 @@ def doctor_kpi(fact: DataFrame, dim_doctor: DataFrame, dim_branch: DataFrame) ->
                       "primary_visits", "avg_ticket", "revenue_per_workday")
 
 
-def branch_comparison(fact: DataFrame, dim_branch: DataFrame) -> DataFrame:
+def branch_comparison(fact: DataFrame, dim_branch: DataFrame, approx_patients: float | None = None) -> DataFrame:
     """AGG-5: month x branch comparison with children/adult split."""
     agg = fact.groupBy("year_month", "branch_id").agg(
         _sum_if(_pay()).alias("revenue"),
         F.sum(_amt()).alias("net_revenue"),
         _count_if(_pay()).alias("payments"),
-        F.count_distinct("patient_hash").alias("unique_patients"),
+        _patients(approx_patients).alias("unique_patients"),
         _count_if(_pay() & (F.col("is_primary_visit") == F.lit(True))).alias("primary_visits"),
         _avg_if(_pay()).alias("avg_ticket"),
         _sum_if(_pay() & (F.col("is_child") == F.lit(True))).alias("children_revenue"),

@@ -405,3 +405,13 @@ def test_etl_transactions_and_refresh_end_to_end(spark, sf_dir, tmp_path):
     assert fact.where(F.col("doctor_id").isNull()).count() == 0       # padded names matched after trimming
     res = etl.refresh(spark, root, dim_branch(spark, sf_dir))
     assert all(isinstance(v, int) and v > 0 for v in res.values()), res
+
+
+def test_approx_patients_option(spark, branches):
+    rows = [fact_row(JAN, 1, f"p{i % 500}", "payment", "1.00") for i in range(3000)]
+    fact = spark.createDataFrame(rows, FACT)
+    exact = M.revenue_accrual(fact).first().unique_patients
+    approx = M.revenue_accrual(fact, approx_patients=0.02).first().unique_patients
+    assert exact == 500 and abs(approx - 500) <= 50
+    plan = M.revenue_accrual(fact, approx_patients=0.02)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange") == 1          # sketch merged map-side: one shuffle
