@@ -415,3 +415,10 @@ def test_approx_patients_option(spark, branches):
     assert exact == 500 and abs(approx - 500) <= 50
     plan = M.revenue_accrual(fact, approx_patients=0.02)._jdf.queryExecution().executedPlan().toString()
     assert plan.count("Exchange") == 1          # sketch merged map-side: one shuffle
+
+
+def test_calendar_russian_names(spark):
+    from ledgerline.sources.calendar import dim_date
+    r = dim_date(spark, dt.date(2025, 3, 3), dt.date(2025, 3, 9), locale="ru").orderBy("date_id").collect()
+    assert [x.day_name for x in r][:2] == ["Понедельник", "Вторник"] and r[-1].day_name == "Воскресенье"
+    assert r[0].month_name == "Март"
