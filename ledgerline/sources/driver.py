@@ -235,7 +235,12 @@ class Warehouse:
         import os
         from ..session import ensure_checkpoint_dir
         tag = hashlib.sha1(self.sf_dir.rstrip("/").encode()).hexdigest()[:12]
-        path = os.path.join(ensure_checkpoint_dir(self.spark), "warehouse", tag, name)
+        try:
+            app = self.spark.sparkContext.applicationId
+        except Exception:
+            app = self.spark.conf.get("spark.app.id", "app")
+        # per application: concurrent sessions never overwrite each other's tables
+        path = os.path.join(ensure_checkpoint_dir(self.spark), "warehouse", app, tag, name)
         # REBALANCE: files grouped by month, but AQE splits a hot month across tasks
         (df.hint("rebalance", "year_month").write.mode("overwrite").option("partitionOverwriteMode", "static")
          .partitionBy("year_month").parquet(path))
