@@ -12,7 +12,9 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-DEFAULT_MAX_BYTES = 64 * 1024 * 1024
+# The estimate comes from (compressed) file sizes, so the in-memory size can be
+# several times larger; the cap is kept well below executor memory.
+DEFAULT_MAX_BYTES = 16 * 1024 * 1024
 
 
 def estimated_bytes(df: DataFrame) -> int | None:

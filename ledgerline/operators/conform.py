@@ -43,7 +43,7 @@ def conform_fact(tx: DataFrame, aliases: DataFrame, dim_branch: DataFrame, payme
     f = resolve_branch(tx, "clinic", aliases, dim_branch, "branch_id")
     f = resolve_branch(f, "invoice_clinic", aliases, dim_branch, "invoice_branch_id")
     f = lookup_id(f, "payment_type", payment_types, "name", "payment_type_id", "payment_type_id", bounded=True)
-    f = lookup_id(f, "doctor_name", doctors, "full_name", "doctor_id", "doctor_id")
+    f = lookup_id(f, "doctor_name", doctors, "full_name", "doctor_id", "doctor_id", bounded=True)
     op = trim_unicode("operation_type")
     return f.select(
         "transaction_date", first_of_month("transaction_date").alias("year_month"), "branch_id", "patient_hash",
