@@ -422,3 +422,22 @@ def test_calendar_russian_names(spark):
     r = dim_date(spark, dt.date(2025, 3, 3), dt.date(2025, 3, 9), locale="ru").orderBy("date_id").collect()
     assert [x.day_name for x in r][:2] == ["Понедельник", "Вторник"] and r[-1].day_name == "Воскресенье"
     assert r[0].month_name == "Март"
+
+
+def test_column_helpers(spark):
+    from ledgerline.functions import (band, pct_change, safe_div, month_label, signed_by_direction,
+                                      monthly_growth_factor, clip_text, flag_equals, iso_weekday)
+    df = spark.createDataFrame([(15.0, 10.0, "inflow", 12.0), (45.0, 0.0, "outflow", -10.0), (None, None, None, None)],
+                               "a double, b double, d string, g double")
+    r = df.select(band("a", [20, 40], ["red", "amber", "green"]).alias("band"), pct_change("a", "b").alias("pc"),
+                  safe_div("a", "b").alias("sd"), signed_by_direction("a", "d").alias("s"),
+                  monthly_growth_factor("g").alias("gf")).collect()
+    assert [x.band for x in r] == ["red", "green", None]
+    assert r[0].pc == pytest.approx(50.0) and r[1].pc is None and r[1].sd is None
+    assert r[0].s == 15.0 and r[1].s == -45.0
+    assert r[0].gf ** 12 == pytest.approx(1.12) and r[1].gf ** 12 == pytest.approx(0.90)
+    t = spark.createDataFrame([(JAN, " " + "x" * 300, " Первичный ", None)], "d date, s string, v string, n string")
+    x = t.select(month_label("d").alias("m"), month_label("d", True).alias("m2"), clip_text("s").alias("c"),
+                 flag_equals("v", "Первичный").alias("f"), flag_equals("n", "Первичный").alias("fn"),
+                 iso_weekday(F.lit(dt.date(2025, 1, 5))).alias("w")).first()
+    assert x.m == "Jan 2025" and x.m2 == "Jan 25" and len(x.c) == 200 and x.f is True and x.fn is None and x.w == 7
