@@ -54,7 +54,8 @@ def forecast(pnl: DataFrame, horizon: int = 6, growth_pct: float = 12.0, optimis
     er = F.when((F.col("avg_rev") != 0) & F.col("avg_rev").isNotNull(), F.col("avg_ebitda") / F.col("avg_rev")) \
         .otherwise(F.lit(default_ebitda_ratio))
     up, dn = 1 + optimistic_pct / 100, 1 + pessimistic_pct / 100
-    f = steps.select(ym.alias("year_month"), "step", rev.alias("revenue_base"), er.alias("_er"))
+    f = steps.select(ym.alias("year_month"), F.col("step").cast("long").alias("step"), rev.alias("revenue_base"),
+                     er.alias("_er"))
     return f.select(
         "year_month", "step", "revenue_base",
         (F.col("revenue_base") * F.lit(up)).alias("revenue_optimistic"),

@@ -79,7 +79,7 @@ def alerts(pnl: DataFrame, thresholds: dict | None = None, templates=vocab.ALERT
     out = x.where(fires).withColumn("_shown", shown)
     w = Window.orderBy("year_month", "branch_id", "alert_type")
     return out.select(
-        F.row_number().over(w).alias("alert_id"),
+        F.row_number().over(w).cast("long").alias("alert_id"),
         F.add_months("year_month", 1).cast("timestamp").alias("created_at"),
         "year_month", "branch_id", "branch_name",
         F.lit(None).cast("int").alias("doctor_id"), F.lit(None).cast("string").alias("doctor_name"),

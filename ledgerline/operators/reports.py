@@ -105,7 +105,7 @@ def branch_ranking(pnl: DataFrame) -> DataFrame:
     """WIN-3: rank branches by revenue (1..n, ties broken by name)."""
     g = _branch_agg(pnl)
     w = Window.orderBy(F.desc("revenue_accrual"), F.asc("branch_name"))
-    return (g.withColumn("rank", F.row_number().over(w))
+    return (g.withColumn("rank", F.row_number().over(w).cast("long"))
             .withColumn("ebitda_margin", r6(ratio("ebitda", "revenue_accrual", 100.0)))
             .select("rank", "branch_name", "revenue_accrual", "ebitda", "ebitda_margin",
                     "unique_patients", "avg_ticket", "primary_visits"))
@@ -197,7 +197,7 @@ def cashflow_bridge(cf: DataFrame, n_in: int = 3, n_out: int = 8) -> DataFrame:
     then the net total; running level over the steps."""
     t = _item_totals(cf)
     w = Window.partitionBy("direction").orderBy(F.desc("total"), "line_item")
-    ranked = t.withColumn("rk", F.row_number().over(w)).where(
+    ranked = t.withColumn("rk", F.row_number().over(w).cast("long")).where(
         ((F.col("direction") == "inflow") & (F.col("rk") <= n_in))
         | ((F.col("direction") == "outflow") & (F.col("rk") <= n_out)))
     steps = ranked.select(
@@ -206,7 +206,7 @@ def cashflow_bridge(cf: DataFrame, n_in: int = 3, n_out: int = 8) -> DataFrame:
         F.when(F.col("direction") == "inflow", F.lit("absolute")).otherwise(F.lit("relative")).alias("role"),
         F.when(F.col("direction") == "inflow", F.col("total")).otherwise(-F.col("total")).alias("value"))
     k = cashflow_kpis(cf)
-    net = k.select(F.lit(n_in + n_out + 1).alias("ordinal"), F.lit("net").alias("label"),
+    net = k.select(F.lit(n_in + n_out + 1).cast("long").alias("ordinal"), F.lit("net").alias("label"),
                    F.lit("total").alias("role"), F.col("net").alias("value"))
     out = steps.unionByName(net)
     w2 = Window.orderBy("ordinal").rowsBetween(Window.unboundedPreceding, Window.currentRow)

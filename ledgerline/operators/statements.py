@@ -45,7 +45,7 @@ def top_services_per_branch(fact: DataFrame, n: int = 10) -> DataFrame:
     g = fact.where(_pay()).groupBy("branch_id", "service_name").agg(
         F.count(F.lit(1)).alias("quantity"), F.sum(_amt()).alias("total"))
     w = Window.partitionBy("branch_id").orderBy(F.desc("total"), F.asc("service_name"))
-    return (g.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= n)
+    return (g.withColumn("rank", F.row_number().over(w).cast("long")).where(F.col("rank") <= n)
             .withColumn("price", ratio("total", "quantity"))
             .select("branch_id", "rank", "service_name", "price", "quantity", "total"))
 

@@ -24,13 +24,21 @@ def test_every_query_has_an_oracle():
     assert set(QUERIES) == set(SQL)
 
 
+SPARK_TO_DUCK = {"int": "INTEGER", "bigint": "BIGINT", "double": "DOUBLE", "string": "VARCHAR", "date": "DATE",
+                 "boolean": "BOOLEAN", "timestamp": "TIMESTAMP", "timestamp_ntz": "TIMESTAMP"}
+
+
 @pytest.mark.parametrize("name", sorted(QUERIES))
 def test_query_matches_oracle(spark, sf_dir, con, name):
     df = QUERIES[name](spark, sf_dir)
     rows = [tuple(r) for r in df.collect()]
-    cur = con.execute(SQL[name])
-    problem = same(df.columns, rows, [d[0] for d in cur.description], cur.fetchall())
+    rel = con.sql(SQL[name])
+    problem = same(df.columns, rows, rel.columns, rel.fetchall())
     assert problem is None, problem
+    duck = dict(zip(rel.columns, map(str, rel.types)))
+    types = [(f.name, f.dataType.simpleString(), duck.get(f.name)) for f in df.schema.fields
+             if SPARK_TO_DUCK.get(f.dataType.simpleString(), f.dataType.simpleString()) != duck.get(f.name)]
+    assert not types, f"column types differ: {types}"
 
 
 def test_entry_smoke(spark):
