@@ -167,3 +167,37 @@ def receivables(items: DataFrame, keys=("branch_id", "status")) -> DataFrame:
                                  psum(F.when(F.col("paid"), total)).alias("paid_amount"),
                                  F.count(F.lit(1)).alias("invoices"))
     return g.withColumn("debt", F.col("total_amount") - F.col("paid_amount"))
+
+
+def patient_stats_sets(fact: DataFrame, sets=(("year_month", "branch_id"), ("year_month",), ("branch_id",), ())) -> DataFrame:
+    """RPT-7 with combinable keys (GROUPING SETS over month and branch).
+
+    Step 1: grouping sets with the patient appended give one row per
+    (set keys, patient) — visits, revenue, lifetime value, and whether the
+    patient's first month is in the group (for sets without the month: the
+    patient's first month had activity in the group). Step 2 counts those rows
+    per set, so patients are counted once per group and the mean lifetime
+    value is over distinct patients. ``level`` names the keys of the set."""
+    pat = fact.where(F.col("patient_hash").isNotNull())
+    first = pat.groupBy("patient_hash").agg(F.min("year_month").alias("first_month"),
+                                            F.sum(F.when(_pay(), _amt())).alias("ltv"))
+    base = (pat.groupBy("year_month", "branch_id", "patient_hash")
+            .agg(F.count(F.when(_pay(), 1)).alias("visits"), F.sum(F.when(_pay(), _amt())).alias("revenue"))
+            .join(first, "patient_hash", "inner")
+            .withColumn("is_new", (F.col("first_month") == F.col("year_month")).cast("int")))
+    gsets = [list(s) + ["patient_hash"] for s in sets]
+    per = base.groupingSets(gsets, "year_month", "branch_id", "patient_hash").agg(
+        F.sum("visits").alias("visits"), F.sum("revenue").alias("revenue"), F.max("ltv").alias("ltv"),
+        F.max("is_new").alias("is_new"), F.grouping("year_month").alias("g_ym"),
+        F.grouping("branch_id").alias("g_br"))
+    g = per.groupBy("g_ym", "g_br", "year_month", "branch_id").agg(
+        F.count(F.lit(1)).alias("total_patients"), F.sum("is_new").cast("long").alias("new_patients"),
+        F.sum("visits").alias("_v"), F.sum("revenue").alias("_r"), F.sum("ltv").alias("_l"), F.count("ltv").alias("_nl"))
+    level = (F.when((F.col("g_ym") == 0) & (F.col("g_br") == 0), "year_month,branch_id")
+             .when(F.col("g_ym") == 0, "year_month").when(F.col("g_br") == 0, "branch_id").otherwise("all"))
+    ret = F.col("total_patients") - F.col("new_patients")
+    return g.select(level.alias("level"), "year_month", "branch_id", "total_patients", "new_patients",
+                    ret.alias("returning_patients"), r6(ratio(ret, "total_patients")).alias("retention_rate"),
+                    r6(ratio("_v", "total_patients")).alias("avg_visits_per_patient"),
+                    ratio("_r", "total_patients").alias("avg_revenue_per_patient"),
+                    ratio("_l", "_nl").alias("avg_ltv"))

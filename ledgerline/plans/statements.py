@@ -206,3 +206,28 @@ SELECT branch_id, status, CAST(subtotal AS DOUBLE) AS subtotal, CAST(discount_to
        CAST(total_amount - paid_amount AS DOUBLE) AS debt FROM g""")
 def receivables(spark, sf_dir):
     return finish(T.receivables(invoice_items(spark, sf_dir)))
+
+
+@query("patient_stats_sets", S.with_fact(f"""first AS (SELECT patient_hash, MIN(year_month) AS first_month,
+    SUM(transaction_amount) {PAYF} AS ltv FROM fact WHERE patient_hash IS NOT NULL GROUP BY patient_hash),
+base AS (SELECT f.year_month, f.branch_id, f.patient_hash, COUNT(*) FILTER (WHERE operation_type = 'payment') AS visits,
+    SUM(transaction_amount) FILTER (WHERE operation_type = 'payment') AS revenue
+  FROM fact f WHERE patient_hash IS NOT NULL GROUP BY 1, 2, 3),
+b2 AS (SELECT base.*, first.ltv, CAST(first.first_month = base.year_month AS INTEGER) AS is_new
+  FROM base JOIN first USING (patient_hash)),
+per AS (SELECT year_month, branch_id, patient_hash, SUM(visits) AS visits, SUM(revenue) AS revenue, MAX(ltv) AS ltv,
+    MAX(is_new) AS is_new, GROUPING(year_month) AS g_ym, GROUPING(branch_id) AS g_br
+  FROM b2 GROUP BY GROUPING SETS ((year_month, branch_id, patient_hash), (year_month, patient_hash),
+                                  (branch_id, patient_hash), (patient_hash))),
+g AS (SELECT g_ym, g_br, year_month, branch_id, COUNT(*) AS total_patients, CAST(SUM(is_new) AS BIGINT) AS new_patients,
+    SUM(visits) AS v, SUM(revenue) AS r, SUM(ltv) AS l, COUNT(ltv) AS nl
+  FROM per GROUP BY g_ym, g_br, year_month, branch_id)""") + f"""
+SELECT CASE WHEN g_ym = 0 AND g_br = 0 THEN 'year_month,branch_id' WHEN g_ym = 0 THEN 'year_month'
+            WHEN g_br = 0 THEN 'branch_id' ELSE 'all' END AS level, year_month, branch_id, total_patients, new_patients,
+       total_patients - new_patients AS returning_patients,
+       {r6(ratio('total_patients - new_patients', 'total_patients'))} AS retention_rate,
+       {r6(ratio('v', 'total_patients'))} AS avg_visits_per_patient,
+       {ratio('r', 'total_patients')} AS avg_revenue_per_patient, {ratio('l', 'nl')} AS avg_ltv
+FROM g""")
+def patient_stats_sets(spark, sf_dir):
+    return finish(T.patient_stats_sets(_wh(spark, sf_dir).fact))

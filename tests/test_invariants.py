@@ -88,3 +88,15 @@ def test_patient_stats_identities(spark, sf_dir, wh):
     bad = st.where(F.abs(F.col("retention_rate") - F.col("returning_patients") / F.col("total_patients")) > 1e-6)
     assert bad.count() == 0
     assert st.where(F.col("new_patients") + F.col("returning_patients") != F.col("total_patients")).count() == 0
+
+
+def test_patient_stats_sets_levels(wh):
+    from ledgerline.operators.statements import patient_stats, patient_stats_sets
+    s = patient_stats_sets(wh.fact)
+    cols = ["year_month", "branch_id", "total_patients", "new_patients", "avg_ltv"]
+    a = sorted(map(tuple, s.where("level = 'year_month,branch_id'").select(*cols).collect()), key=str)
+    b = sorted(map(tuple, patient_stats(wh.fact).select(*cols).collect()), key=str)
+    assert a == b
+    total = s.where("level = 'all'").first()
+    distinct = wh.fact.where(F.col("patient_hash").isNotNull()).select("patient_hash").distinct().count()
+    assert total.total_patients == distinct == total.new_patients
