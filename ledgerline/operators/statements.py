@@ -102,19 +102,36 @@ def statement_lines(pnl: DataFrame, dim_branch: DataFrame, lines=STATEMENT_LINES
                        F.lag("amount_current").over(w).alias("amount_previous"))
 
 
-def patient_stats(fact: DataFrame, keys=("year_month", "branch_id"), age_col: str | None = None) -> DataFrame:
-    """RPT-7: total / new / returning patients per group, retention, visits
-    and revenue per patient, mean lifetime value. A patient is *new* in the
-    month of their first transaction anywhere."""
-    keys = list(keys)
+def patient_base(fact: DataFrame) -> DataFrame:
+    """Per (month, branch, patient): paid visits and revenue, with the
+    patient's first month and lifetime value. An aggregate (never larger than
+    the fact) shared by the patient reports."""
     pat = fact.where(F.col("patient_hash").isNotNull())
     first = pat.groupBy("patient_hash").agg(F.min("year_month").alias("first_month"),
                                             F.sum(F.when(_pay(), _amt())).alias("ltv"))
-    aggs = [F.count(F.when(_pay(), 1)).alias("visits"), F.sum(F.when(_pay(), _amt())).alias("revenue")]
-    if age_col:
-        aggs.append(F.max(age_col).alias("age"))
-    pg = pat.groupBy(*keys, "patient_hash").agg(*aggs)
-    j = pg.join(first, "patient_hash", "inner")
+    return (pat.groupBy("year_month", "branch_id", "patient_hash")
+            .agg(F.count(F.when(_pay(), 1)).alias("visits"), F.sum(F.when(_pay(), _amt())).alias("revenue"))
+            .join(first, "patient_hash", "inner"))
+
+
+def patient_stats(fact: DataFrame | None = None, keys=("year_month", "branch_id"), age_col: str | None = None,
+                  base: DataFrame | None = None) -> DataFrame:
+    """RPT-7: total / new / returning patients per group, retention, visits
+    and revenue per patient, mean lifetime value. A patient is *new* in the
+    month of their first transaction anywhere. ``base`` (``patient_base``)
+    can be passed for the default month x branch keys."""
+    keys = list(keys)
+    if base is not None and keys == ["year_month", "branch_id"] and not age_col:
+        j = base
+    else:
+        pat = fact.where(F.col("patient_hash").isNotNull())
+        first = pat.groupBy("patient_hash").agg(F.min("year_month").alias("first_month"),
+                                                F.sum(F.when(_pay(), _amt())).alias("ltv"))
+        aggs = [F.count(F.when(_pay(), 1)).alias("visits"), F.sum(F.when(_pay(), _amt())).alias("revenue")]
+        if age_col:
+            aggs.append(F.max(age_col).alias("age"))
+        pg = pat.groupBy(*keys, "patient_hash").agg(*aggs)
+        j = pg.join(first, "patient_hash", "inner")
     new = F.col("first_month") == F.col("year_month") if "year_month" in keys else F.lit(False)
     out = [F.count(F.lit(1)).alias("total_patients"), F.count(F.when(new, 1)).alias("new_patients"),
            F.sum("visits").alias("_v"), F.sum("revenue").alias("_r"),
@@ -169,7 +186,8 @@ def receivables(items: DataFrame, keys=("branch_id", "status")) -> DataFrame:
     return g.withColumn("debt", F.col("total_amount") - F.col("paid_amount"))
 
 
-def patient_stats_sets(fact: DataFrame, sets=(("year_month", "branch_id"), ("year_month",), ("branch_id",), ())) -> DataFrame:
+def patient_stats_sets(fact: DataFrame | None = None, sets=(("year_month", "branch_id"), ("year_month",), ("branch_id",), ()),
+                       base: DataFrame | None = None) -> DataFrame:
     """RPT-7 with combinable keys (GROUPING SETS over month and branch).
 
     Step 1: grouping sets with the patient appended give one row per
@@ -178,13 +196,8 @@ def patient_stats_sets(fact: DataFrame, sets=(("year_month", "branch_id"), ("yea
     patient's first month had activity in the group). Step 2 counts those rows
     per set, so patients are counted once per group and the mean lifetime
     value is over distinct patients. ``level`` names the keys of the set."""
-    pat = fact.where(F.col("patient_hash").isNotNull())
-    first = pat.groupBy("patient_hash").agg(F.min("year_month").alias("first_month"),
-                                            F.sum(F.when(_pay(), _amt())).alias("ltv"))
-    base = (pat.groupBy("year_month", "branch_id", "patient_hash")
-            .agg(F.count(F.when(_pay(), 1)).alias("visits"), F.sum(F.when(_pay(), _amt())).alias("revenue"))
-            .join(first, "patient_hash", "inner")
-            .withColumn("is_new", (F.col("first_month") == F.col("year_month")).cast("int")))
+    base = (patient_base(fact) if base is None else base) \
+        .withColumn("is_new", (F.col("first_month") == F.col("year_month")).cast("int"))
     gsets = [list(s) + ["patient_hash"] for s in sets]
     per = base.groupingSets(gsets, "year_month", "branch_id", "patient_hash").agg(
         F.sum("visits").alias("visits"), F.sum("revenue").alias("revenue"), F.max("ltv").alias("ltv"),

@@ -135,7 +135,7 @@ SELECT year_month, branch_id, total_patients, new_patients, total_patients - new
        {ratio('r', 'total_patients')} AS avg_revenue_per_patient, {ratio('l', 'nl')} AS avg_ltv
 FROM g""")
 def patient_stats(spark, sf_dir):
-    return finish(T.patient_stats(_wh(spark, sf_dir).fact))
+    return finish(T.patient_stats(base=_wh(spark, sf_dir).patient_base))
 
 
 def leads(spark, sf_dir):
@@ -230,4 +230,4 @@ SELECT CASE WHEN g_ym = 0 AND g_br = 0 THEN 'year_month,branch_id' WHEN g_ym = 0
        {ratio('r', 'total_patients')} AS avg_revenue_per_patient, {ratio('l', 'nl')} AS avg_ltv
 FROM g""")
 def patient_stats_sets(spark, sf_dir):
-    return finish(T.patient_stats_sets(_wh(spark, sf_dir).fact))
+    return finish(T.patient_stats_sets(base=_wh(spark, sf_dir).patient_base))

@@ -294,6 +294,11 @@ class Warehouse:
         from ..operators.marts import branch_comparison
         return self._get("branch_comparison", lambda: branch_comparison(self.fact, self.branches))
 
+    @property
+    def patient_base(self) -> DataFrame:
+        from ..operators.statements import patient_base
+        return self._get("patient_base", lambda: patient_base(self.fact))
+
     @property
     def service_economics(self) -> DataFrame:
         from ..operators.marts import service_economics
