@@ -441,3 +441,17 @@ def test_column_helpers(spark):
                  flag_equals("v", "Первичный").alias("f"), flag_equals("n", "Первичный").alias("fn"),
                  iso_weekday(F.lit(dt.date(2025, 1, 5))).alias("w")).first()
     assert x.m == "Jan 2025" and x.m2 == "Jan 25" and len(x.c) == 200 and x.f is True and x.fn is None and x.w == 7
+
+
+def test_spread_only_widens_narrow_scans(spark, tmp_path):
+    """A one-file table is spread to the default parallelism; a scan that is
+    already wide (the large-data case) gets no extra shuffle."""
+    from ledgerline.sources.driver import spread
+    narrow_path, wide_path = str(tmp_path / "narrow"), str(tmp_path / "wide")
+    spark.range(1000).coalesce(1).write.parquet(narrow_path)
+    n_par = spark.sparkContext.defaultParallelism
+    spark.range(0, 100_000, 1, n_par * 4).write.parquet(wide_path)
+    narrow, wide = spread(spark.read.parquet(narrow_path)), spread(spark.read.parquet(wide_path))
+    assert narrow.rdd.getNumPartitions() == n_par
+    assert "Repartition" in narrow._jdf.queryExecution().logical().toString()
+    assert "Repartition" not in wide._jdf.queryExecution().logical().toString()
