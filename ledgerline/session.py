@@ -24,6 +24,11 @@ DEFAULTS = {
     "spark.sql.optimizer.dynamicPartitionPruning.enabled": "true",
     "spark.sql.parquet.filterPushdown": "true",
     "spark.sql.sources.partitionOverwriteMode": "dynamic",
+    # Streaming state (dedup ids within the watermark, open windows) can be
+    # large at volume: keep it in RocksDB (off-heap, spills to local disk,
+    # checkpointed to the shared folder) instead of the JVM heap.
+    "spark.sql.streaming.stateStore.providerClass":
+        "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
 }
 
 
