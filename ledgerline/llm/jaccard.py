@@ -335,6 +335,7 @@ def jaccard_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS, percent: int = PERCENT) -> DataFrame:
-    """``docs`` with all columns, the document with the smallest id of each component."""
-    stay = jaccard_groups(docs, id_col, text_col, words, percent).filter("kept").select(F.col("doc_id").alias("__keep")).distinct()
-    return docs.join(stay, docs[id_col].eqNullSafe(stay["__keep"]), "left_semi").dropDuplicates([id_col])
+    """``docs`` with all columns, the document with the smallest id of each component; rows with a null id that
+    are linked to nothing with an id stay as well."""
+    stay = jaccard_groups(docs, id_col, text_col, words, percent).filter("kept").select(F.col("doc_id").alias("__id")).distinct()
+    return docs.join(stay, docs[id_col].eqNullSafe(stay["__id"]), "left_semi").dropDuplicates([id_col, text_col])

@@ -65,6 +65,25 @@ def train(labelled: DataFrame, per_language: int = PER_LANGUAGE, cost: float = C
             "trust": trust / np.maximum(trust.sum(1, keepdims=True), 1e-12) * code.shape[1]}
 
 
+def _decoder(model: dict, ambiguous: float):
+    """text -> (language, score, ambiguous), for use in a task."""
+    import numpy as np
+    names, code, weights, trust = model["names"], model["code"], model["weights"], model["trust"]
+
+    def decode(text: str):
+        if not names or not _LETTER.search(text):
+            return "und", 0.0, True
+        seen = np.flatnonzero(G.indicators(text, True, False))
+        margin = weights[seen].sum(0, dtype=np.float64) / np.sqrt(max(len(seen), 1)) + model["bias"]
+        loss = (trust * np.log1p(np.exp(np.clip(-2 * code * margin, -30, 30)))).sum(1)
+        p = np.exp(loss.min() - loss)
+        p /= p.sum()
+        order = np.argsort(-p, kind="stable")
+        return names[order[0]], float(p[order[0]]), bool(len(p) > 1 and p[order[0]] - p[order[1]] < ambiguous)
+
+    return decode
+
+
 def identify(docs: DataFrame, model: dict, id_col: str = "doc_id", text_col: str = "text",
              ambiguous: float = AMBIGUOUS) -> DataFrame:
     """doc_id, lang_pred, score (0 to 1) and ambiguous for every whole text.
@@ -77,33 +96,30 @@ def identify(docs: DataFrame, model: dict, id_col: str = "doc_id", text_col: str
     kind = rows.schema["doc_id"].dataType.simpleString()
 
     def run(batches: Iterator) -> Iterator:
-        import numpy as np
         import pyarrow as pa
-        names, code, weights, trust = model["names"], model["code"], model["weights"], model["trust"]
+        decode = _decoder(model, ambiguous)
         for batch in batches:
-            langs, scores, doubt = [], [], []
-            for text in batch.column(1):
-                text = text.as_py()
-                if not names or not _LETTER.search(text):
-                    langs.append("und")
-                    scores.append(0.0)
-                    doubt.append(True)
-                    continue
-                seen = np.flatnonzero(G.indicators(text, True, False))
-                margin = weights[seen].sum(0, dtype=np.float64) / np.sqrt(max(len(seen), 1)) + model["bias"]
-                loss = (trust * np.log1p(np.exp(np.clip(-2 * code * margin, -30, 30)))).sum(1)
-                p = np.exp(loss.min() - loss)
-                p /= p.sum()
-                order = np.argsort(-p, kind="stable")
-                langs.append(names[order[0]])
-                scores.append(float(p[order[0]]))
-                doubt.append(bool(len(p) > 1 and p[order[0]] - p[order[1]] < ambiguous))
+            found = [decode(text.as_py()) for text in batch.column(1)]
+            langs, scores, doubt = ([x[i] for x in found] for i in range(3))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(langs, pa.string()), pa.array(scores, pa.float64()), pa.array(doubt, pa.bool_())],
                                              names=["doc_id", "lang_pred", "score", "ambiguous"])
 
     return rows.mapInArrow(run, f"doc_id {kind}, lang_pred string, score double, ambiguous boolean")
 
 
+def accepted(docs: DataFrame, model: dict, text_col: str = "text", ambiguous: float = AMBIGUOUS) -> DataFrame:
+    """The rows of ``docs``, all columns, whose language is clear: neither ``und`` nor ambiguous. Nothing is shuffled."""
+    at = docs.columns.index(text_col)
+
+    def run(batches: Iterator) -> Iterator:
+        import pyarrow as pa
+        decode = _decoder(model, ambiguous)
+        for batch in batches:
+            yield batch.filter(pa.array([not decode(t.as_py() or "")[2] for t in batch.column(at)], pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def held_out(id_col):
     return fold(id_col, FOLDS) == HELD
 
