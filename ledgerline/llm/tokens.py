@@ -98,13 +98,14 @@ def count_tokens(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", text_
 
     def run(batches: Iterator) -> Iterator:
         import pyarrow as pa
+        import pyarrow.compute as pc
         counter = _counter(vocabulary)
         for batch in batches:
             texts = batch.column(1).to_pylist()
             n = []
             for a, b in by_bytes(texts, RUN_CHARS):
                 n += counter.counts(texts[a:b])
-            sizes = pa.compute.binary_length(batch.column(1)).cast(pa.int64())
+            sizes = pc.binary_length(batch.column(1)).cast(pa.int64())
             yield pa.RecordBatch.from_arrays([batch.column(0), sizes, pa.array(n, pa.int64())],
                                              names=["doc_id", "n_bytes", "n_tokens"])
 
