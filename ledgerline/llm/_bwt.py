@@ -29,7 +29,7 @@ def equal_prefixes(text, length: int):
         short = (key >> np.uint64(8 * (8 - length)))[order]
         return order, np.flatnonzero(np.concatenate([[True], short[1:] != short[:-1]]))
     while True:
-        order = np.argsort(key, kind="stable")
+        order = np.argsort(key)  # ties may fall as they like: only equality up to ``length`` counts
         ordered = key[order]
         new = np.concatenate([[True], ordered[1:] != ordered[:-1]])
         if depth < length:

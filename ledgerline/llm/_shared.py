@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import gc
 import os
+import time
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
@@ -37,6 +40,43 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+class Scratch:
+    """Tables written in the shared folder for one computation, compressed, and dropped when it is done with them.
+
+    Writing one also lets go of what earlier steps shuffled: Spark removes
+    shuffle files once the driver has collected the objects that stand for them.
+    """
+
+    def __init__(self, spark: SparkSession):
+        self.spark, self.folder = spark, f"{ensure_checkpoint_dir(spark)}/ledgerline-{uuid.uuid4()}"
+        self.count = 0
+
+    def table(self, df: DataFrame) -> DataFrame:
+        self.count += 1
+        path = f"{self.folder}/{self.count}"
+        schema = df.schema
+        df.write.option("compression", "zstd").parquet(path)
+        del df  # else its shuffles stay
+        release(self.spark)
+        return self.spark.read.schema(schema).parquet(path)
+
+    def drop(self) -> None:
+        jvm = self.spark.sparkContext._jvm
+        path = jvm.org.apache.hadoop.fs.Path(self.folder)
+        path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def release(spark: SparkSession) -> None:
+    """Collect the driver's garbage, so that shuffle files nothing refers to any more go now.
+
+    Twice: what the first round lets go of on the Python side is garbage to the JVM only then.
+    """
+    for _ in range(2):
+        gc.collect()
+        spark.sparkContext._jvm.System.gc()
+        time.sleep(0.3)
+
+
 def keyed(docs: DataFrame, id_col: str, text_col: str, *more: str) -> DataFrame:
     """Only the columns an operator reads, under names of its own.
 

@@ -2,11 +2,11 @@
 
 A string of ``LENGTH`` bytes is named by its minimizer, the least hash of its
 ``GRAM``-byte substrings. Equal strings have equal minimizers at the same place,
-so only minimizers that occur in two documents matter, and equal strings meet
-under the same one. Around each such anchor a context holds the strings it
-names; equal contexts are one, with their smallest document. Contexts that
-differ under one anchor are put in shards by anchor; in a shard, interval
-expansion on the transform finds equal strings, stopping at the minimum length.
+so equal strings meet under the same anchor. The context of an anchor's place is
+the text of all strings the place names. Equal contexts are one, and all but
+those of their first document are repeats as a whole. Only where contexts of one
+anchor differ, their texts go to a shard: there, interval expansion on the
+transform finds the equal strings, stopping at the minimum length.
 """
 
 from __future__ import annotations
@@ -18,17 +18,16 @@ from pyspark.sql import DataFrame, functions as F
 
 from . import _shingles as S
 from ._bwt import equal_prefixes
-from ._shared import cut
+from ._shared import Scratch, cut, release
 
 LENGTH = 50
 GRAM = 16
 SHARD_BYTES = 4 << 20        # context bytes of a shard
-ANCHOR_SHARD_BYTES = 64 << 20  # text whose anchors meet in one shard
+ANCHOR_SHARD_BYTES = 16 << 20  # text whose anchors meet in one shard
+RUN_BYTES = 16 << 20         # text whose anchors a batch settles by itself
 HOT_CONTEXTS = 20_000        # an anchor with more contexts is split up by the strings themselves
 LAST = 2**63 - 1             # rank of a null id
 
-_ENTRY = [("hash", "<u8"), ("doc", "<i8"), ("at", "<u4"), ("n", "u1")]
-
 
 def anchors(data, length: int, gram: int):
     """(hash, first, count) of a byte array's anchors: the strings starting at first .. first + count - 1 have it as minimizer."""
@@ -59,161 +58,229 @@ def anchors(data, length: int, gram: int):
     return low[first], first, count
 
 
-def _shared_anchors(docs: DataFrame, length: int, gram: int) -> DataFrame:
-    """doc, hash, first, count of the anchors that occur in two documents or more.
+def _named(data, first, count, length: int):
+    """48-bit hashes of the contexts: the bytes that the strings starting at first .. first + count - 1 cover."""
+    import numpy as np
+    up, down = S._powers(len(data) + 1)
+    sums = np.concatenate([[np.uint64(0)], np.cumsum((data.astype(np.uint64) + np.uint64(1)) * up[:len(data)], dtype=np.uint64)])
+    ends = first + count - 1 + length
+    return S.mixed((sums[ends] - sums[first]) * down[first] + count.astype(np.uint64)) >> np.uint64(16)
+
+
+_FIELDS = {"hash": "<u8", "name": "<u8", "doc": "<i8", "at": "<u4", "n": "u1"}
+
+
+def _packed(kind: int, shard: int, columns: dict):
+    """One row for many entries: their fields as bytes. A name takes six."""
+    import numpy as np
+    import pyarrow as pa
+    values = [np.ascontiguousarray(columns[f]).astype(t) for f, t in _FIELDS.items()]
+    values[1] = values[1].view(np.uint8).reshape(-1, 8)[:, :6]
+    return pa.RecordBatch.from_arrays([pa.array([shard]), pa.array([kind], pa.int32())] + [pa.array([v.tobytes()], pa.binary()) for v in values],
+                                      names=["shard", "kind", *_FIELDS])
+
+
+def _unpacked(table) -> dict:
+    import numpy as np
+    out = {f: b"".join(table.column(f).to_pylist()) for f in _FIELDS}
+    sizes = [len(x) // 8 for x in table.column("hash").to_pylist()]
+    name = np.zeros((sum(sizes), 8), dtype=np.uint8)
+    name[:, :6] = np.frombuffer(out.pop("name"), dtype=np.uint8).reshape(-1, 6)
+    found = {f: np.frombuffer(x, dtype=_FIELDS[f]) for f, x in out.items()}
+    return found | {"name": name.view("<u8")[:, 0], "kind": np.repeat(np.array(table.column("kind").to_pylist(), dtype=np.int8), sizes)}
+
+
+def _firsts(e: dict):
+    """(order, first): entries by anchor, context and document, and per entry the first document of its context."""
+    import numpy as np
+    order = np.lexsort((e["doc"], e["name"], e["hash"]))
+    h, name, doc = e["hash"][order], e["name"][order], e["doc"][order]
+    starts = np.flatnonzero(np.concatenate([[True], (h[1:] != h[:-1]) | (name[1:] != name[:-1])]))
+    return order, np.repeat(doc[starts], np.diff(np.append(starts, len(h))))
+
+
+def _spans(doc, a, z):
+    """Ranges [a, z) of documents, overlapping and touching ones as one."""
+    import numpy as np
+    order = np.lexsort((a, doc))
+    doc, a, z = doc[order], a[order], z[order]
+    if not len(doc):
+        return doc, a, z
+    new = np.concatenate([[True], doc[1:] != doc[:-1]])
+    far = np.maximum.accumulate(z + np.cumsum(new) * (1 << 33)) - np.cumsum(new) * (1 << 33)
+    new[1:] |= a[1:] > far[:-1]
+    starts = np.flatnonzero(new)
+    return doc[starts], a[starts], np.maximum.reduceat(z, starts)
+
+
+def _runs(batches):
+    """The batches, large ones in slices of about ``RUN_BYTES`` of text."""
+    import numpy as np
+    import pyarrow.compute as pc
+    for batch in batches:
+        sizes = np.cumsum(pc.binary_length(batch.column(1)).to_numpy(zero_copy_only=False))
+        part = sizes // RUN_BYTES
+        cuts = np.flatnonzero(np.concatenate([[True], part[1:] != part[:-1], [True]])) if len(part) else []
+        for a, b in zip(cuts, cuts[1:]):
+            yield batch.slice(int(a), int(b - a))
+
+
+_PLACES = "kind int, doc bigint, a bigint, z bigint, hash bigint, name bigint"
+REPEAT, OPEN = 1, 0
 
-    An anchor that a batch of rows already shows in two documents is known to
-    be shared: its places skip the meeting, spread evenly, and only one of them
-    goes there to tell other batches. So a frequent anchor costs its shard one
-    entry for each batch, not for each document.
+
+def _places(docs: DataFrame, length: int, gram: int) -> DataFrame:
+    """What the anchors tell, as rows of two kinds.
+
+    REPEAT: a range [a, z) of ``doc`` that a smaller document has as well. OPEN:
+    a context [a, z) of its first document, whose anchor has other contexts.
+
+    A batch of rows settles what it can by itself: of equal contexts in it, only
+    those of the first document go on to meet other batches. So a frequent
+    passage costs its shard one entry for each batch, not for each document.
     """
     total = docs.agg(F.sum(F.octet_length("text")).alias("n")).first()["n"] or 0
     shards = max(1, math.ceil(total / ANCHOR_SHARD_BYTES))
 
     def spread(batches: Iterator) -> Iterator:
         import numpy as np
-        import pyarrow as pa
-        for batch in batches:
-            made = []
+        for batch in _runs(batches):
+            made = {f: [] for f in _FIELDS}
             for doc, text in zip(batch.column(0).to_pylist(), batch.column(1)):
-                h, first, count = anchors(np.frombuffer(text.as_buffer(), dtype=np.uint8), length, gram)
-                e = np.empty(len(h), dtype=_ENTRY)
-                e["hash"], e["doc"], e["at"], e["n"] = h, doc, first, count
-                made.append(e)
-            e = np.concatenate(made) if made else np.empty(0, dtype=_ENTRY)
-            if not len(e):
+                data = np.frombuffer(text.as_buffer(), dtype=np.uint8)
+                h, first, count = anchors(data, length, gram)
+                for f, x in zip(_FIELDS, (h, _named(data, first, count, length) if len(h) else h, np.full(len(h), doc), first, count)):
+                    made[f].append(x)
+            e = {f: np.concatenate(x) for f, x in made.items()} if made["doc"] else {}
+            if not e or not len(e["doc"]):
                 continue
-            e = e[np.lexsort((e["doc"], e["hash"]))]
-            new = np.concatenate([[True], e["hash"][1:] != e["hash"][:-1]])
-            starts = np.flatnonzero(new)
-            same = np.cumsum(new) - 1
-            known = (np.minimum.reduceat(e["doc"], starts) < np.maximum.reduceat(e["doc"], starts))[same]
-            # Which way: 0 meets others, 1 goes past; of known ones a copy of the first meets others as a witness.
-            to = (S.mixed(np.where(known, e["hash"] ^ S.mixed(e["at"].astype(np.uint64) + e["doc"].astype(np.uint64)), e["hash"])) % np.uint64(shards)).astype(np.int64)
-            kinds = [(0, e[~known], to[~known]), (1, e[known], to[known])]
-            w = e[known & new]
-            kinds.append((2, w, (S.mixed(w["hash"]) % np.uint64(shards)).astype(np.int64)))
-            for kind, part, where in kinds:
-                order = np.argsort(where, kind="stable")
-                part, where = part[order], where[order]
-                ends = np.searchsorted(where, np.arange(shards + 1))
-                for s in np.unique(where).tolist():
-                    blob = part[ends[s]:ends[s + 1]]
-                    fields = [np.ascontiguousarray(blob[f]).tobytes() for f in ("hash", "doc", "at", "n")]
-                    yield pa.RecordBatch.from_arrays([pa.array([s]), pa.array([kind], pa.int32())] + [pa.array([x], pa.binary()) for x in fields],
-                                                     names=["shard", "kind", "hash", "doc", "at", "n"])
+            order, first = _firsts(e)
+            e = {f: x[order] for f, x in e.items()}
+            again = e["doc"] > first
+            doc, a, z = _spans(e["doc"][again], e["at"][again], (e["at"] + e["n"] - 1 + length)[again])
+            for s in range(0, len(doc), 1 << 18):  # settled: dealt anywhere
+                part = slice(s, s + (1 << 18))
+                yield _packed(REPEAT, int(doc[s] + s) % shards, {"hash": z[part], "name": z[part], "doc": doc[part], "at": a[part], "n": z[part] * 0})
+            e = {f: x[~again] for f, x in e.items()}
+            where = (S.mixed(e["hash"]) % np.uint64(shards)).astype(np.int64)
+            order = np.argsort(where, kind="stable")
+            ends = np.searchsorted(where[order], np.arange(shards + 1))
+            for s in np.unique(where).tolist():
+                yield _packed(OPEN, s, {f: x[order[ends[s]:ends[s + 1]]] for f, x in e.items()})
 
     def meet(table):
         import numpy as np
         import pyarrow as pa
-        col = {}
-        sizes = [len(x) // 8 for x in table.column("hash").to_pylist()]
-        for f, kind in _ENTRY:
-            col[f] = np.frombuffer(b"".join(table.column(f).to_pylist()), dtype=kind)
-        kind = np.repeat(np.array(table.column("kind").to_pylist(), dtype=np.int8), sizes)
-        meets = np.flatnonzero(kind != 1)
-        order = meets[np.argsort(col["hash"][meets], kind="stable")]
-        h, doc = col["hash"][order], col["doc"][order]
-        keep = kind == 1
+        e = _unpacked(table)
+        settled = e["kind"] == REPEAT
+        past = [e[f][settled].astype(np.int64) for f in ("doc", "at", "hash")]
+        e = {f: x[~settled] for f, x in e.items()}
+        order, first = _firsts(e)
+        e = {f: x[order] for f, x in e.items()}
+        again = e["doc"] > first
+        a = e["at"].astype(np.int64)
+        z = a + e["n"] - 1 + length
+        doc, ra, rz = _spans(*[np.concatenate(x) for x in zip(past, (e["doc"][again], a[again], z[again]))])
+        # Contexts left open: those whose anchor has others.
         if len(order):
+            h, name = e["hash"], e["name"]
             starts = np.flatnonzero(np.concatenate([[True], h[1:] != h[:-1]]))
-            sizes = np.diff(np.append(starts, len(h)))
-            shared = (np.minimum.reduceat(doc, starts) < np.maximum.reduceat(doc, starts)) | (np.maximum.reduceat(kind[order], starts) == 2)
-            keep[order[np.repeat(shared, sizes)]] = True
-        keep &= kind != 2  # witnesses are copies
-        return pa.table({"doc": col["doc"][keep], "hash": col["hash"][keep].view(np.int64), "at": col["at"][keep].astype(np.int32), "n": col["n"][keep].astype(np.int32)})
+            several = np.minimum.reduceat(name, starts) != np.maximum.reduceat(name, starts)
+            two = np.minimum.reduceat(e["doc"], starts) != np.maximum.reduceat(e["doc"], starts)
+            left = np.repeat(several & two, np.diff(np.append(starts, len(h)))) & ~again
+        else:
+            left = again
+        columns = [(doc, e["doc"][left]), (ra, a[left]), (rz, z[left]), (doc * 0, e["hash"][left].view(np.int64)), (doc * 0, e["name"][left].astype(np.int64))]
+        kinds = np.repeat(np.array([REPEAT, OPEN], dtype=np.int32), [len(doc), int(left.sum())])
+        return pa.table([pa.array(kinds)] + [pa.array(np.concatenate(x), pa.int64()) for x in columns], names=["kind", "doc", "a", "z", "hash", "name"])
 
-    met = docs.select("doc", "text").mapInArrow(spread, "shard bigint, kind int, hash binary, doc binary, at binary, n binary")
-    return met.groupBy("shard").applyInArrow(meet, "doc bigint, hash bigint, at int, n int")
+    packed = docs.select("doc", "text").mapInArrow(spread, "shard bigint, kind int, hash binary, name binary, doc binary, at binary, n binary")
+    return packed.groupBy("shard").applyInArrow(meet, _PLACES)
 
 
-def _contexts(docs: DataFrame, found: DataFrame, length: int) -> DataFrame:
-    """doc, th (hash of the text), hash, at, n, context, name (hash of the context) for every place of a shared anchor."""
-    places = found.groupBy("doc").agg(F.collect_list(F.struct("hash", "at", "n")).alias("places"))  # bounded by the text
-    joined = docs.select("doc", "text").join(places, "doc").select("doc", F.xxhash64("text").alias("th"), "text", "places")
+def _contexts(docs: DataFrame, left: DataFrame) -> DataFrame:
+    """``left`` (doc, a, z, hash, name) with the context's bytes; only the texts that are asked for move."""
+    places = left.groupBy("doc").agg(F.collect_list(F.struct("a", "z", "hash", "name")).alias("places"))  # bounded by the text
+    joined = docs.select("doc", "text").join(places, "doc")
 
     def run(batches: Iterator) -> Iterator:
         import pyarrow as pa
         for batch in batches:
-            doc, th = batch.column(0), batch.column(1)
-            for i, (text, places) in enumerate(zip(batch.column(2), batch.column(3))):
+            for doc, text, places in zip(batch.column(0), batch.column(1), batch.column(2)):
                 text, values = text.as_py(), places.values
-                h, at, n = values.field("hash"), values.field("at"), values.field("n")
-                spots = [(a, k, text[a:a + k - 1 + length]) for a, k in zip(at.to_pylist(), n.to_pylist())]
-                fits = pa.array([len(c) == k - 1 + length for _, k, c in spots], pa.bool_())
-                rows = pa.RecordBatch.from_arrays(
-                    [pa.repeat(doc[i], len(h)), pa.repeat(th[i], len(h)), h, at, n, pa.array([c for _, _, c in spots], pa.binary())],
-                    names=["doc", "th", "hash", "at", "n", "context"])
-                yield rows.filter(fits)
+                a, z = values.field("a"), values.field("z")
+                context = [text[i:j] for i, j in zip(a.to_pylist(), z.to_pylist())]
+                yield pa.RecordBatch.from_arrays([pa.repeat(doc, len(a)), a, values.field("hash"), values.field("name"), pa.array(context, pa.binary())],
+                                                 names=["doc", "a", "hash", "name", "context"])
 
-    return (joined.mapInArrow(run, "doc bigint, th bigint, hash bigint, at int, n int, context binary")
-            .withColumn("name", F.xxhash64("context")))
+    return joined.mapInArrow(run, "doc bigint, a bigint, hash bigint, name bigint, context binary")
 
 
 def _shard(table, length: int):
-    """(hash, name, runs): per context the runs of strings that a context with a smaller first document holds, too."""
+    """(doc, a, z): ranges of strings that a context with a smaller document holds under the same anchor."""
     import numpy as np
     import pyarrow as pa
-    contexts = table.column("context").to_pylist()
+    h, name, doc, at = (table.column(c).combine_chunks().to_numpy(zero_copy_only=False) if hasattr(table.column(c), "combine_chunks")
+                        else table.column(c).to_numpy(zero_copy_only=False) for c in ("hash", "name", "doc", "a"))
+    # Places of one context, in its one document, share a text.
+    order = np.lexsort((name, h))
+    new = np.concatenate([[True], (h[order][1:] != h[order][:-1]) | (name[order][1:] != name[order][:-1])])
+    one = order[np.flatnonzero(new)]
+    of = np.empty(len(order), dtype=np.int64)
+    of[order] = np.cumsum(new) - 1
+    contexts = table.column("context").take(pa.array(one)).to_pylist()
     sizes = np.array([len(c) for c in contexts], dtype=np.int64)
-    first = np.array(table.column("first").to_pylist(), dtype=np.int64)
     text = np.frombuffer(b"".join(contexts), dtype=np.uint8)
     owner = np.repeat(np.arange(len(sizes)), sizes)
-    place = np.arange(len(text)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+    begin = np.cumsum(sizes) - sizes
+    place = np.arange(len(text)) - np.repeat(begin, sizes)
     whole = place + length <= sizes[owner]  # strings inside their context
     rows, starts = equal_prefixes(text, length)
-    least = np.where(whole[rows], first[owner[rows]], LAST)
+    least = np.where(whole[rows], doc[one][owner[rows]], LAST)
     group = np.minimum.reduceat(least, starts)[np.repeat(np.arange(len(starts)), np.diff(np.append(starts, len(rows))))]
     better = np.zeros(len(text), dtype=bool)
     better[rows] = group < least
     better &= whole
-    edge = np.flatnonzero(better & ~(np.concatenate([[False], better[:-1]]) & (place > 0)))
-    last = np.flatnonzero(better & ~(np.concatenate([better[1:], [False]]) & np.concatenate([place[1:] > 0, [False]])))
-    who, cuts = np.unique(owner[edge], return_index=True)
-    cuts = np.append(cuts, len(edge)).astype(np.int32)
-    runs = pa.ListArray.from_arrays(pa.array(cuts), pa.StructArray.from_arrays(
-        [pa.array(place[edge], pa.int32()), pa.array(place[last], pa.int32())], names=["a", "z"]))
-    rows = pa.array(who, pa.int64())
-    return pa.table({"hash": table.column("hash").take(rows), "name": table.column("name").take(rows), "runs": runs})
-
-
-_RUNS = "hash bigint, name bigint, runs array<struct<a:int,z:int>>"
-
-
-def _improved(contexts: DataFrame, length: int, hot_contexts: int) -> DataFrame:
-    """Runs of strings, per context, that also occur under a context with a smaller first document."""
-    groups = cut(contexts.groupBy("hash").agg(F.count(F.lit(1)).alias("contexts"), F.sum(F.octet_length("context")).alias("bytes")).filter("contexts > 1"))
-    total = groups.filter(F.col("contexts") <= hot_contexts).agg(F.sum("bytes").alias("n")).first()["n"] or 0
-    shards = max(1, math.ceil(total / SHARD_BYTES))
-    joined = contexts.join(groups.select("hash", "contexts"), "hash")
-    plain = joined.filter(F.col("contexts") <= hot_contexts).withColumn("shard", F.pmod(F.xxhash64("hash"), F.lit(shards)))
-    out = plain.groupBy("shard").applyInArrow(lambda t: _shard(t, length), _RUNS)
-    hot = joined.filter(F.col("contexts") > hot_contexts)
-    if groups.filter(F.col("contexts") > hot_contexts).isEmpty():
+    a = np.flatnonzero(better & ~(np.concatenate([[False], better[:-1]]) & (place > 0)))
+    z = np.flatnonzero(better & ~np.concatenate([better[1:] & (place[1:] > 0), [False]]))
+    runs = np.bincount(owner[a], minlength=len(one))
+    first = np.cumsum(runs) - runs
+    many = runs[of]  # each place gets the runs of its context
+    who = np.repeat(np.arange(len(of)), many)
+    which = np.arange(len(who)) - np.repeat(np.cumsum(many) - many, many) + first[of[who]]
+    return pa.table({"doc": pa.array(doc[who], pa.int64()), "a": pa.array(at[who] + place[a][which], pa.int64()), "z": pa.array(at[who] + place[z][which] + length, pa.int64())})
+
+
+def _differing(docs: DataFrame, left: DataFrame, length: int, hot_contexts: int) -> DataFrame:
+    """(doc, a, z): the repeats inside open contexts."""
+    sums = left.agg(F.sum(F.col("z") - F.col("a")).alias("n")).first()
+    shards = max(1, math.ceil((sums["n"] or 0) / SHARD_BYTES))
+    hot = cut(left.groupBy("hash").agg(F.count(F.lit(1)).alias("places")).filter(F.col("places") > hot_contexts).select("hash"))
+    some = not hot.isEmpty()
+    plain = left.join(hot, "hash", "left_anti") if some else left
+    out = (_contexts(docs, plain).withColumn("shard", F.pmod(F.xxhash64("hash"), F.lit(shards))).groupBy("shard")
+           .applyInArrow(lambda t: _shard(t, length), "doc bigint, a bigint, z bigint"))
+    if not some:
         return out
     # The strings of a hot anchor, each on its own: no group but that of equal strings.
-    strings = hot.select("hash", "name", "first", "context", F.explode(F.sequence(F.lit(1), F.octet_length("context") - length + 1)).alias("i"))
-    strings = strings.select("hash", "name", "first", "i", F.substring("context", F.col("i"), F.lit(length)).alias("string"))
-    least = cut(strings.groupBy("hash", "string").agg(F.min("first").alias("least")))
-    runs = strings.join(least, ["hash", "string"]).filter("least < first").groupBy("hash", "name").agg(
-        F.array_sort(F.collect_list(F.struct((F.col("i") - 1).alias("a"), (F.col("i") - 1).alias("z")))).alias("runs"))
-    return out.unionByName(runs)
+    contexts = _contexts(docs, left.join(hot, "hash", "left_semi").select(left.columns))
+    strings = contexts.select("doc", "a", "context", F.explode(F.sequence(F.lit(1), F.octet_length("context") - length + 1)).alias("i"))
+    strings = cut(strings.select("doc", (F.col("a") + F.col("i") - 1).alias("a"), F.substring("context", F.col("i"), F.lit(length)).alias("string")))
+    least = cut(strings.groupBy("string").agg(F.min("doc").alias("least")))
+    return out.unionByName(strings.join(least, "string").filter("least < doc").select("doc", "a", (F.col("a") + length).alias("z")))
 
 
 def repeated_spans(docs: DataFrame, length: int, gram: int, hot_contexts: int) -> DataFrame:
-    """doc, th, spans (possibly overlapping byte ranges [a, z)) to remove; ``docs``: doc (rank), text (bytes)."""
-    found = cut(_shared_anchors(docs, length, gram))
-    places = cut(_contexts(docs, found, length))
-    contexts = cut(places.groupBy("hash", "name", "context").agg(F.min("doc").alias("first")))
-    better = _improved(contexts, length, hot_contexts).withColumnRenamed("runs", "better")
-    known = cut(contexts.select("hash", "name", "first").join(better, ["hash", "name"], "left"))
-    hits = places.select("doc", "th", "hash", "name", "at", "n").join(known, ["hash", "name"])
-    all_of_it = F.array(F.struct(F.lit(0).alias("a"), (F.col("n") - 1).alias("z")))
-    runs = F.when(F.col("doc") > F.col("first"), all_of_it).otherwise(F.col("better"))
-    hits = hits.withColumn("runs", runs).filter("runs IS NOT NULL")
-    spans = F.transform("runs", lambda r: F.struct((F.col("at") + r["a"]).alias("a"), (F.col("at") + r["z"] + length).alias("z")))
-    hits = hits.select("doc", "th", F.explode(spans).alias("s"))
-    return hits.groupBy("doc", "th").agg(F.collect_list("s").alias("spans"))  # bounded by the text
+    """doc, spans (possibly overlapping byte ranges [a, z)) to remove; ``docs``: doc (rank), text (bytes)."""
+    scratch = Scratch(docs.sparkSession)
+    places = scratch.table(_places(docs, length, gram))
+    left = places.filter(F.col("kind") == OPEN).select("doc", "a", "z", "hash", "name")
+    inside = scratch.table(_differing(docs, left, length, hot_contexts))
+    spans = places.filter(F.col("kind") == REPEAT).select("doc", "a", "z").unionByName(inside)
+    spans = cut(spans.groupBy("doc").agg(F.collect_list(F.struct(F.col("a").cast("int").alias("a"), F.col("z").cast("int").alias("z"))).alias("spans")))  # bounded by the text
+    scratch.drop()
+    release(docs.sparkSession)
+    return spans
 
 
 def without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, gram: int = GRAM,
@@ -223,18 +290,18 @@ def without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     Every byte covered by a ``length``-byte string that also starts in a
     document with a smaller id is removed; strings are judged on the input.
     ``spans`` are the maximal removed runs as [a, z). Ids are whole numbers.
-    Only places of shared anchors and contexts move, and the texts to join
-    them; a frequent anchor, context or document is reduced before each shuffle,
-    and an anchor with very many contexts is split by its strings.
+    Anchors, open contexts and spans move, and the texts to join them; a
+    frequent passage is reduced before each shuffle, and an anchor with very
+    many contexts is split by its strings.
 
     A null text is empty. A null id ranks behind all others. Rows that repeat an
-    id don't take from each other, and each loses what a smaller id has. An
-    empty table gives no rows; other columns are not read.
+    id are taken for one document: they don't take from each other, and share
+    their spans. An empty table gives no rows; other columns are not read.
     """
     rows = docs.select(docs[id_col].cast("bigint").alias("doc_id"), F.coalesce(docs[text_col].cast("binary"), F.lit("").cast("binary")).alias("text"))
     rows = rows.withColumn("doc", F.coalesce("doc_id", F.lit(LAST)))
-    spans = cut(repeated_spans(rows, length, gram, hot_contexts))
-    joined = rows.withColumn("th", F.xxhash64("text")).join(spans, ["doc", "th"], "left").select("doc_id", "text", "spans")
+    spans = repeated_spans(rows, length, gram, hot_contexts)
+    joined = rows.join(spans, "doc", "left").select("doc_id", "text", "spans")
 
     def run(batches: Iterator) -> Iterator:
         import hashlib
@@ -247,7 +314,7 @@ def without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
                 data = np.frombuffer(text.as_buffer(), dtype=np.uint8)
                 runs, gone, kept = [], 0, data.tobytes()
                 if found.is_valid and len(found.values):
-                    a, z = (found.values.field(f).to_numpy() for f in "az")
+                    a, z = (np.minimum(found.values.field(f).to_numpy(), len(data)) for f in "az")
                     depth = np.cumsum(np.bincount(a, minlength=len(data) + 1) - np.bincount(z, minlength=len(data) + 1))[:len(data)]
                     out_of = depth > 0
                     edges = np.flatnonzero(np.diff(np.concatenate([[False], out_of, [False]]).astype(np.int8)))
