@@ -88,18 +88,20 @@ def logistic_fit(margin, target, weight, rounds: int = 50) -> tuple[float, float
     return float(at[0]), float(at[1])
 
 
-def sampled_indicators(labelled, per_class: int, lower: bool, words: bool):
+def sampled_indicators(marks, docs, per_class: int, lower: bool, words: bool):
     """A bounded training sample: lists of feature numbers and of labels.
 
-    ``labelled`` has doc_id, text and label. Of each label, the ``per_class``
-    documents with the smallest hash of their id are taken; ids are chosen
-    first, and texts become bitmaps of SIZE bits on the executors, so the
-    driver gets (number of labels) x ``per_class`` x SIZE / 8 bytes at most.
+    ``marks`` has doc_id and label, ``docs`` doc_id and text. Of each label, the
+    ``per_class`` documents with the smallest hash of their id are taken; ids
+    are chosen first and sent to the texts, which become bitmaps of SIZE bits on
+    the executors, so the driver gets (number of labels) x ``per_class`` x
+    SIZE / 8 bytes at most, and no text but the chosen ones moves.
     """
     import numpy as np
     from pyspark.sql import functions as F
 
-    ids = labelled.select("doc_id", F.col("label").cast("string").alias("label")).dropna().distinct()
+    ids = marks.select("doc_id", F.col("label").cast("string").alias("label")).dropna().distinct()
+    ids = ids.join(docs.select("doc_id").distinct(), "doc_id", "left_semi")
     counts = {r["label"]: r["n"] for r in ids.groupBy("label").agg(F.count(F.lit(1)).alias("n")).orderBy("label").collect()}
     rank = F.xxhash64(F.col("doc_id").cast("string"))
     chosen = [ids.filter(F.col("label") == label).orderBy(rank, "doc_id").limit(per_class) for label in counts]
@@ -109,9 +111,8 @@ def sampled_indicators(labelled, per_class: int, lower: bool, words: bool):
     for x in chosen[1:]:
         some = some.unionByName(x)
     picked = some.collect()  # ids only: number of labels x per_class
-    few = labelled.sparkSession.createDataFrame(picked, some.schema)
-    texts = labelled.select("doc_id", "text", F.col("label").cast("string").alias("label"))
-    texts = texts.join(F.broadcast(few), ["doc_id", "label"]).groupBy("doc_id", "label").agg(F.max("text").alias("text"))
+    few = docs.sparkSession.createDataFrame(picked, some.schema)
+    texts = docs.select("doc_id", "text").join(F.broadcast(few), "doc_id").groupBy("doc_id", "label").agg(F.max("text").alias("text"))
 
     def bitmaps(batches):
         import pyarrow as pa

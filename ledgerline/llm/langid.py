@@ -49,7 +49,7 @@ def codewords(n: int):
 def train(labelled: DataFrame, per_language: int = PER_LANGUAGE, cost: float = COST) -> dict:
     """The model for rows (doc_id, text, label = language); null languages are left out."""
     import numpy as np
-    rows, labels, _ = G.sampled_indicators(labelled, per_language, True, False)
+    rows, labels, _ = G.sampled_indicators(labelled, labelled, per_language, True, False)
     names = sorted(set(labels))
     code, of = codewords(len(names)), np.array([names.index(x) for x in labels], dtype=int)
     weights, biases = np.zeros((G.SIZE, code.shape[1]), dtype=np.float32), np.zeros(code.shape[1])

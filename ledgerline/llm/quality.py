@@ -22,15 +22,14 @@ THRESHOLD = 0.3
 FOLDS = 5
 
 
-def train(labelled: DataFrame, per_class: int = PER_CLASS, cost: float = COST) -> dict:
-    """The model for rows (doc_id, text, label 0 or 1); other and null labels are left out.
+def train(marks: DataFrame, docs: DataFrame, per_class: int = PER_CLASS, cost: float = COST) -> dict:
+    """The model for ``marks`` (doc_id, label 0 or 1) of ``docs`` (doc_id, text); other and null labels are left out.
 
     With one class or none to learn from, the score is a constant: the share of
     label 1, or 0.5.
     """
     import numpy as np
-    labelled = labelled.filter(F.col("label").isin(0, 1))
-    rows, labels, counts = G.sampled_indicators(labelled, per_class, False, True)
+    rows, labels, counts = G.sampled_indicators(marks.filter(F.col("label").isin(0, 1)), docs, per_class, False, True)
     y = np.array([1 if x == "1" else -1 for x in labels])
     if len(set(labels)) < 2:
         return {"constant": (1.0 if labels[0] == "1" else 0.0) if labels else 0.5}
@@ -102,5 +101,5 @@ def quality(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col
     1 is learnt as both; labels without a document are left out.
     """
     marks = labels.select(labels[id_col].alias("doc_id"), labels[label_col].alias("label")).filter(~held_out(F.col("doc_id")))
-    model = train(keyed(docs, id_col, text_col).join(marks, "doc_id"), per_class)
+    model = train(marks, keyed(docs, id_col, text_col), per_class)
     return score(docs, model, id_col, text_col).select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", "predicted")
