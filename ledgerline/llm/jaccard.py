@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from . import _shingles as S
 from ._graph import components
-from ._shared import cut, keyed
+from ._shared import Scratch, cut, keyed, release
 
 WORDS = 3
 PERCENT = 90         # of the union that the intersection holds at least
@@ -138,9 +138,71 @@ def described(docs: DataFrame, words: int, percent: int, light: int | None) -> D
 
 
 def sizes_of(docs: DataFrame, words: int) -> DataFrame:
-    """Upper bounds of the set sizes, from blanks alone: good enough to weigh costs with."""
-    blanks = F.length("text") - F.length(F.translate("text", " \n\t\r\x0b\x0c", ""))
-    return docs.select(F.greatest(blanks + 2 - words, F.lit(1)).alias("n"))
+    """About the set sizes, at six bytes a word: good enough to weigh costs with."""
+    return docs.select(F.greatest(F.ceil(F.octet_length("text") / 6) + 1 - words, F.lit(1)).alias("n"))
+
+
+KEY_SHARD = 1 << 20  # keys that meet in one shard, about
+OPEN, KNOWN, WITNESS = 0, 1, 2
+
+
+def shared_keys(facts: DataFrame, total: int) -> DataFrame:
+    """(key, cls) of the keys that two classes or more have; ``facts``: cls, keys; ``total``: number of keys.
+
+    Keys meet in shards, many as one row of bytes. A key that a batch of rows
+    already shows in two classes is known to be shared: its members skip the
+    meeting, spread evenly, and only a witness goes there for other batches.
+    """
+    shards = max(1, math.ceil(total / KEY_SHARD))
+
+    def spread(batches: Iterator) -> Iterator:
+        import numpy as np
+        import pyarrow as pa
+        for batch in batches:
+            for lo in range(0, batch.num_rows, 4096):
+                part = batch.slice(lo, 4096)
+                lists = part.column(1)
+                key = lists.flatten().to_numpy(zero_copy_only=False)
+                cls = np.repeat(part.column(0).to_numpy(zero_copy_only=False), np.diff(lists.offsets.to_numpy()))
+                order = np.lexsort((cls, key))
+                key, cls = key[order], cls[order]
+                once = np.concatenate([[True], (key[1:] != key[:-1]) | (cls[1:] != cls[:-1])]) if len(key) else np.zeros(0, dtype=bool)
+                key, cls = key[once], cls[once]
+                if not len(key):
+                    continue
+                new = np.concatenate([[True], key[1:] != key[:-1]])
+                starts = np.flatnonzero(new)
+                known = np.repeat(np.diff(np.append(starts, len(key))) > 1, np.diff(np.append(starts, len(key))))
+                home = (S.mixed(key.view(np.uint64)) % np.uint64(shards)).astype(np.int64)
+                away = (S.mixed(key.view(np.uint64) ^ S.mixed(cls.view(np.uint64))) % np.uint64(shards)).astype(np.int64)
+                for kind, rows, to in ((OPEN, ~known, home), (KNOWN, known, away), (WITNESS, known & new, home)):
+                    k, c, to = key[rows], cls[rows], to[rows]
+                    order = np.argsort(to, kind="stable")
+                    k, c, to = k[order], c[order], to[order]
+                    ends = np.searchsorted(to, np.arange(shards + 1))
+                    at = np.unique(to).tolist()
+                    yield pa.RecordBatch.from_arrays([pa.array(at, pa.int64()), pa.array([kind] * len(at), pa.int32())] + [
+                        pa.array([x[ends[t]:ends[t + 1]].tobytes() for t in at], pa.binary()) for x in (k, c)], names=["shard", "kind", "key", "cls"])
+
+    def meet(table):
+        import numpy as np
+        import pyarrow as pa
+        sizes = [len(x) // 8 for x in table.column("key").to_pylist()]
+        key, cls = (np.frombuffer(b"".join(table.column(f).to_pylist()), dtype=np.int64) for f in ("key", "cls"))
+        kind = np.repeat(np.array(table.column("kind").to_pylist(), dtype=np.int8), sizes)
+        keep = kind == KNOWN
+        at = np.flatnonzero(~keep)
+        order = at[np.argsort(key[at], kind="stable")]
+        if len(order):
+            starts = np.flatnonzero(np.concatenate([[True], key[order][1:] != key[order][:-1]]))
+            least, most = np.minimum.reduceat(cls[order], starts), np.maximum.reduceat(cls[order], starts)
+            shared = (least < most) | (np.maximum.reduceat(kind[order], starts) == WITNESS)
+            keep[order[np.repeat(shared, np.diff(np.append(starts, len(order))))]] = True
+        keep &= kind != WITNESS
+        return pa.table({"key": key[keep], "cls": cls[keep]})
+
+    packed = facts.select("cls", "keys").mapInArrow(spread, "shard bigint, kind int, key binary, cls binary")
+    return packed.groupBy("shard").applyInArrow(meet, "key bigint, cls bigint").distinct()
 
 
 def _forest(d, label):
@@ -230,22 +292,22 @@ def _scan(group, percent: int, mode: str):
     return pa.table({"key": pa.array([0] * len(pairs), pa.int64()), "a": pa.array([p for p, _ in pairs], pa.int64()), "b": pa.array([q for _, q in pairs], pa.int64())})
 
 
-def _lists(members: DataFrame, percent: int, mode: str) -> DataFrame:
-    """Scan lists: (key, a, b). ``members``: key, cls, n, comp, data.
+def _lists(lists: DataFrame, members: DataFrame, percent: int, mode: str) -> DataFrame:
+    """Scan ``lists`` (key, cls): (key, a, b). ``members``: cls, n, comp, data.
 
     mode ``forest``: edges of a spanning forest of what bitmaps leave open;
     ``members``: the members (a = b) that bitmaps let link across components;
     ``exact``: edges of a spanning forest of real links between components.
     """
-    sizes = cut(members.groupBy("key").agg(F.count(F.lit(1)).alias("size")))
-    hot = cut(sizes.filter(F.col("size") > BLOCK).select("key", F.ceil(F.col("size") / BLOCK).cast("int").alias("blocks")))
-    n = members.count()
-    met = members.join(hot, "key", "left").withColumn("blocks", F.coalesce("blocks", F.lit(1)))
+    hot = cut(lists.groupBy("key").agg(F.count(F.lit(1)).alias("size")).filter(F.col("size") > BLOCK)
+              .select("key", F.ceil(F.col("size") / BLOCK).cast("int").alias("blocks")))
+    groups = max(1, math.ceil(lists.count() / GROUP_ROWS))
+    met = lists.join(hot, "key", "left").withColumn("blocks", F.coalesce("blocks", F.lit(1)))
     met = met.withColumn("own", F.pmod(F.xxhash64("cls"), F.col("blocks")).cast("int"))
     pairs = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda x: F.struct(
         F.least(x, F.col("own")).alias("i"), F.greatest(x, F.col("own")).alias("j"), F.when(x < F.col("own"), 1).otherwise(0).alias("side")))
-    met = met.select("key", "cls", "n", "comp", "data", F.explode(pairs).alias("p")).select("key", "cls", "n", "comp", "data", "p.*")
-    met = met.withColumn("grp", F.pmod(F.xxhash64("key", "i", "j"), F.lit(max(1, math.ceil(n / GROUP_ROWS)))))
+    met = met.select("key", "cls", F.explode(pairs).alias("p")).select("key", "cls", "p.*")
+    met = met.withColumn("grp", F.pmod(F.xxhash64("key", "i", "j"), F.lit(groups))).join(members, "cls")
     return met.groupBy("grp").applyInArrow(lambda group: _scan(group, percent, mode), "key bigint, a bigint, b bigint")
 
 
@@ -305,31 +367,34 @@ def jaccard_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     rows = keyed(docs, id_col, text_col)
     by_size = sizes_of(rows, words).filter(F.col("n") <= LIGHT_MOST).groupBy("n").agg(F.count(F.lit(1)).alias("docs"))
     light = light_end({r["n"]: r["docs"] for r in by_size.collect()}, percent)  # LIGHT_MOST rows at most
-    facts = cut(described(rows, words, percent, light))
-    classes = cut(facts.filter("cls IS NOT NULL").groupBy("cls").agg(F.min("doc_id").alias("rep"), F.max("n").alias("n"), F.max("bits").alias("data")))
-    entries = facts.select(F.explode("keys").alias("key"), "cls")
-    shared = cut(entries.groupBy("key").agg(F.min("cls").alias("lo"), F.max("cls").alias("hi")).filter("lo < hi").select("key"))
-    lists = cut(entries.join(shared, "key", "left_semi").distinct())
-
-    members = lists.join(classes.withColumn("comp", F.col("cls")).drop("rep"), "cls")
-    open_pairs = cut(_lists(cut(members), percent, "forest").select("a", "b").distinct())
+    scratch = Scratch(docs.sparkSession)
+    facts = scratch.table(described(rows, words, percent, light))
+    classes = scratch.table(facts.filter("cls IS NOT NULL").groupBy("cls").agg(F.min("doc_id").alias("rep"), F.max("n").alias("n"), F.max("bits").alias("data")))
+    total = facts.agg(F.sum(F.size("keys")).alias("n")).first()["n"] or 0
+    lists = scratch.table(shared_keys(facts.filter("cls IS NOT NULL"), total))
+
+    alone = classes.select("cls", "n", "data", F.col("cls").alias("comp"))
+    open_pairs = scratch.table(_lists(lists, alone, percent, "forest").select("a", "b").distinct())
     ends = open_pairs.select(F.col("a").alias("cls")).unionByName(open_pairs.select(F.col("b").alias("cls"))).distinct()
-    sets = cut(_sets(rows, cut(classes.select("cls", "rep").join(ends, "cls", "left_semi")), words))
-    links = cut(_verified(open_pairs, sets, percent))
+    sets = scratch.table(_sets(rows, cut(classes.select("cls", "rep").join(ends, "cls", "left_semi")), words))
+    links = scratch.table(_verified(open_pairs, sets, percent))
     first = cut(components(links).select(F.col("node").alias("cls"), F.col("component").alias("comp")))
 
-    members = lists.join(classes.drop("rep").join(first, "cls", "left").withColumn("comp", F.coalesce("comp", "cls")), "cls")
-    mixed = cut(members.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count(F.lit(1)).alias("size")).filter("lo < hi and size > 2").select("key"))
-    across = cut(_lists(cut(members.join(mixed, "key", "left_semi")), percent, "members").select("key", F.col("a").alias("cls")).distinct())
-    sets = cut(_sets(rows, cut(classes.select("cls", "rep").join(across.select("cls").distinct(), "cls", "left_semi")), words))
-    again = across.join(first, "cls", "left").withColumn("comp", F.coalesce("comp", "cls")).join(classes.select("cls", "n"), "cls").join(sets, "cls")
-    more = _lists(cut(again), percent, "exact").select("a", "b")
+    placed = lists.join(first, "cls", "left").withColumn("comp", F.coalesce("comp", "cls"))
+    mixed = cut(placed.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count(F.lit(1)).alias("size")).filter("lo < hi and size > 2").select("key"))
+    linked = classes.join(first, "cls", "left").withColumn("comp", F.coalesce("comp", "cls")).select("cls", "n", "comp", "data")
+    across = scratch.table(_lists(cut(lists.join(mixed, "key", "left_semi")), linked, percent, "members").select("key", F.col("a").alias("cls")).distinct())
+    sets = scratch.table(_sets(rows, cut(classes.select("cls", "rep").join(across.select("cls").distinct(), "cls", "left_semi")), words))
+    more = scratch.table(_lists(across, linked.drop("data").join(sets, "cls"), percent, "exact").select("a", "b"))
 
     comp = components(links.unionByName(more)).select(F.col("node").alias("cls"), "component")
     named = cut(classes.select("cls", "rep").join(comp, "cls", "left").withColumn("component", F.coalesce("component", "cls")))
     names = cut(named.groupBy("component").agg(F.min("rep").alias("component_id")))
     named = cut(named.join(names, "component").select("cls", "component_id"))
-    out = facts.select("doc_id", "n", "cls").join(named, "cls", "left")
+    facts = cut(facts.select("doc_id", "n", "cls"))
+    scratch.drop()
+    release(docs.sparkSession)
+    out = facts.join(named, "cls", "left")
     out = out.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("cls").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"))
     return out.withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
 

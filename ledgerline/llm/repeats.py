@@ -22,7 +22,7 @@ from ._shared import Scratch, cut, release
 
 LENGTH = 50
 GRAM = 16
-SHARD_BYTES = 4 << 20        # context bytes of a shard
+SHARD_BYTES = 1 << 20        # context bytes of a shard
 ANCHOR_SHARD_BYTES = 16 << 20  # text whose anchors meet in one shard
 RUN_BYTES = 16 << 20         # text whose anchors a batch settles by itself
 HOT_CONTEXTS = 20_000        # an anchor with more contexts is split up by the strings themselves
