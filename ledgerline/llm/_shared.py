@@ -60,9 +60,10 @@ class Scratch:
         release(self.spark)
         return self.spark.read.schema(schema).parquet(path)
 
-    def drop(self) -> None:
+    def drop(self, number: int | None = None) -> None:
+        """Drop the table written as the ``number``-th, or all."""
         jvm = self.spark.sparkContext._jvm
-        path = jvm.org.apache.hadoop.fs.Path(self.folder)
+        path = jvm.org.apache.hadoop.fs.Path(self.folder if number is None else f"{self.folder}/{number}")
         path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 

@@ -28,7 +28,7 @@ from ._shared import Scratch, cut, keyed, release
 
 WORDS = 3
 PERCENT = 90         # of the union that the intersection holds at least
-BITMAP = 2048        # bits of a set's parity bitmap
+BITMAP = 8192        # bits of a set's parity bitmap
 BLOCK = 512          # a longer list is scanned block by block, each pair of blocks on its own
 GROUP_ROWS = 2048    # rows of lists scanned together
 LIST_COST = 4.0      # cost of a key in an inverted list, which is scanned, next to that of a subset
@@ -205,6 +205,17 @@ def shared_keys(facts: DataFrame, total: int) -> DataFrame:
     return packed.groupBy("shard").applyInArrow(meet, "key bigint, cls bigint").distinct()
 
 
+def distinct_lists(lists: DataFrame) -> DataFrame:
+    """One of each group of lists with the same members: near copies agree on many parts, and need one scan.
+
+    Members are compared by their number, ends and two 64-bit sums without carry.
+    """
+    told = lists.groupBy("key").agg(F.bit_xor(F.xxhash64("cls")).alias("x"), F.bit_xor(F.xxhash64("cls", F.lit(1))).alias("y"),
+                                    F.count(F.lit(1)).alias("size"), F.min("cls").alias("lo"), F.max("cls").alias("hi"))
+    keys = cut(told.groupBy("x", "y", "size", "lo", "hi").agg(F.min("key").alias("key")).select("key"))
+    return lists.join(keys, "key", "left_semi")
+
+
 def _forest(d, label):
     """Boruvka on a matrix of distances (inf: no edge): pairs of a spanning forest, nearest first."""
     import numpy as np
@@ -245,7 +256,8 @@ def _scan(group, percent: int, mode: str):
     out = []
 
     def allowed(a, b):
-        return (n[a] + n[b]) * (100 - percent) // (100 + percent)
+        near = 100 * np.minimum(n[a], n[b]) >= percent * np.maximum(n[a], n[b])
+        return np.where(near, (n[a] + n[b]) * (100 - percent) // (100 + percent), -1)
 
     def overlap(a, b):
         both = len(np.intersect1d(sets[a], sets[b], assume_unique=True))
@@ -279,8 +291,7 @@ def _scan(group, percent: int, mode: str):
         bits = np.unpackbits(flat[at], axis=1).astype(np.float32)
         ones = bits.sum(1)
         d = ones[:, None] + ones[None, :] - 2 * (bits @ bits.T)
-        total = n[at][:, None] + n[at][None, :]
-        d[~ok | (d > total * (100 - percent) // (100 + percent))] = np.inf
+        d[~ok | (d > allowed(at[:, None], at[None, :]))] = np.inf
         if mode == "members":
             out += [(s + p, s + p) for p in np.flatnonzero(np.isfinite(d).any(1))]
         else:
@@ -371,7 +382,9 @@ def jaccard_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     facts = scratch.table(described(rows, words, percent, light))
     classes = scratch.table(facts.filter("cls IS NOT NULL").groupBy("cls").agg(F.min("doc_id").alias("rep"), F.max("n").alias("n"), F.max("bits").alias("data")))
     total = facts.agg(F.sum(F.size("keys")).alias("n")).first()["n"] or 0
-    lists = scratch.table(shared_keys(facts.filter("cls IS NOT NULL"), total))
+    lists = scratch.table(distinct_lists(scratch.table(shared_keys(facts.filter("cls IS NOT NULL"), total))))
+    facts = scratch.table(facts.select("doc_id", "n", "cls"))
+    scratch.drop(1)  # the keys have met
 
     alone = classes.select("cls", "n", "data", F.col("cls").alias("comp"))
     open_pairs = scratch.table(_lists(lists, alone, percent, "forest").select("a", "b").distinct())
@@ -384,6 +397,7 @@ def jaccard_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     mixed = cut(placed.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count(F.lit(1)).alias("size")).filter("lo < hi and size > 2").select("key"))
     linked = classes.join(first, "cls", "left").withColumn("comp", F.coalesce("comp", "cls")).select("cls", "n", "comp", "data")
     across = scratch.table(_lists(cut(lists.join(mixed, "key", "left_semi")), linked, percent, "members").select("key", F.col("a").alias("cls")).distinct())
+    across = scratch.table(distinct_lists(across))
     sets = scratch.table(_sets(rows, cut(classes.select("cls", "rep").join(across.select("cls").distinct(), "cls", "left_semi")), words))
     more = scratch.table(_lists(across, linked.drop("data").join(sets, "cls"), percent, "exact").select("a", "b"))
 
