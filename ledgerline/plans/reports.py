@@ -329,13 +329,17 @@ def spec_summary(spark, sf_dir):
     return finish(R.spec_summary(_wh(spark, sf_dir).doctor_kpi))
 
 
+# The months of the driver's ship dates, given on both sides so that the schema doesn't follow the data.
+HEATMAP_MONTHS = [f"{y}-{m:02d}" for y in range(1995, 2001 + 1) for m in range(1, 13)]
+
+
 @query("doctor_heatmap", S.with_dk(DOC_SUMMARY, """top AS (SELECT doctor_name FROM ds ORDER BY revenue DESC, doctor_name, branch_name LIMIT 15),
 h AS (SELECT doctor_name, strftime(year_month, '%Y-%m') AS month, revenue FROM doctor_kpi
       WHERE doctor_name IN (SELECT doctor_name FROM top))""") +
-       "SELECT doctor_name, CAST(COALESCE(COLUMNS(* EXCLUDE (doctor_name)), 0) AS DOUBLE) "
-       "FROM (PIVOT (SELECT * FROM h) ON month USING SUM(revenue) GROUP BY doctor_name)")
+       "SELECT doctor_name, " + ", ".join(f"CAST(COALESCE(SUM(revenue) FILTER (WHERE month = '{m}'), 0) AS DOUBLE) AS \"{m}\"" for m in HEATMAP_MONTHS) +
+       " FROM h GROUP BY doctor_name")
 def doctor_heatmap(spark, sf_dir):
-    return finish(R.doctor_heatmap(_wh(spark, sf_dir).doctor_kpi, 15))
+    return finish(R.doctor_heatmap(_wh(spark, sf_dir).doctor_kpi, 15, HEATMAP_MONTHS))
 
 
 SVC_SUMMARY = f"""ss AS (

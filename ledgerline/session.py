@@ -85,6 +85,8 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
         except Exception:  # not readable as a session setting
             d = None
     if not d:
+        if not sc.master.startswith("local"):  # executors can't see a folder of the driver's machine
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
         d = tempfile.mkdtemp(prefix="ledgerline-ckpt-")  # local runs and tests only
     if sc.getCheckpointDir() is None:
         sc.setCheckpointDir(d)

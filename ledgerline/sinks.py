@@ -11,13 +11,18 @@ from pyspark.sql import DataFrame, Observation, functions as F
 
 
 def write_table(df: DataFrame, target: str, mode: str = "overwrite", partition_by=None,
-                fmt: str = "parquet", columns=None) -> int:
-    """SNK-1/4: project to ``columns`` (if given), write, return the row count."""
+                fmt: str = "parquet", columns=None, overwrite: str = "static") -> int:
+    """SNK-1/4: project to ``columns`` (if given), write, return the row count.
+
+    ``overwrite`` says what an overwrite of a partitioned target replaces, whatever
+    the session's setting: ``static`` the whole table, ``dynamic`` only the
+    partitions that ``df`` has.
+    """
     if columns:
         df = df.select(*columns)
     obs = Observation("write")
     df = df.observe(obs, F.count(F.lit(1)).alias("rows"))
-    w = df.write.mode(mode).format(fmt)
+    w = df.write.mode(mode).format(fmt).option("partitionOverwriteMode", overwrite)
     if partition_by:
         w = w.partitionBy(*([partition_by] if isinstance(partition_by, str) else partition_by))
     if "/" in target:
@@ -33,13 +38,13 @@ def write_mart(df: DataFrame, target: str, partition_by: str = "year_month") ->
     refresh of touched months)."""
     # REBALANCE keeps files per month few, and AQE splits a hot month's rows
     # over several tasks instead of one.
-    return write_table(df.hint("rebalance", partition_by), target, "overwrite", partition_by)
+    return write_table(df.hint("rebalance", partition_by), target, "overwrite", partition_by, overwrite="dynamic")
 
 
 def append_new(new: DataFrame, existing: DataFrame, key, target: str) -> int:
-    """SNK-3: insert-if-absent — anti-join on the natural key, then append."""
+    """SNK-3: insert-if-absent — anti-join on the natural key, then append one row per new key."""
     keys = [key] if isinstance(key, str) else list(key)
-    fresh = new.join(existing.select(*keys).distinct(), keys, "left_anti")
+    fresh = new.join(existing.select(*keys).distinct(), keys, "left_anti").dropDuplicates(keys)
     return write_table(fresh, target, "append")
 
 
