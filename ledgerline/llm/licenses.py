@@ -75,7 +75,7 @@ GAP = 3  # more unknown sentences than this between two known ones end a sequenc
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 ENDS = r"[.!?;:]+([\x20\x09-\x0D]+|\z)|\n[\x20\x09\x0D]*\n"
-TAG = r"(spdx-license-identifier:[^\n]*)"
+TAG = r"spdx-license-identifier:([^\n]*)"  # a sentence of its own, without the colon
 
 
 def known() -> dict[str, str]:
@@ -102,7 +102,7 @@ def rules() -> list[tuple[str, str]]:
 def sentences(text):
     """The normalised, non-empty sentences of a text, in order."""
     t = F.translate(text, UPPER, LOWER)
-    t = F.regexp_replace(t, TAG, "\n\n$1\n\n")
+    t = F.regexp_replace(t, TAG, "\n\nspdx-license-identifier $1\n\n")
     t = F.regexp_replace(t, ENDS, "\x01")
     t = F.regexp_replace(t, "[^0-9a-z\x01]+", " ")
     return F.filter(F.transform(F.split(t, "\x01"), lambda s: F.trim(s)), lambda s: s != "")

@@ -134,7 +134,7 @@ def _map(pairs) -> str:
 
 
 OP10_SQL = rf"""
-WITH a AS (SELECT doc_id, regexp_replace(translate(coalesce(text, ''), '{licenses.UPPER}', '{licenses.LOWER}'), '{licenses.TAG}', chr(10) || chr(10) || '\1' || chr(10) || chr(10), 'g') AS t FROM documents),
+WITH a AS (SELECT doc_id, regexp_replace(translate(coalesce(text, ''), '{licenses.UPPER}', '{licenses.LOWER}'), '{licenses.TAG}', chr(10) || chr(10) || 'spdx-license-identifier \1' || chr(10) || chr(10), 'g') AS t FROM documents),
 b AS (SELECT doc_id, string_split(regexp_replace(regexp_replace(t, '{licenses.ENDS}', chr(1), 'g'), '[^0-9a-z]+', ' ', 'g'), chr(1)) AS s FROM a),
 c AS (SELECT doc_id, list_filter(list_transform(s, lambda x: trim(x)), lambda x: x <> '') AS s FROM b),
 e AS (SELECT doc_id, s, list_filter(range(1, len(s) + 1), lambda i: map_contains({_map(licenses.known().items())}, s[i])) AS spots FROM c),
@@ -142,7 +142,7 @@ f AS (SELECT doc_id, len(s) AS n_sentences, len(spots) AS n_known, coalesce(arra
     lambda k: CASE WHEN k > 1 AND spots[k] - spots[k - 1] - 1 > {licenses.GAP} THEN '|' ELSE '' END || {_map(licenses.known().items())}[s[spots[k]]] || ' '), ''), '') AS codes FROM e),
 g AS (SELECT *, list_transform(regexp_extract_all(codes, '{"|".join(r for r, _ in licenses.rules())}'), lambda x: {_map(licenses.rules())}[x]) AS found FROM f)
 SELECT doc_id, n_sentences::INT AS n_sentences, n_known::INT AS n_known, len(found)::INT AS n_matches, coalesce(array_to_string(list_sort(list_distinct(found)), ','), '') AS licences FROM g
-""".replace(r"\\1", r"\1")
+"""
 
 
 def _configured(fn: Callable) -> Callable:
