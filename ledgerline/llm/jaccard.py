@@ -31,6 +31,8 @@ PERCENT = 90         # of the union that the intersection holds at least
 BITMAP = 8192        # bits of a set's parity bitmap
 BLOCK = 512          # a longer list is scanned block by block, each pair of blocks on its own
 GROUP_ROWS = 2048    # rows of lists scanned together
+SMALL = 32           # lists of up to so many members are scanned at once, with all others of their length
+PAIRS = 4096         # pairs of bitmaps compared at a time
 LIST_COST = 4.0      # cost of a key in an inverted list, which is scanned, next to that of a subset
 LIGHT_MOST = 60      # sizes for which the cost of subsets is worked out at all
 SENT_IDS = 1_000_000 # up to so many ids are sent to every task
@@ -237,6 +239,40 @@ def _forest(d, label):
                 label[label == max(a, b)] = min(a, b)
 
 
+def _distances(flat, a, b, most):
+    """Hamming distances of the bitmaps ``a`` and ``b``, inf where more than ``most``; a quarter of the words rules most pairs out."""
+    import numpy as np
+    out = np.full(len(a), np.inf, dtype=np.float32)
+    cut_at = flat.shape[1] // 4
+    head, rest = np.ascontiguousarray(flat[:, :cut_at]), flat[:, cut_at:]
+    for lo in range(0, len(a), PAIRS):
+        at = lo + np.flatnonzero(most[lo:lo + PAIRS] >= 0)
+        far = np.bitwise_count(head[a[at]] ^ head[b[at]]).sum(1, dtype=np.int64)
+        at, far = at[far <= most[at]], far[far <= most[at]]
+        far += np.bitwise_count(rest[a[at]] ^ rest[b[at]]).sum(1, dtype=np.int64)
+        out[at[far <= most[at]]] = far[far <= most[at]]
+    return out
+
+
+def _nearest(a, b, d, nodes):
+    """Kruskal on the edges (a, b) of many lists: the pairs of a spanning forest, nearest first. ``nodes``: by row, its node."""
+    import numpy as np
+    up, found = {}, []
+
+    def root(x):
+        while (y := up.get(x, x)) != x:
+            up[x] = x = up.get(y, y)
+        return x
+
+    order = np.argsort(d, kind="stable")
+    for p, q, x, y in zip(a[order].tolist(), b[order].tolist(), nodes[a[order]].tolist(), nodes[b[order]].tolist()):
+        x, y = root(x), root(y)
+        if x != y:
+            up[max(x, y)] = min(x, y)
+            found.append((p, q))
+    return found
+
+
 def _scan(group, percent: int, mode: str):
     """Scan the lists of one group of rows; see ``_lists`` for the modes."""
     import numpy as np
@@ -246,58 +282,51 @@ def _scan(group, percent: int, mode: str):
     order = np.lexsort((j, i, key))
     key, i, j, side, cls, n, comp = (get(c)[order] for c in ("key", "i", "j", "side", "cls", "n", "comp"))
     data = group.column("data").to_pylist()
-    if mode == "exact":
-        sets = [np.frombuffer(data[o], dtype=np.uint64) for o in order]
-    else:
-        flat = np.frombuffer(b"".join(data[o] for o in order), dtype=np.uint8).reshape(len(order), BITMAP // 8)
     new = (key[1:] != key[:-1]) | (i[1:] != i[:-1]) | (j[1:] != j[:-1])
     starts = np.flatnonzero(np.concatenate([[True], new, [True]]))
     long = np.diff(starts)
     out = []
 
-    def allowed(a, b):
-        near = 100 * np.minimum(n[a], n[b]) >= percent * np.maximum(n[a], n[b])
-        return np.where(near, (n[a] + n[b]) * (100 - percent) // (100 + percent), -1)
-
-    def overlap(a, b):
-        both = len(np.intersect1d(sets[a], sets[b], assume_unique=True))
-        return both * 100 >= percent * (len(sets[a]) + len(sets[b]) - both)
-
-    if mode != "exact":  # lists of two, all at once
-        a = starts[:-1][long == 2]
-        a = a[(i[a] == j[a]) | (side[a] != side[a + 1])]
-        a = a[comp[a] != comp[a + 1]]
-        far = np.bitwise_count(flat[a] ^ flat[a + 1]).sum(1, dtype=np.int64)
-        a = a[far <= allowed(a, a + 1)]
-        out += [(int(x), int(x) + 1) for x in a]
-    for s, m in zip(starts[:-1], long):
-        if m < (2 if mode == "exact" else 3):
-            continue
-        at = np.arange(s, s + m)
-        ok = comp[at][:, None] != comp[at][None, :]
-        if i[s] != j[s]:
-            ok &= side[at][:, None] != side[at][None, :]
-        if not ok.any():
-            continue
-        if mode == "exact":
-            d = np.full((m, m), np.inf, dtype=np.float32)
-            label = np.unique(comp[at], return_inverse=True)[1]
-            for p, q in zip(*np.nonzero(np.triu(ok))):  # pairs already connected here need no look
-                if label[p] != label[q] and overlap(s + p, s + q):
-                    d[p, q] = d[q, p] = 0
-                    label[label == label[q]] = label[p]
-                    out.append((s + p, s + q))
-            continue
-        bits = np.unpackbits(flat[at], axis=1).astype(np.float32)
-        ones = bits.sum(1)
-        d = ones[:, None] + ones[None, :] - 2 * (bits @ bits.T)
-        d[~ok | (d > allowed(at[:, None], at[None, :]))] = np.inf
-        if mode == "members":
-            out += [(s + p, s + p) for p in np.flatnonzero(np.isfinite(d).any(1))]
-        else:
-            out += [(s + p, s + q) for p, q in _forest(d, np.unique(comp[at], return_inverse=True)[1])]
+    def pairs_of(first, m):
+        """All pairs (a, b) of the lists of length ``m`` that start at ``first``, across components and blocks."""
+        p, q = np.triu_indices(m, 1)
+        a, b = (first[:, None] + p).ravel(), (first[:, None] + q).ravel()
+        ok = (comp[a] != comp[b]) & ((i[a] == j[a]) | (side[a] != side[b]))
+        return a[ok], b[ok]
+
+    if mode == "exact":
+        sets = [np.frombuffer(data[o], dtype=np.uint64) for o in order]
+        for s, m in zip(starts[:-1], long):
+            label = dict(zip(range(s, s + m), comp[s:s + m].tolist()))
+            for a, b in zip(*(x.tolist() for x in pairs_of(np.array([s]), m))):
+                if label[a] == label[b]:  # already connected here
+                    continue
+                both = len(np.intersect1d(sets[a], sets[b], assume_unique=True))
+                if both * 100 >= percent * (len(sets[a]) + len(sets[b]) - both):
+                    old = label[b]
+                    out.append((a, b))
+                    label = {x: label[a] if y == old else y for x, y in label.items()}
+    else:
+        flat = np.frombuffer(b"".join(data[o] for o in order), dtype=np.uint64).reshape(len(order), BITMAP // 64)
+        nodes = np.unique(np.stack([np.repeat(starts[:-1], long), comp], 1), axis=0, return_inverse=True)[1].ravel()
+        for m in np.unique(long[long > 1]).tolist():
+            first = starts[:-1][long == m]
+            for part in [first] if m <= SMALL else first[:, None]:
+                a, b = pairs_of(part, m)
+                near = 100 * np.minimum(n[a], n[b]) >= percent * np.maximum(n[a], n[b])
+                d = _distances(flat, a, b, np.where(near, (n[a] + n[b]) * (100 - percent) // (100 + percent), -1))
+                hit = np.isfinite(d)
+                a, b, d = a[hit], b[hit], d[hit]
+                if mode == "members":
+                    out += [(x, x) for x in np.union1d(a, b).tolist()]
+                elif m <= SMALL:
+                    out += _nearest(a, b, d, nodes)
+                else:
+                    away = np.full((m, m), np.inf, dtype=np.float32)
+                    away[a - part[0], b - part[0]] = away[b - part[0], a - part[0]] = d
+                    out += [(part[0] + p, part[0] + q) for p, q in _forest(away, nodes[part[0]:part[0] + m])]
     if mode == "members":
-        rows = sorted({x for pair in out for x in pair})
+        rows = sorted({x for x, _ in out})
         return pa.table({"key": pa.array(key[rows], pa.int64()), "a": pa.array(cls[rows], pa.int64()), "b": pa.array(cls[rows], pa.int64())})
     pairs = sorted({(min(int(cls[p]), int(cls[q])), max(int(cls[p]), int(cls[q]))) for p, q in out})
     return pa.table({"key": pa.array([0] * len(pairs), pa.int64()), "a": pa.array([p for p, _ in pairs], pa.int64()), "b": pa.array([q for _, q in pairs], pa.int64())})
