@@ -117,22 +117,23 @@ def patient_base(fact: DataFrame) -> DataFrame:
 def patient_stats(fact: DataFrame | None = None, keys=("year_month", "branch_id"), age_col: str | None = None,
                   base: DataFrame | None = None) -> DataFrame:
     """RPT-7: total / new / returning patients per group, retention, visits
-    and revenue per patient, mean lifetime value. A patient is *new* in the
-    month of their first transaction anywhere. ``base`` (``patient_base``)
+    and revenue per patient, mean lifetime value. A patient is *new* in a group
+    that holds their first month anywhere, whatever the keys. ``base`` (``patient_base``)
     can be passed for the default month x branch keys."""
     keys = list(keys)
     if base is not None and keys == ["year_month", "branch_id"] and not age_col:
-        j = base
+        j = base.withColumn("_first_here", F.col("year_month"))
     else:
         pat = fact.where(F.col("patient_hash").isNotNull())
         first = pat.groupBy("patient_hash").agg(F.min("year_month").alias("first_month"),
                                                 F.sum(F.when(_pay(), _amt())).alias("ltv"))
-        aggs = [F.count(F.when(_pay(), 1)).alias("visits"), F.sum(F.when(_pay(), _amt())).alias("revenue")]
+        aggs = [F.count(F.when(_pay(), 1)).alias("visits"), F.sum(F.when(_pay(), _amt())).alias("revenue"),
+                F.min("year_month").alias("_first_here")]
         if age_col:
             aggs.append(F.max(age_col).alias("age"))
         pg = pat.groupBy(*keys, "patient_hash").agg(*aggs)
         j = pg.join(first, "patient_hash", "inner")
-    new = F.col("first_month") == F.col("year_month") if "year_month" in keys else F.lit(False)
+    new = F.col("first_month") == F.col("_first_here")
     out = [F.count(F.lit(1)).alias("total_patients"), F.count(F.when(new, 1)).alias("new_patients"),
            F.sum("visits").alias("_v"), F.sum("revenue").alias("_r"),
            F.sum("ltv").alias("_l"), F.count("ltv").alias("_nl")]

@@ -367,8 +367,8 @@ def flatten_patient_stats(spark, sf_dir):
   CASE WHEN o_orderstatus = 'P' THEN 'refund' ELSE 'payment' END AS operation_type,
   CAST(CAST(o_totalprice AS DECIMAL(15,2)) AS DOUBLE) AS amount FROM ofr""")
 def explode_pages(spark, sf_dir):
-    pages = _json(spark, sf_dir, "transaction_pages", SC.envelope(SC.TRANSACTION))
-    r = A.explode_pages(pages)
+    pages = _json(spark, sf_dir, "transaction_pages", SC.synced(SC.envelope(SC.TRANSACTION)))
+    r = A.explode_pages(pages, keys=["sync_id"])
     return finish(r.select("page_no", "transaction_id", "transaction_date", F.col("branch.id").alias("branch_id"),
                            "operation_type", "amount"))
 

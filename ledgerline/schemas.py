@@ -98,6 +98,11 @@ def envelope(record: StructType) -> StructType:
              ("pagination", S(("cursor", StringType()), ("has_more", BooleanType()), ("total_count", LongType()))))
 
 
+def synced(paged: StructType) -> StructType:
+    """Paged responses of many syncs: ``sync_id`` names the one a page is from."""
+    return S(("sync_id", StringType()), *((f.name, f.dataType) for f in paged.fields))
+
+
 CELLS = S(("source_file", StringType()), ("sheet", StringType()), ("row_idx", IntegerType()),
           ("col_idx", IntegerType()), ("value", StringType()))
 

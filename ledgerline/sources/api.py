@@ -118,18 +118,28 @@ def flatten_patient_stats(rec: DataFrame) -> DataFrame:
         "avg_visits_per_patient", "avg_revenue_per_patient", "avg_ltv")
 
 
-def explode_pages(pages: DataFrame) -> DataFrame:
+def explode_pages(pages: DataFrame, keys=()) -> DataFrame:
     """SRC-15: concatenate paged payloads in page order, stopping at the first
     page with no data (excluded) or the first page without ``has_more`` or
-    cursor (included). Works on page metadata (one row per page), then a
-    semi-join keeps the pages in range and ``explode`` yields the records."""
+    cursor (included). Works on page metadata (one row per page), then keeps
+    the pages in range and ``explode`` yields the records.
+
+    ``keys`` name one walk over an endpoint (endpoint, sync): each walk stops
+    at its own page. Without keys all pages are one walk."""
+    keys = list(keys)
     meta = pages.select(
-        "page_no",
+        *keys, "page_no",
         (F.coalesce(F.size("data"), F.lit(0)) == 0).alias("empty"),
         (~F.coalesce(F.col("pagination.has_more"), F.lit(False)) | F.col("pagination.cursor").isNull()).alias("last"))
-    stops = meta.agg(F.min(F.when(F.col("empty"), F.col("page_no"))).alias("first_empty"),
+    stops = meta.groupBy(*keys).agg(F.min(F.when(F.col("empty"), F.col("page_no"))).alias("first_empty"),
                      F.min(F.when(F.col("last"), F.col("page_no"))).alias("first_last"))
     # last page to keep; ``least`` skips NULLs, NULL = no stop page at all.
-    max_page = stops.select(F.least(F.col("first_empty") - F.lit(1), F.col("first_last"))).scalar()
-    kept = pages.where((F.col("page_no") <= max_page) | max_page.isNull())
-    return kept.select("page_no", F.explode("data").alias("r")).select("page_no", "r.*")
+    max_page = F.least(F.col("first_empty") - F.lit(1), F.col("first_last"))
+    if keys:
+        stops = stops.select(*[F.col(k).alias(f"_{k}") for k in keys], max_page.alias("_stop"))
+        same = [F.col(k).eqNullSafe(F.col(f"_{k}")) for k in keys]
+        kept = pages.join(stops, same, "inner").where((F.col("page_no") <= F.col("_stop")) | F.col("_stop").isNull())
+    else:
+        stop = stops.select(max_page).scalar()
+        kept = pages.where((F.col("page_no") <= stop) | stop.isNull())
+    return kept.select(*keys, "page_no", F.explode("data").alias("r")).select(*keys, "page_no", "r.*")

@@ -395,19 +395,22 @@ def patient_stats_json(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def transaction_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     """SRC-15 input: transactions in pages of 1,000 (by order key) with cursor
-    pagination; the last page says ``has_more = false``; a stale copy of the
-    first page sits *after* the terminal page and must be ignored."""
+    pagination, landed by three syncs of different length; the last page of a
+    sync says ``has_more = false``; a stale copy of the first page sits *after*
+    the terminal page and must be ignored."""
     x = _orders_with_patient(spark, sf_dir).withColumn("page_no", F.floor(F.col("o_orderkey") / PAGE_SIZE).cast("long"))
     total = read(spark, sf_dir, "orders").agg(F.count(F.lit(1))).scalar()
     pages = x.groupBy("page_no").agg(F.array_sort(F.collect_list(transaction_record(x, with_services=False))).alias("data"))
-    nxt = pages.select((F.col("page_no") - 1).alias("page_no"), F.lit(True).alias("has_next"))
-    pages = pages.join(nxt, "page_no", "left")
-    has_more = F.coalesce(F.col("has_next"), F.lit(False))
-    env = pages.select("page_no", "data", F.struct(
+    turn = F.pmod(F.col("page_no"), F.lit(6))
+    pages = pages.withColumn("sync_id", F.when(turn == 0, "a").when(turn < 3, "b").otherwise("c"))
+    ends = pages.groupBy("sync_id").agg(F.max("page_no").alias("last_no"))
+    pages = pages.join(ends, "sync_id")
+    has_more = F.col("page_no") < F.col("last_no")
+    env = pages.select("sync_id", "page_no", "data", F.struct(
         F.when(has_more, (F.col("page_no") + 1).cast("string")).alias("cursor"), has_more.alias("has_more"),
         total.cast("long").alias("total_count")).alias("pagination"))
     stale = env.where(F.col("page_no") == 0).withColumn("page_no", F.lit(STALE_PAGE).cast("long"))
-    return env.unionByName(stale).select(F.to_json(F.struct("page_no", "data", "pagination")).alias("json"))
+    return env.unionByName(stale).select(F.to_json(F.struct("sync_id", "page_no", "data", "pagination")).alias("json"))
 
 
 # ------------------------------------------------------------- landing ----

@@ -221,6 +221,30 @@ def test_explode_pages_stop_rules(spark):
     assert A.explode_pages(empty_first).count() == 0
 
 
+def test_explode_pages_stops_each_sync_on_its_own(spark):
+    from pyspark.sql import functions as F
+    env = SC.envelope(SC.S(("transaction_id", SC.LongType())))
+    short = spark.createDataFrame([(0, [{"transaction_id": 1}], (None, False, 1)),
+                                   (1, [{"transaction_id": 98}], ("2", True, 1))], env)
+    long = spark.createDataFrame([(0, [{"transaction_id": 10}], ("1", True, 2)), (1, [{"transaction_id": 11}], (None, False, 2)),
+                                  (2, [{"transaction_id": 99}], ("3", True, 2))], env)
+    pages = short.withColumn("sync_id", F.lit("a")).unionByName(long.withColumn("sync_id", F.lit("b"))) \
+        .unionByName(short.withColumn("sync_id", F.lit(None).cast("string")))
+    got = A.explode_pages(pages, keys=["sync_id"]).collect()
+    assert sorted((r.sync_id or "-", r.transaction_id) for r in got) == [("-", 1), ("a", 1), ("b", 10), ("b", 11)]
+
+
+def test_new_patients_mean_the_same_for_all_keys(spark):
+    from ledgerline.operators import statements as T
+    rows = [("p1", JAN, 1), ("p1", FEB, 2), ("p2", FEB, 2), ("p3", JAN, 1), ("p3", FEB, 1)]
+    fact = spark.createDataFrame([(p, m, b, vocab.PAYMENT, 10.0) for p, m, b in rows],
+                                 "patient_hash string, year_month date, branch_id int, operation_type string, transaction_amount double")
+    by = {r.branch_id: (r.total_patients, r.new_patients) for r in T.patient_stats(fact, keys=("branch_id",)).collect()}
+    assert by == {1: (2, 2), 2: (2, 1)}
+    sets = T.patient_stats_sets(fact).where("level = 'branch_id'").collect()
+    assert {r.branch_id: (r.total_patients, r.new_patients) for r in sets} == by
+
+
 def test_forecast_shape_and_scenarios(spark):
     months = [dt.date(2024, m, 1) for m in range(1, 13)]
     pnl = _pnl_frame(spark, [(m, 1, "100", "20", 1.0) for m in months])
@@ -266,10 +290,12 @@ def test_alerts_fire_on_thresholds(spark):
 def test_display_columns(spark):
     from ledgerline.functions import fmt_money, fmt_pct, fmt_delta, fill_template
     df = spark.createDataFrame([(1234567.0, 12.345), (950.0, -3.0), (None, None)], "v double, p double")
-    r = df.select(fmt_money("v").alias("m"), fmt_pct("p").alias("p"), fmt_delta("p").alias("d"),
+    assert [x.d for x in spark.createDataFrame([(0.0,)], "p double").select(fmt_delta("p").alias("d")).collect()] == ["● 0.0%"]
+    assert [x.m for x in df.select(fmt_money("v").alias("m")).collect()] == ["1 млн ₽", "950 ₽", "—"]
+    r = df.select(fmt_money("v", digits=1).alias("m"), fmt_pct("p").alias("p"), fmt_delta("p").alias("d"),
                   fill_template("ФОТ превышает %.0f%% от выручки", F.col("p")).alias("t")).collect()
-    assert r[0].m == "1.2 млн ₽" and r[1].m == "950 ₽" and r[2].m == "—"
-    assert r[0].p == "12.3%" and r[1].d == "▼ -3.0%" and r[0].d == "▲ +12.3%" and r[2].p == "—"
+    assert r[0].m == "1.2 млн ₽" and r[1].m == "950.0 ₽" and r[2].m == "—"
+    assert r[0].p == "12.3%" and r[1].d == "▼ 3.0%" and r[0].d == "▲ 12.3%" and r[2].p == "—"
     assert r[0].t == "ФОТ превышает 12% от выручки"
 
 
