@@ -284,7 +284,7 @@ def test_alerts_fire_on_thresholds(spark):
     types = {r.alert_type for r in a}
     assert "high_refund" in types
     hr = [r for r in a if r.alert_type == "high_refund"][0]
-    assert hr.metric_value == 50.0 and hr.description.startswith("Уровень возвратов 50.0%")
+    assert hr.metric_value == 50.0 and hr.description.startswith("Возвраты достигли 50.0%")
 
 
 def test_display_columns(spark):
@@ -293,10 +293,10 @@ def test_display_columns(spark):
     assert [x.d for x in spark.createDataFrame([(0.0,)], "p double").select(fmt_delta("p").alias("d")).collect()] == ["● 0.0%"]
     assert [x.m for x in df.select(fmt_money("v").alias("m")).collect()] == ["1 млн ₽", "950 ₽", "—"]
     r = df.select(fmt_money("v", digits=1).alias("m"), fmt_pct("p").alias("p"), fmt_delta("p").alias("d"),
-                  fill_template("ФОТ превышает %.0f%% от выручки", F.col("p")).alias("t")).collect()
+                  fill_template("Оплата труда заняла %.0f%% выручки", F.col("p")).alias("t")).collect()
     assert r[0].m == "1.2 млн ₽" and r[1].m == "950.0 ₽" and r[2].m == "—"
     assert r[0].p == "12.3%" and r[1].d == "▼ 3.0%" and r[0].d == "▲ 12.3%" and r[2].p == "—"
-    assert r[0].t == "ФОТ превышает 12% от выручки"
+    assert r[0].t == "Оплата труда заняла 12% выручки"
 
 
 def test_sinks_count_and_month_overwrite(spark, tmp_path):
