@@ -50,7 +50,7 @@ def dropped(size: int, percent: int) -> int:
 
 def classes_of(percent: int, most: int) -> list[int]:
     """Starts of size classes: linked sets lie in one class or in neighbouring ones."""
-    least = 100 // (100 - percent)  # smaller sets link only if they are equal
+    least = -(-percent // (100 - percent))  # the least n with n of n + 1 enough: smaller sets link only if they are equal
     starts = [least]
     while starts[-1] <= most:
         starts.append(starts[-1] * 100 // percent + 1)

@@ -174,6 +174,25 @@ def test_jaccard(spark, monkeypatch, words, percent, block):
     assert jaccard.jaccard_groups(empty(spark)).count() == 0
 
 
+@pytest.mark.parametrize("percent", [80, 90])
+def test_every_size_pair_that_links_shares_a_key(percent):
+    x = np.unique(jaccard.S.mixed(np.arange(1, 80, dtype=np.uint64)))
+    for light in (jaccard.classes_of(percent, 1)[0], 8, 13):
+        for n, m in itertools.combinations(range(1, 31), 2):
+            if 100 * n >= percent * m:  # n inside m
+                assert np.intersect1d(jaccard.keys(x[:n], light, percent), jaccard.keys(x[:m], light, percent)).size, (n, m, light)
+
+
+@pytest.mark.parametrize("words,percent,size", [(3, 90, 11), (5, 80, 8)])
+def test_jaccard_links_the_smallest_sets_that_can(spark, words, percent, size):
+    """9 shingles in 10 at 90, 4 in 5 at 80: a word more at either end; one size less does not link."""
+    text = lambda k, n: [f"w{k}x{i}" for i in range(n)]
+    rows = [(1, text(0, size)), (2, text(0, size) + ["z"]), (3, text(1, size)), (4, ["z"] + text(1, size)), (5, text(2, size - 1)), (6, text(2, size - 1) + ["z"])]
+    docs = spark.createDataFrame([(i, " ".join(w)) for i, w in rows], "doc_id long, text string")
+    got = {r["doc_id"]: r["component_id"] for r in jaccard.jaccard_groups(docs, words=words, percent=percent).collect()}
+    assert got == {1: 1, 2: 1, 3: 3, 4: 3, 5: 5, 6: 6}
+
+
 def test_light_boundary_follows_cost():
     assert jaccard.light_end({12: 1000, 40: 10}, 90) == 13
     assert jaccard.light_end({40: 1000}, 90) <= 40
