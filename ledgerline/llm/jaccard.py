@@ -404,6 +404,12 @@ def jaccard_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     named by the smallest other id of its component, if there is one. An empty
     table gives no rows; other columns are not read.
     """
+    out = _placed(docs, id_col, text_col, words, percent)
+    return out.select("doc_id", "n_shingles", "component_id").withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
+
+
+def _placed(docs: DataFrame, id_col: str, text_col: str, words: int, percent: int) -> DataFrame:
+    """doc_id, n_shingles, component_id, cls and first: the component's smallest class, the same for all its rows."""
     rows = keyed(docs, id_col, text_col)
     by_size = sizes_of(rows, words).filter(F.col("n") <= LIGHT_MOST).groupBy("n").agg(F.count(F.lit(1)).alias("docs"))
     light = light_end({r["n"]: r["docs"] for r in by_size.collect()}, percent)  # LIGHT_MOST rows at most
@@ -432,18 +438,42 @@ def jaccard_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
     comp = components(links.unionByName(more)).select(F.col("node").alias("cls"), "component")
     named = cut(classes.select("cls", "rep").join(comp, "cls", "left").withColumn("component", F.coalesce("component", "cls")))
-    names = cut(named.groupBy("component").agg(F.min("rep").alias("component_id")))
-    named = cut(named.join(names, "component").select("cls", "component_id"))
+    names = cut(named.groupBy("component").agg(F.min("rep").alias("component_id"), F.min("cls").alias("first")))
+    named = cut(named.join(names, "component").select("cls", "component_id", "first"))
     facts = cut(facts.select("doc_id", "n", "cls"))
     scratch.drop()
     release(docs.sparkSession)
     out = facts.join(named, "cls", "left")
-    out = out.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("cls").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"))
-    return out.withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
+    return out.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("cls").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"), "cls", "first")
+
+
+def _classed(texts: DataFrame, words: int) -> DataFrame:
+    """(cls, hash): the fingerprint of each text and its SHA-256; a text without words has no fingerprint."""
+    def run(batches: Iterator) -> Iterator:
+        import pyarrow as pa
+        for batch in batches:
+            cls = [fingerprint(S.shingles(text.as_py(), words)) for text in batch.column(0)]
+            yield pa.RecordBatch.from_arrays([pa.array(cls, pa.int64()), batch.column(1)], names=["cls", "hash"])
+
+    return texts.select("text", F.sha2(F.col("text").cast("binary"), 256).alias("hash")).mapInArrow(run, "cls bigint, hash string")
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS, percent: int = PERCENT) -> DataFrame:
-    """``docs`` with all columns, the document with the smallest id of each component; rows with a null id that
-    are linked to nothing with an id stay as well."""
-    stay = jaccard_groups(docs, id_col, text_col, words, percent).filter("kept").select(F.col("doc_id").alias("__id")).distinct()
-    return docs.join(stay, docs[id_col].eqNullSafe(stay["__id"]), "left_semi").dropDuplicates([id_col, text_col])
+    """``docs`` with all columns, the document with the smallest id of each component.
+
+    Of a component without ids one document stays, of its smallest class the one
+    whose text has the smallest SHA-256. Texts without words are linked with
+    nothing: those with a null id stay, one of each text.
+    """
+    placed = _placed(docs, id_col, text_col, words, percent)
+    stay = placed.filter("doc_id = component_id").select(F.col("doc_id").alias("__id")).distinct()
+    named = docs.join(stay, docs[id_col] == stay["__id"], "left_semi")
+    nameless = cut(placed.filter("doc_id IS NULL AND component_id IS NULL AND (cls IS NULL OR cls = first)").select("cls").distinct())
+    if nameless.isEmpty():
+        return named.dropDuplicates([id_col, text_col])
+    without = docs.filter(docs[id_col].isNull())
+    found = _classed(keyed(without, id_col, text_col), words).join(nameless.withColumnRenamed("cls", "__cls"), F.col("cls").eqNullSafe(F.col("__cls")), "left_semi").distinct()
+    ones = found.filter("cls IS NOT NULL").groupBy("cls").agg(F.min("hash").alias("__hash")).select("__hash")
+    ones = cut(ones.unionByName(found.filter("cls IS NULL").select(F.col("hash").alias("__hash"))))
+    own = F.sha2(F.coalesce(without[text_col].cast("string"), F.lit("")).cast("binary"), 256)
+    return named.unionByName(without.join(ones, own == ones["__hash"], "left_semi")).dropDuplicates([id_col, text_col])

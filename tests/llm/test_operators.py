@@ -193,6 +193,17 @@ def test_jaccard_links_the_smallest_sets_that_can(spark, words, percent, size):
     assert got == {1: 1, 2: 1, 3: 3, 4: 3, 5: 5, 6: 6}
 
 
+def test_keep_one_without_ids(spark):
+    """Null ids: none beside a copy with an id, one of a group without ids, lone and blank ones as they are."""
+    a, b, c = ([f"{k}{i}" for i in range(40)] for k in "abc")
+    rows = [(1, a), (None, a + ["x"]), (None, b), (None, ["x"] + b), (None, b), (None, c), (None, []), (2, ["lone"])]
+    docs = spark.createDataFrame([(i, " ".join(w), "s") for i, w in rows], "doc_id long, text string, source string")
+    kept = jaccard.keep_one(docs)
+    assert kept.columns == docs.columns
+    got = Counter((r["doc_id"], r["text"].replace("x", "").strip()) for r in kept.collect())
+    assert got == Counter([(1, " ".join(a)), (None, " ".join(b)), (None, " ".join(c)), (None, ""), (2, "lone")])
+
+
 def test_light_boundary_follows_cost():
     assert jaccard.light_end({12: 1000, 40: 10}, 90) == 13
     assert jaccard.light_end({40: 1000}, 90) <= 40
