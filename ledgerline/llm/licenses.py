@@ -108,20 +108,38 @@ def sentences(text):
     return F.filter(F.transform(F.split(t, "\x01"), lambda s: F.trim(s)), lambda s: s != "")
 
 
-def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", gap: int = GAP) -> DataFrame:
+def lined_sentences(text):
+    """As ``sentences``, and a known sentence that fills whole lines is one of its own, closing mark or not.
+
+    Marks at line starts (``#``, `` *``, ``//``) are no letters, so comments and wrapped sentences are told alike.
+    """
+    t = F.translate(text, UPPER, LOWER)
+    t = F.regexp_replace(t, TAG, "\n\nspdx-license-identifier $1\n\n")
+    t = F.regexp_replace(t, ENDS, "\x01")
+    t = F.regexp_replace(F.regexp_replace(t, r"[^0-9a-z\x01\n]+", " "), r"\n", "\x02")
+    some = "|".join(s.replace(" ", r"[ \x02]+") for s in sorted(known(), key=lambda s: (-len(s), s)))
+    t = F.regexp_replace(t, rf"(?<![^\x01\x02])( ?)({some})(?= ?(?:[\x01\x02]|\z))", "\x01$2\x01")
+    t = F.regexp_replace(t, r"[ \x02]+", " ")
+    return F.filter(F.transform(F.split(t, "\x01"), lambda s: F.trim(s)), lambda s: s != "")
+
+
+def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", gap: int = GAP, lines: bool = False) -> DataFrame:
     """One row per document: doc_id, n_sentences, n_known, matches and licences.
 
     ``matches`` lists each match in order as (licence, codes of its sentences);
     ``licences`` its distinct licences, sorted. Whole texts are read; nothing is
     shuffled, so a row's result depends on that row only.
 
+    A sentence ends at a closing mark or an empty line; with ``lines`` a known
+    one may also stand on lines of its own, next to lines without a closing mark.
+
     Null and empty texts have no sentences; repeated rows give a row each; null
     ids stay null; an empty table gives no rows; other columns are not read.
     """
     code, ordered = known(), rules()
     table = F.create_map(*[F.lit(x) for pair in code.items() for x in pair])
     names = F.create_map(*[F.lit(x) for pair in ordered for x in pair])
-    rows = keyed(docs, id_col, text_col).select("doc_id", sentences(F.col("text")).alias("s"))
+    rows = keyed(docs, id_col, text_col).select("doc_id", (lined_sentences if lines else sentences)(F.col("text")).alias("s"))
     spots = F.filter(F.transform("s", lambda s, i: F.struct(i.alias("i"), s.alias("s"))), lambda x: x["s"].isin(list(code)))
     rows = rows.select("doc_id", F.size("s").alias("n_sentences"), spots.alias("spots"))
     step = F.transform("spots", lambda x, k: F.concat(
