@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import embeddings, exact, jaccard, langid, licenses, mixing, packing, quality, repeats, tokens
+from . import embeddings, exact, jaccard, langid, licenses, lines, mixing, packing, quality, repeats, tokens
 from ._shared import ready, table
 
 
@@ -145,6 +145,31 @@ SELECT doc_id, n_sentences::INT AS n_sentences, n_known::INT AS n_known, len(fou
 """
 
 
+def op11_line_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lines.line_rules(table(spark, sf_dir, "documents"))
+
+
+OP11_SQL = r"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, source, coalesce(text, '') AS t FROM documents),
+w AS (SELECT r, regexp_extract_all(t, '[^\x20\x09-\x0D]+') AS w FROM d),
+g AS (SELECT r, i, array_to_string(w[i:i + 4], ' ') AS g FROM (SELECT r, w, unnest(range(1, len(w) - 3)) AS i FROM w)),
+twice AS (SELECT r, i FROM (SELECT r, i, count(*) OVER (PARTITION BY r, g) AS n FROM g) WHERE n > 1),
+rep AS (SELECT r, count(DISTINCT i + k) AS n FROM twice, range(5) x(k) GROUP BY r),
+raw AS (SELECT r, list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS l FROM d),
+l AS (SELECT r, source, md5(t) AS copy, unnest(l) AS l FROM d JOIN raw USING (r)),
+n AS (SELECT r, source, copy, lower(trim(regexp_replace(l, '[\x20\x09-\x0D]+', ' ', 'g'))) AS l FROM l),
+f AS (SELECT source, l FROM n JOIN (SELECT source AS s, count(DISTINCT md5(t)) AS texts FROM d GROUP BY ALL) ON source IS NOT DISTINCT FROM s
+      GROUP BY source, l, texts HAVING count(DISTINCT copy) > MOST_DOCS AND 100 * count(DISTINCT copy) > MOST_PERCENT * texts),
+lost AS (SELECT r, sum(len(string_split(n.l, ' '))) AS n FROM n JOIN f ON n.source IS NOT DISTINCT FROM f.source AND n.l = f.l GROUP BY r),
+b AS (SELECT doc_id, len(w)::BIGINT AS n_words, length(array_to_string(w, ''))::BIGINT AS word_chars,
+  length(regexp_replace(t, '[^#*$%&|<>]+', '', 'g'))::BIGINT AS n_symbols, (len(l) - len(list_distinct(l)))::BIGINT AS n_dup_lines,
+  coalesce(rep.n, 0)::BIGINT AS n_repeat_words, coalesce(lost.n, 0)::BIGINT AS n_removed
+  FROM d JOIN w USING (r) JOIN raw USING (r) LEFT JOIN rep USING (r) LEFT JOIN lost USING (r)),
+v AS (SELECT *, n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_failed FROM b)
+SELECT *, NOT base_failed AND n_words - n_removed >= 10 AND 100 * n_removed <= MOST_REMOVED * n_words AS kept FROM v
+""".replace("MOST_DOCS", str(lines.MOST_DOCS)).replace("MOST_PERCENT", str(lines.MOST_PERCENT)).replace("MOST_REMOVED", str(lines.MOST_REMOVED))
+
+
 def _configured(fn: Callable) -> Callable:
     def run(spark, sf_dir):
         return fn(ready(spark), sf_dir)
