@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import embeddings, exact, jaccard, langid, licenses, lines, mixing, packing, quality, repeats, tokens
+from . import embeddings, exact, importance, jaccard, langid, licenses, lines, mixing, packing, quality, repeats, tokens
 from ._shared import ready, table
 
 
@@ -170,6 +170,39 @@ SELECT *, NOT base_failed AND n_words - n_removed >= 10 AND 100 * n_removed <= M
 """.replace("MOST_DOCS", str(lines.MOST_DOCS)).replace("MOST_PERCENT", str(lines.MOST_PERCENT)).replace("MOST_REMOVED", str(lines.MOST_REMOVED))
 
 
+# CRC-32 of the words in a list ``w``, byte by byte; the table of 256 follows from the polynomial.
+CRC_SQL = """
+crc_table AS (SELECT list_transform(range(256), lambda i: list_reduce(range(8), lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END, i)) AS tab)"""
+
+
+def _crc(x: str) -> str:
+    """CRC-32 of a text in SQL, where ``crc_table`` is among the tables read."""
+    octets = f"list_transform(range(octet_length(encode({x}))), lambda k: ('0x' || substr(hex(encode({x})), 2 * k + 1, 2))::BIGINT)"
+    return f"xor(list_reduce({octets}, lambda c, b: xor(c >> 8, tab[1 + (xor(c, b) & 255)]), 4294967295::BIGINT), 4294967295::BIGINT)"
+
+
+def op12_importance(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = importance.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return found.select("doc_id", "n_features", "weight", "score", "rank")
+
+
+OP12_SQL = rf"""
+WITH {CRC_SQL.strip()},
+d AS (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(translate(coalesce(text, ''), '{importance.UPPER}', '{importance.LOWER}'), '{importance.WORD}') AS w FROM documents),
+e AS (SELECT regexp_extract_all(translate(coalesce(text, ''), '{importance.UPPER}', '{importance.LOWER}'), '{importance.WORD}') AS w FROM benchmark),
+dw AS (SELECT r, unnest(w) AS w FROM d), ew AS (SELECT unnest(w) AS w FROM e),
+b AS (SELECT w, {_crc('w')} % {importance.BUCKETS} AS b FROM (SELECT w FROM dw UNION SELECT w FROM ew), crc_table),
+s AS (SELECT b, count(*) AS s FROM dw JOIN b USING (w) GROUP BY b), t AS (SELECT b, count(*) AS t FROM ew JOIN b USING (w) GROUP BY b),
+g AS (SELECT b, floor(1000 * ln(((coalesce(t, 0) + 1)::DOUBLE * ((SELECT count(*) FROM dw) + {importance.BUCKETS})) / ((s + 1)::DOUBLE * ((SELECT count(*) FROM ew) + {importance.BUCKETS}))))::BIGINT AS g
+  FROM s LEFT JOIN t USING (b)),
+m AS (SELECT r, floor(sum(g) / count(*))::BIGINT AS m FROM dw JOIN b USING (w) JOIN g USING (b) GROUP BY r),
+z AS (SELECT doc_id, len(w)::BIGINT AS n_features, coalesce(m, 0)::BIGINT AS weight,
+  (coalesce(m, 0) + floor(-1000 * ln(-ln((('0x' || substr(sha256('{importance.SEED}:' || coalesce(doc_id::VARCHAR, '')), 1, 8))::BIGINT + 0.5::DOUBLE) / 4294967296))))::BIGINT AS score FROM d LEFT JOIN m USING (r)),
+k AS (SELECT *, n_features >= {importance.LEAST_WORDS} AS able, row_number() OVER (PARTITION BY n_features >= {importance.LEAST_WORDS} ORDER BY score DESC, doc_id) AS place FROM z)
+SELECT doc_id, n_features, weight, score, CASE WHEN able AND place <= (SELECT count(*) FROM z WHERE n_features >= {importance.LEAST_WORDS}) * {importance.PERCENT} // 100 THEN place END AS rank FROM k
+"""
+
+
 def _configured(fn: Callable) -> Callable:
     def run(spark, sf_dir):
         return fn(ready(spark), sf_dir)
