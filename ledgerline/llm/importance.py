@@ -68,9 +68,12 @@ def _across(text: str, order: int, buckets: int) -> Column:
 
 
 def segments(docs: DataFrame, order: int, buckets: int) -> DataFrame:
-    """(key, uses, words, buckets): the distinct lines that have a word, each worked out once. ``docs`` has ``text``."""
+    """(key, uses, words, buckets): the distinct lines, each worked out once. ``docs`` has ``text``.
+
+    Lines without a word stay, with no buckets: a filter on words would be pushed below the grouping and read every line.
+    """
     lines = docs.select(F.explode(_line(F.col("text"))).alias("line")).groupBy("line").agg(F.count(F.lit(1)).alias("uses"))
-    read = lines.select(_key(F.col("line")).alias("key"), "uses", words_of(F.col("line")).alias("words")).filter(F.size("words") > 0)
+    read = lines.select(_key(F.col("line")).alias("key"), "uses", words_of(F.col("line")).alias("words"))
     return cut(read.select("key", "uses", F.size("words").cast("long").alias("words"), _inside("words", order, buckets).alias("buckets")))
 
 
