@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import embeddings, exact, importance, jaccard, langid, licenses, lines, mixing, packing, quality, repeats, tokens
+from . import embeddings, exact, importance, jaccard, langid, licenses, lines, mixing, packing, quality, repeats, tokens, trie
 from ._shared import ready, table
 
 
@@ -203,6 +203,33 @@ SELECT doc_id, n_features, weight, score, CASE WHEN able AND place <= (SELECT co
 """
 
 
+def op13_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return trie.prefix_trie(table(spark, sf_dir, "conversations"))
+
+
+OP13_SQL = rf"""
+WITH {CRC_SQL.strip()},
+t AS (SELECT conv_id, turn, md5(length(coalesce(role, '')) || ':' || coalesce(role, '') || coalesce(text, '')) AS m,
+  len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS words FROM conversations WHERE conv_id IS NOT NULL),
+o AS (SELECT conv_id, m, words, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, m) AS k FROM t),
+c AS (SELECT conv_id, {_crc('conv_id::VARCHAR')} % {trie.HEADS} AS h FROM (SELECT DISTINCT conv_id FROM t), crc_table),
+r AS (SELECT c.conv_id, 0 AS part, k, m, words FROM c JOIN o ON o.conv_id = c.conv_id - c.conv_id % {trie.BLOCK} AND k <= h
+  UNION ALL SELECT c.conv_id, 1, k, m, words FROM c JOIN o ON o.conv_id = c.conv_id AND k > h),
+p AS (SELECT c.conv_id, coalesce(list(m ORDER BY part, k) FILTER (m IS NOT NULL), []) AS l, coalesce(list(words ORDER BY part, k) FILTER (m IS NOT NULL), []) AS w
+  FROM c LEFT JOIN r USING (conv_id) GROUP BY c.conv_id),
+x AS (SELECT conv_id, l, w, unnest(range(0, len(l) + 1)) AS d FROM p),
+n AS (SELECT array_to_string(l[1:d], '') AS key, d AS depth, min(conv_id) AS conv_id, count(*) AS n_convs, any_value(CASE WHEN d = 0 THEN 0 ELSE w[d] END) AS words,
+  coalesce(string_agg(conv_id::VARCHAR, ',' ORDER BY conv_id) FILTER (d = len(l)), '') AS ends FROM x GROUP BY ALL),
+kids AS (SELECT left(key, 32 * (depth - 1)) AS key, depth - 1 AS depth, count(*) AS n FROM n WHERE depth > 0 GROUP BY ALL),
+a AS (SELECT key, depth, words, n_convs, unnest(range(0, depth + 1)) AS up FROM n),
+s AS (SELECT left(a.key, 32 * up) AS key, up AS depth, sum((n_convs - 1) * words) AS saved, count(*) FILTER (kids.n IS NULL) AS leaves
+  FROM a LEFT JOIN kids ON kids.key = a.key AND kids.depth = a.depth GROUP BY ALL)
+SELECT n.conv_id, n.depth, u.conv_id AS parent_conv_id, n.n_convs, coalesce(kids.n, 0) AS n_children, s.leaves AS n_leaves, s.saved::BIGINT AS saved_tokens, sha256(n.ends) AS ends_sha256
+FROM n JOIN s ON s.key = n.key AND s.depth = n.depth LEFT JOIN kids ON kids.key = n.key AND kids.depth = n.depth
+LEFT JOIN n u ON u.key = left(n.key, 32 * (n.depth - 1)) AND u.depth = n.depth - 1
+"""
+
+
 def _configured(fn: Callable) -> Callable:
     def run(spark, sf_dir):
         return fn(ready(spark), sf_dir)
