@@ -47,24 +47,31 @@ def _runs(size: Column, length: int) -> Column:
     return F.when(size >= length, F.sequence(F.lit(0), size - length)).otherwise(F.array().cast("array<int>"))
 
 
+def _grams(words: str, i: Column, n: int, buckets: int, part: str | None = None) -> Column:
+    """The bucket of the ``n`` words from place ``i`` of the list in a column."""
+    each = [F.get(words, i + k) for k in range(n)]
+    return _bucket(F.concat_ws(" ", *[x[part] if part else x for x in each]), buckets)
+
+
 def _inside(words: str, order: int, buckets: int) -> Column:
     """Buckets of all n-grams of a list of words."""
-    grams = [F.transform(words, lambda w: _bucket(w, buckets))]
+    each = [F.transform(words, lambda w: _bucket(w, buckets))]
     for n in range(2, order + 1):
-        grams.append(F.transform(_runs(F.size(words), n), lambda i, n=n: _bucket(F.concat_ws(" ", *[F.get(words, i + k) for k in range(n)]), buckets)))
-    return F.concat(*grams)
+        each.append(F.transform(_runs(F.size(words), n), (lambda n: lambda i: _grams(words, i, n, buckets))(n)))
+    return F.concat(*each)
 
 
-def _across(text: str, order: int, buckets: int) -> Column:
-    """Buckets of the n-grams that run over at least one line end."""
+def _across(docs: DataFrame, order: int, buckets: int) -> DataFrame:
+    """``docs`` with ``across``: buckets of the n-grams of ``text`` that run over at least one line end."""
+    none = F.array().cast("array<int>")
     if order < 2:
-        return F.array().cast("array<int>")
-    at = F.flatten(F.transform(_line(F.col(text)), lambda x, i: F.transform(words_of(x), lambda w: F.struct(w.alias("w"), i.alias("i")))))
-    grams = []
+        return docs.withColumn("across", none)
+    at = F.flatten(F.transform(_line(F.col("text")), lambda x, i: F.transform(words_of(x), lambda w: F.struct(w.alias("w"), i.alias("i")))))
+    each = []
     for n in range(2, order + 1):
-        over = F.filter(_runs(F.size(at), n), lambda i, n=n: F.get(at, i)["i"] != F.get(at, i + n - 1)["i"])
-        grams.append(F.transform(over, lambda i, n=n: _bucket(F.concat_ws(" ", *[F.get(at, i + k)["w"] for k in range(n)]), buckets)))
-    return F.concat(*grams)
+        over = F.filter(_runs(F.size("at"), n), (lambda n: lambda i: F.get("at", i)["i"] != F.get("at", i + n - 1)["i"])(n))
+        each.append(F.transform(over, (lambda n: lambda i: _grams("at", i, n, buckets, "w"))(n)))
+    return docs.withColumn("at", at).withColumn("across", F.concat(*each)).drop("at")
 
 
 def segments(docs: DataFrame, order: int, buckets: int) -> DataFrame:
@@ -73,8 +80,8 @@ def segments(docs: DataFrame, order: int, buckets: int) -> DataFrame:
     Lines without a word stay, with no buckets: a filter on words would be pushed below the grouping and read every line.
     """
     lines = docs.select(F.explode(_line(F.col("text"))).alias("line")).groupBy("line").agg(F.count(F.lit(1)).alias("uses"))
-    read = lines.select(_key(F.col("line")).alias("key"), "uses", words_of(F.col("line")).alias("words"))
-    return cut(read.select("key", "uses", F.size("words").cast("long").alias("words"), _inside("words", order, buckets).alias("buckets")))
+    read = lines.select(_key(F.col("line")).alias("key"), "uses", words_of(F.col("line")).alias("list"))
+    return cut(read.select("key", "uses", F.size("list").cast("long").alias("words"), _inside("list", order, buckets).alias("buckets")))
 
 
 def counts(parts: DataFrame, across: DataFrame, buckets: int) -> list[int]:
@@ -107,12 +114,12 @@ def resample(docs: DataFrame, target: DataFrame, id_col: str = "doc_id", text_co
     by 128 bits of hash.
     """
     docs = keyed(docs, id_col, text_col)
-    shaped = docs.select("doc_id", F.monotonically_increasing_id().alias("row"), F.xxhash64("text").alias("tie"),
-                         F.transform(_line(F.col("text")), _key).alias("lines"), _across("text", order, buckets).alias("across"))
-    shaped = cut(shaped)
+    shaped = docs.select("doc_id", "text", F.monotonically_increasing_id().alias("row"), F.xxhash64("text").alias("tie"),
+                         F.transform(_line(F.col("text")), _key).alias("lines"))
+    shaped = cut(_across(shaped, order, buckets).drop("text"))
     parts = segments(docs, order, buckets)
     aims = keyed(target, target_id, target_text)
-    want = counts(segments(aims, order, buckets), aims.select(_across("text", order, buckets).alias("across")), buckets)
+    want = counts(segments(aims, order, buckets), _across(aims, order, buckets).select("across"), buckets)
     gains = _gains(counts(parts, shaped, buckets), want)
 
     worth = cut(parts.select("key", "uses", "words", F.size("buckets").cast("long").alias("n"), _total("buckets", gains).alias("gain")))
