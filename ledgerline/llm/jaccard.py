@@ -57,6 +57,17 @@ def classes_of(percent: int, most: int) -> list[int]:
     return starts
 
 
+def parts_of(top: int, percent: int) -> int:
+    """Into how many parts sets of up to ``top`` elements are cut: one more than linked sets differ in, and some that may be empty."""
+    p = differs(2 * top, percent) + 1
+    spare = 0
+    while True:
+        bare = (p + spare) * math.exp(-top / (p + spare))   # parts without an element, as expected
+        if math.ceil(bare + 2 * math.sqrt(bare) - 0.5) <= spare:
+            return p + spare
+        spare += 1
+
+
 def light_end(counts: dict[int, int], percent: int) -> int:
     """The first heavy size: where subsets below and lists from there on cost least. ``counts``: sets by size."""
     starts = classes_of(percent, LIGHT_MOST * 2)
@@ -66,7 +77,7 @@ def light_end(counts: dict[int, int], percent: int) -> int:
 
     def lists(s):
         k = sum(1 for x in starts if x <= s) - 1
-        return LIST_COST * sum(differs(2 * (starts[c + 1] - 1), percent) + 1 for c in (k, k + 1))
+        return LIST_COST * sum(parts_of(starts[c + 1] - 1, percent) for c in (k, k + 1))
 
     sizes = [s for s in counts if starts[0] <= s <= LIGHT_MOST]
     total = lambda x: sum(counts[s] * (subsets(s) if s < x else lists(s)) for s in sizes)
@@ -74,7 +85,14 @@ def light_end(counts: dict[int, int], percent: int) -> int:
 
 
 def keys(x, light: int, percent: int):
-    """The keys of a set of shingle hashes: subset keys if light, part keys if heavy or nearly so."""
+    """The keys of a set of shingle hashes: subset keys if light, part keys if heavy or nearly so.
+
+    Each element in which linked sets differ spoils one part, and all other
+    parts agree. If a set has more parts with elements than it can differ in
+    from any linked set, one of these agrees, so its empty parts, which it would
+    share with all sets of its class, need no key. Of two linked sets one such
+    set is enough, as parts with elements always have their key.
+    """
     import numpy as np
     n = len(x)
     starts = classes_of(percent, max(n, 1))
@@ -91,13 +109,17 @@ def keys(x, light: int, percent: int):
         k = sum(1 for s in starts if s <= n) - 1
         starts = classes_of(percent, starts[k] * 2)
         for c in (k, k + 1):
-            p = differs(2 * (starts[c + 1] - 1), percent) + 1
+            top = starts[c + 1] - 1
+            p = parts_of(top, percent)
             m = S.mixed(x + np.uint64(c + 1))
             order = np.argsort(part := (m >> np.uint64(32)) % np.uint64(p), kind="stable")
             sums = np.concatenate([[np.uint64(0)], np.cumsum(m[order], dtype=np.uint64)])
             at = np.searchsorted(part[order], np.arange(p + 1))
             tag = S.mixed(np.arange(p, dtype=np.uint64) + np.uint64(c + 1) * np.uint64(1 << 32))
-            out.append(S.mixed((sums[at[1:]] - sums[at[:-1]]) ^ tag))
+            held = at[1:] > at[:-1]
+            spoilt = differs(n + min(top, n * 100 // percent), percent)
+            told = held if np.count_nonzero(held) > spoilt else np.ones(p, dtype=bool)
+            out.append(S.mixed((sums[at[1:]] - sums[at[:-1]]) ^ tag)[told])
     return np.concatenate(out) if out else np.zeros(0, dtype=np.uint64)
 
 
