@@ -22,7 +22,10 @@ END = 1                  # id after each document
 
 
 def clear_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose language is clear; those without a letter or between two languages go."""
+    """Documents whose language is clear; those without a letter or between two languages go.
+
+    All stay where no language can be learnt (no document has a lang).
+    """
     docs = docs.select(COLUMNS)
     return langid.accepted(docs, langid.learn(docs))
 

@@ -87,10 +87,13 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
 
 def drop_exact(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``docs`` without exact copies: all columns of one row per group of equal texts."""
+    """``docs`` without exact copies: all columns of one row per group of equal texts.
+
+    Rows are told by id and normalised text: rows that share an id with different
+    texts are judged each by its own, and of null ids one row a text stays.
+    """
     stay = exact_groups(docs, id_col, text_col).filter("kept").select(F.col("doc_id").alias("__id"), F.col("text_sha256").alias("__sha")).distinct()
-    same = docs[id_col].eqNullSafe(stay["__id"])
-    # An id names its text; only where it is null must the text itself tell.
     text = normalised(F.coalesce(docs[text_col].cast("string"), F.lit("")))
-    same &= docs[id_col].isNotNull() | (F.sha2(text, 256) == stay["__sha"])
-    return docs.join(stay, same, "left_semi").dropDuplicates([id_col, text_col])
+    named = docs.withColumn("__own", F.sha2(text, 256))
+    same = docs[id_col].eqNullSafe(stay["__id"]) & (F.col("__own") == stay["__sha"])
+    return named.join(stay, same, "left_semi").dropDuplicates([id_col, "__own"]).drop("__own")

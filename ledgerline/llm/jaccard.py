@@ -16,6 +16,7 @@ with the real sets of the members that could link across.
 
 from __future__ import annotations
 
+import functools
 import itertools
 import math
 from collections.abc import Iterator
@@ -57,15 +58,15 @@ def classes_of(percent: int, most: int) -> list[int]:
     return starts
 
 
+@functools.cache
 def parts_of(top: int, percent: int) -> int:
     """Into how many parts sets of up to ``top`` elements are cut: one more than linked sets differ in, and some that may be empty."""
     p = differs(2 * top, percent) + 1
-    spare = 0
-    while True:
+    for spare in range(p // 8 + 2):
         bare = (p + spare) * math.exp(-top / (p + spare))   # parts without an element, as expected
         if math.ceil(bare + 2 * math.sqrt(bare) - 0.5) <= spare:
             return p + spare
-        spare += 1
+    return p
 
 
 def light_end(counts: dict[int, int], percent: int) -> int:

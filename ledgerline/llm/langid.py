@@ -21,7 +21,12 @@ PER_LANGUAGE = 800   # training documents of each language, at most
 COST = 1.0
 FOLDS, HELD = 4, 2
 AMBIGUOUS = 0.05     # least lead (difference of scores) of a clear decision
-_LETTER = re.compile(r"[^\W\d_]")
+_LETTER = re.compile(r"[^\W\d_]")   # letters, and numerals such as superscripts, fractions and circled digits
+
+
+def has_letter(text: str) -> bool:
+    """Whether a character of a Unicode letter category is in the text."""
+    return any(m[0].isalpha() for m in _LETTER.finditer(text))
 
 
 def codewords(n: int):
@@ -71,7 +76,7 @@ def _decoder(model: dict, ambiguous: float):
     names, code, weights, trust = model["names"], model["code"], model["weights"], model["trust"]
 
     def decode(text: str):
-        if not names or not _LETTER.search(text):
+        if not names or not has_letter(text):
             return "und", 0.0, True
         seen = np.flatnonzero(G.indicators(text, True, False))
         margin = weights[seen].sum(0, dtype=np.float64) / np.sqrt(max(len(seen), 1)) + model["bias"]
@@ -108,7 +113,12 @@ def identify(docs: DataFrame, model: dict, id_col: str = "doc_id", text_col: str
 
 
 def accepted(docs: DataFrame, model: dict, text_col: str = "text", ambiguous: float = AMBIGUOUS) -> DataFrame:
-    """The rows of ``docs``, all columns, whose language is clear: neither ``und`` nor ambiguous. Nothing is shuffled."""
+    """The rows of ``docs``, all columns, whose language is clear: neither ``und`` nor ambiguous. Nothing is shuffled.
+
+    Where no language could be learnt, nothing can be told from a text: all rows are passed on.
+    """
+    if not model["names"]:
+        return docs
     at = docs.columns.index(text_col)
 
     def run(batches: Iterator) -> Iterator:

@@ -21,6 +21,7 @@ BLOCK_TOKENS = 1 << 20     # a block holds about so many tokens, more where that
 MOST_BLOCKS = 100_000      # ... more blocks than this: the plan of a mixture stays this small at any size
 LEVELS = 4                 # bisection steps answered by one pass over the shares
 STEPS = 24                 # bisection steps in all
+ROUNDS = 6                 # how often the room left in a last block is offered to documents that fit it
 SMALL_SOURCES = 100_000    # up to so many sources their rows are sent to every task
 
 
@@ -107,40 +108,59 @@ def mix(docs: DataFrame, target_entropy: float | None = None, max_repeats: float
     documents by their draw. ``docs`` must not have columns of these names.
     ``tokens`` is a Column with token counts; without it four bytes are a token.
 
+    Where a budget ends inside a block, its documents are taken by their draw as
+    long as they fit; in ``ROUNDS`` rounds those that didn't are passed over and
+    the room that is left is offered to the others. What stays unspent is less
+    than the next of them in the last round, and nothing else is left out.
+
     A hot source is many blocks, so nothing is ordered within a source but its
     blocks, at most ``MOST_BLOCKS`` in all, and the documents of the one block
     that a budget ends in. A null source is a source of its own; null and empty
-    texts count one token; repeated rows are drawn together; an empty table
-    gives no rows.
+    texts count one token; repeated rows are drawn together; a text longer than
+    all its source's budget is not read in a pass that can't hold it; an empty
+    table gives no rows. Any other column names are allowed in ``docs``, and the
+    four added ones raise ValueError.
     """
-    tokens = estimated_tokens(docs[text_col]) if tokens is None else tokens
-    sizes = cut(shares(docs.withColumnRenamed(text_col, "text") if text_col != "text" else docs, source_col, tokens if text_col == "text" else estimated_tokens(F.col("text"))))
+    if clash := {"mix_pass", "mix_block", "mix_rank", "mix_tokens"} & set(docs.columns):
+        raise ValueError(f"columns of these names are added: {sorted(clash)}")
+    names = docs.columns
+    at = {c: f"c{names.index(c)}" for c in (id_col, source_col)}
+    counted = docs.withColumn("mix_tokens", estimated_tokens(docs[text_col]) if tokens is None else tokens)
+    own = counted.toDF(*[f"c{i}" for i in range(len(names))], "mix_tokens")   # no name of the input meets one of ours
+    ident, source = F.col(at[id_col]), F.col(at[source_col])
+    sizes = cut(shares(own, at[source_col], F.col("mix_tokens")))
     plan = cut(budgets(sizes, exponent(sizes, target_entropy, max_repeats), budget_tokens))
     facts = plan.agg(F.sum("tokens").alias("t"), F.count(F.lit(1)).alias("n")).first()
     size = max(block_tokens, (facts["t"] or 0) // MOST_BLOCKS + 1)
     blocks = plan.select(F.col("source").alias("mix_source"), F.ceil(F.col("tokens") / F.lit(size)).cast("bigint").alias("mix_blocks"))
     blocks = F.broadcast(blocks) if facts["n"] <= SMALL_SOURCES else blocks
-    number = draw(F.lit(seed), docs[id_col])
-    sized = docs.withColumns({"mix_tokens": tokens}).join(blocks, docs[source_col].eqNullSafe(F.col("mix_source")))
-    sized = sized.withColumn("mix_block", F.pmod(number, F.col("mix_blocks"))).drop("mix_blocks")
+    sized = own.join(blocks, source.eqNullSafe(F.col("mix_source")))
+    sized = sized.withColumn("mix_block", F.pmod(draw(F.lit(seed), ident), F.col("mix_blocks"))).drop("mix_blocks")
 
     held = sized.groupBy("mix_source", "mix_block").agg(F.sum("mix_tokens").alias("size"))
     turns = cut(_turns(held, plan, seed))
     n = turns.count()
     small = (lambda df: F.broadcast(df)) if n <= 4 * MOST_BLOCKS else (lambda df: df)
     same = sized["mix_source"].eqNullSafe(turns["t_source"]) & (sized["mix_block"] == turns["t_block"])
-    drop = ["mix_source", "t_source", "t_block", "room"]
-    whole = sized.join(small(turns.filter("room IS NULL")), same).drop(*drop)
-    part = sized.join(small(turns.filter("room IS NOT NULL")), same)
-    spent = F.sum("mix_tokens").over(_in_block(docs[id_col], seed))
-    part = part.withColumn("mix_spent", spent).filter("mix_spent <= room").drop("mix_spent", *drop)
-    return whole.unionByName(part)
+    out = [f"c{i}" for i in range(len(names))] + ["mix_tokens", "mix_block", "mix_pass", "mix_rank"]
+    whole = sized.join(small(turns.filter("room IS NULL")), same).select(out)
+    part = _fitting(sized.join(small(turns.filter("room IS NOT NULL")), same), ident, seed).select(out)
+    return whole.unionByName(part).toDF(*names, *out[len(names):])
 
 
-def _in_block(ident, seed: int):
+def _fitting(part: DataFrame, ident, seed: int) -> DataFrame:
+    """The documents that fit the ``room`` of their block, by draw, in rounds; one sort serves all of them."""
     from pyspark.sql import Window as W
-    return (W.partitionBy("t_source", "t_block", "mix_pass").orderBy(draw(F.lit(seed), F.col("mix_pass"), F.lit("doc"), ident), ident)
-            .rangeBetween(W.unboundedPreceding, 0))
+    block = W.partitionBy("t_source", "t_block", "mix_pass")
+    upto = block.orderBy(draw(F.lit(seed), F.col("mix_pass"), F.lit("doc"), ident), ident).rangeBetween(W.unboundedPreceding, 0)
+    part = part.withColumn("taken", F.lit(False))
+    for _ in range(ROUNDS):
+        part = part.withColumn("fits", ~F.col("taken") & (F.col("mix_tokens") <= F.col("room")))
+        part = part.withColumn("spent", F.sum(F.when(F.col("fits"), F.col("mix_tokens")).otherwise(0)).over(upto))
+        part = part.withColumn("now", F.col("fits") & (F.col("spent") <= F.col("room")))
+        part = part.withColumn("room", F.col("room") - F.max(F.when(F.col("now"), F.col("spent")).otherwise(0)).over(block))
+        part = part.withColumn("taken", F.col("taken") | F.col("now"))
+    return part.filter("taken")
 
 
 def _turns(held: DataFrame, plan: DataFrame, seed: int) -> DataFrame:

@@ -86,6 +86,15 @@ b AS (SELECT 0 AS step, 0.0::DOUBLE AS low, 1.0::DOUBLE AS high, 0.5::DOUBLE AS
 power AS (SELECT CASE WHEN lo = hi OR h >= {MIX_ENTROPY} * ln(n) THEN 1.0 ELSE round((SELECT low FROM b WHERE step = {mixing.STEPS}), 6) END AS a FROM ends)"""
 
 
+def _round(i: int) -> str:
+    """One round over what is not taken yet: documents by draw, as long as they fit the room left."""
+    return f"""
+f{i} AS (SELECT *, NOT taken AND tokens <= room AS fits, sum(CASE WHEN NOT taken AND tokens <= room THEN tokens ELSE 0 END) OVER (PARTITION BY source, block, pass
+      ORDER BY {_draw("'0'", "pass::VARCHAR", "'doc'", "coalesce(doc_id::VARCHAR, '-')")}, doc_id RANGE UNBOUNDED PRECEDING) AS spent FROM r{i}),
+r{i + 1} AS (SELECT doc_id, source, pass, block, rnk, tokens, room - max(CASE WHEN fits AND spent <= room THEN spent ELSE 0 END) OVER (PARTITION BY source, block, pass) AS room,
+    taken OR (fits AND spent <= room) AS taken FROM f{i})"""
+
+
 OP6_SQL = f"""
 WITH RECURSIVE d AS (SELECT doc_id, source, greatest(1, ceil(strlen(coalesce(text, '')) / 4))::BIGINT AS tokens FROM documents),
 sizes AS (SELECT source, sum(tokens)::BIGINT AS tokens FROM d GROUP BY source),{_bisected()},
@@ -99,10 +108,10 @@ turns AS (SELECT held.source, block, size, budget // tokens AS passes, budget %
 placed AS (SELECT *, row_number() OVER w AS rnk, sum(size) OVER (w ROWS UNBOUNDED PRECEDING) AS upto FROM turns
     WINDOW w AS (PARTITION BY source, pass ORDER BY {_draw("'0'", "pass::VARCHAR", "coalesce(source, '-')", "block::VARCHAR")}, block)),
 kept AS (SELECT *, CASE WHEN pass < passes OR upto <= rest THEN NULL ELSE rest - (upto - size) END AS room FROM placed),
-read AS (SELECT doc_id, sized.source, pass, sized.block, rnk, tokens, room, sum(tokens) OVER (PARTITION BY sized.source, sized.block, pass
-      ORDER BY {_draw("'0'", "pass::VARCHAR", "'doc'", "coalesce(doc_id::VARCHAR, '-')")}, doc_id RANGE UNBOUNDED PRECEDING) AS spent
-    FROM sized JOIN kept ON sized.source IS NOT DISTINCT FROM kept.source AND sized.block = kept.block WHERE room IS NULL OR room > 0)
-SELECT doc_id, source, pass::INT AS mix_pass, block AS mix_block, rnk::INT AS mix_rank, tokens AS mix_tokens FROM read WHERE room IS NULL OR spent <= room
+r0 AS (SELECT doc_id, sized.source, pass, sized.block, rnk, tokens, room, room IS NULL AS taken
+    FROM sized JOIN kept ON sized.source IS NOT DISTINCT FROM kept.source AND sized.block = kept.block WHERE room IS NULL OR room > 0),
+{",".join(_round(i) for i in range(mixing.ROUNDS))}
+SELECT doc_id, source, pass::INT AS mix_pass, block AS mix_block, rnk::INT AS mix_rank, tokens AS mix_tokens FROM r{mixing.ROUNDS} WHERE taken
 """
 
 
