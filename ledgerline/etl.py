@@ -18,7 +18,7 @@ from . import vocab
 from .operators import conform as C
 from .operators.marts import monthly_pnl, doctor_kpi, branch_comparison
 from .session import ensure_checkpoint_dir
-from .sinks import write_table, write_mart
+from .sinks import write_table
 from .sources import files as FI
 
 DIM_DOCTOR_DDL = "doctor_id int, full_name string"
@@ -70,7 +70,8 @@ def transactions(spark: SparkSession, raw_path: str, root: str, aliases: DataFra
 
 def refresh(spark: SparkSession, root: str, dim_branch: DataFrame, cf_monthly: DataFrame | None = None,
             patterns: dict | None = None) -> dict:
-    """Fact -> marts (one job per mart; a failure in one does not stop the others)."""
+    """Fact -> marts (one job per mart; a failure in one does not stop the others). A mart is replaced as a whole, so
+    months that the fact no longer has are gone from it, whatever the session's overwrite mode."""
     fact = spark.read.parquet(os.path.join(root, "dwh", "fact_transactions"))
     doctors = spark.read.parquet(os.path.join(root, "dwh", "dim_doctor"))
     if cf_monthly is None:
@@ -84,7 +85,7 @@ def refresh(spark: SparkSession, root: str, dim_branch: DataFrame, cf_monthly: D
     out = {}
     for name, build in marts.items():
         try:
-            out[name] = write_mart(build(), os.path.join(root, "marts", name))
+            out[name] = write_table(build().hint("rebalance", "year_month"), os.path.join(root, "marts", name), "overwrite", "year_month")
         except Exception as e:  # isolate, as a failed refresh must not block the rest
             out[name] = f"error: {str(e).splitlines()[0][:200]}"
     return out

@@ -7,9 +7,10 @@ with the data are left to adaptive execution.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import DataFrame, functions as F
 
 from ._joins import bounded_broadcast
+from ._order import ranked
 
 from .. import vocab
 from ..functions import trim_unicode, classify_by_rules, flag_equals, first_of_month, parse_year_month
@@ -108,9 +109,10 @@ def upsert_dimension(incoming: DataFrame, dim: DataFrame, key: str, id_col: str,
                      rules=None, default: str | None = None, id_mode: str = "sequential") -> DataFrame:
     """DIM-1/2 + SNK-3: the dimension with unseen names inserted.
 
-    ``id_mode='sequential'``: new ids = max(existing id) + rank of the new name
-    (a single ordered window over the *new* names only); ``'hash'``: ids from
-    ``xxhash64`` of the natural key, no coordination at all (for huge dims).
+    ``id_mode='sequential'``: new ids = max(existing id) + rank of the new name,
+    from range-partitioned counts (``ranked``), so that no task sees all new
+    names; ``'hash'``: ids from ``xxhash64`` of the natural key, no coordination
+    at all.
     ``rules``/``default`` classify new names (FN-13) into ``category``."""
     dk = dim_key or key
     new = new_members(incoming, dim, key, dk)
@@ -118,8 +120,8 @@ def upsert_dimension(incoming: DataFrame, dim: DataFrame, key: str, id_col: str,
         new = new.withColumn(id_col, F.xxhash64(key))
     else:
         top = dim.agg(F.max(id_col).alias("_max"))
-        new = new.withColumn("_rk", F.row_number().over(Window.orderBy(key)))
-        new = new.withColumn(id_col, F.col("_rk") + F.coalesce(top.scalar(), F.lit(0))).drop("_rk")
+        new = ranked(new, [F.asc(key)], "_rk")
+        new = new.withColumn(id_col, (F.col("_rk") + F.coalesce(top.scalar(), F.lit(0))).cast(dim.schema[id_col].dataType)).drop("_rk")
     if rules is not None:
         new = new.withColumn("category", classify_by_rules(key, rules, default))
     new = new.withColumnRenamed(key, dk) if dk != key else new
