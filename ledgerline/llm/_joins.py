@@ -1,11 +1,9 @@
-"""Joins and orders that hold when one key has a third of all rows."""
+"""Joins that hold when one key has a third of all rows."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-from ._shared import cut
-
 HEAVY_KEYS = 10_000   # at most so many keys are broadcast
 
 
@@ -23,23 +21,3 @@ def by_weight(big: DataFrame, small: DataFrame, on: str, weight: str) -> DataFra
     heavy = F.broadcast(small.filter(hot).drop(weight))
     rest = big.join(F.broadcast(small.filter(hot).select(on)), on, "left_anti").join(small.filter(~hot).drop(weight), on)
     return big.join(heavy, on).unionByName(rest)
-
-
-def ranked(df: DataFrame, order: list, name: str) -> DataFrame:
-    """``df`` with ``name``: its place, from 1, in the order of the columns ``order``.
-
-    Rows are range partitioned and sorted in their partitions; a place is the
-    rows of all partitions before plus the place in the own one. What is
-    broadcast has one row a partition. The order should be total, or places
-    among equal rows are any.
-    """
-    spread = df.sparkSession.conf.get("spark.sql.shuffle.partitions")
-    placed = cut(df.repartitionByRange(int(spread), *order).sortWithinPartitions(*order).withColumn("_at", F.monotonically_increasing_id()))
-    part, within = F.shiftright("_at", 33), F.col("_at").bitwiseAND(F.lit((1 << 33) - 1))
-    sizes, before, rows = placed.groupBy(part.alias("_part")).agg(F.count(F.lit(1)).alias("n")).collect(), 0, []
-    for part_id, n in sorted(map(tuple, sizes)):   # one row a partition
-        rows.append((part_id, before))
-        before += n
-    starts = df.sparkSession.createDataFrame(rows, "_part long, _before long")
-    placed = placed.withColumn("_part", part).withColumn("_within", within).join(F.broadcast(starts), "_part")
-    return placed.withColumn(name, F.col("_before") + F.col("_within") + 1).drop("_at", "_part", "_within", "_before")

@@ -15,7 +15,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from ._joins import by_weight, ranked
+from ..operators._order import ranked
+from ._joins import by_weight
 from ._shared import cut, keyed
 
 WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"   # after lower-casing A-Z

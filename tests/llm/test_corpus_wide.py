@@ -104,15 +104,6 @@ def test_by_weight_splits_hot_keys(spark, monkeypatch):
         assert Counter(map(tuple, got)) == want
 
 
-def test_ranked(spark):
-    rng = np.random.default_rng(2)
-    rows = [(int(x), i) for i, x in enumerate(rng.integers(0, 9, 500))]
-    got = _joins.ranked(spark.createDataFrame(rows, "v long, i long"), [F.desc("v"), F.asc("i")], "place")
-    want = {i: k for k, (_, i) in enumerate(sorted(rows, key=lambda r: (-r[0], r[1])), 1)}
-    assert {r["i"]: r["place"] for r in got.collect()} == want
-    assert _joins.ranked(spark.createDataFrame([], "v long, i long"), [F.asc("v")], "place").count() == 0
-
-
 def plain_resample(rows, aims, order, buckets, least, percent):
     def words(t):
         t = re.sub("[A-Z]", lambda m: m[0].lower(), t or "")
