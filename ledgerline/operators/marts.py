@@ -185,7 +185,33 @@ def service_economics(fact: DataFrame, cost_rows: DataFrame, dim_branch: DataFra
                  .select("service_name", "c.*"))
     else:
         costs = costs.drop("effective_date") if "effective_date" in costs.columns else costs
-    j = pre.join(costs, "service_name", "left")
+    return _service_margins(pre.join(costs, "service_name", "left"), dim_branch, dim_service, min_payments)
+
+
+def service_economics_asof(fact: DataFrame, cost_rows: DataFrame, dim_branch: DataFrame,
+                           dim_service: DataFrame | None = None, min_payments: int = 5) -> DataFrame:
+    """AGG-6 / JN-4 with the cost in force: every sale is set against the cost row
+    of its service with the latest ``effective_date`` up to the sale's date.
+
+    An as-of join: a service's cost history is one row (a sorted array with an
+    entry per price change), sales are summed per service, branch and day before
+    they meet it, and the entry in force is the last one that isn't later. A cost
+    without a date is in force from the beginning; a sale before the first cost
+    has none; of two costs of one day the higher one holds.
+    """
+    pre = (fact.where(F.col("service_name").isNotNull())
+           .groupBy("service_name", "branch_id", "transaction_date").agg(
+               _count_if(_pay()).alias("_n"), _sum_if(_pay()).alias("_rev")))
+    entry = F.struct("effective_date", "material_cost", "doctor_pay", "margin_pct")
+    history = cost_rows.groupBy("service_name").agg(F.sort_array(F.collect_set(entry)).alias("_costs"))
+    upto = F.filter("_costs", lambda c: c["effective_date"].isNull() | (c["effective_date"] <= F.col("transaction_date")))
+    j = (pre.join(history, "service_name", "left").withColumn("_c", F.try_element_at(upto, F.lit(-1)))
+         .select("service_name", "branch_id", "_n", "_rev", "_c.material_cost", "_c.doctor_pay", "_c.margin_pct"))
+    return _service_margins(j, dim_branch, dim_service, min_payments)
+
+
+def _service_margins(j: DataFrame, dim_branch: DataFrame, dim_service: DataFrame | None, min_payments: int) -> DataFrame:
+    """Sums per service, branch and cost triple over pre-aggregated rows (``_n``, ``_rev``), with names."""
     g = (j.groupBy("service_name", "branch_id", "material_cost", "doctor_pay", "margin_pct")
          .agg(F.sum("_n").alias("service_count"), F.sum("_rev").alias("total_revenue"))
          .where(F.col("service_count") >= F.lit(min_payments))
@@ -203,7 +229,6 @@ def service_economics(fact: DataFrame, cost_rows: DataFrame, dim_branch: DataFra
     return g.select(*cols)
 
 
-
 def mart_order(df: DataFrame, mart: str) -> DataFrame:
     """TOP-1: the source's read order of a mart. Its DESC puts NULLs first, so
     that is kept explicitly. Applied at read time; stored tables are unordered."""

@@ -152,13 +152,15 @@ def cumulative_balance(cf: DataFrame) -> DataFrame:
 
 
 def ticket_series(pnl: DataFrame, ma_months: int = 3) -> DataFrame:
-    """WIN-7: per-branch monthly ticket in time order, with previous value and a
-    trailing moving average (windows per branch on the monthly mart)."""
-    w = Window.partitionBy("branch_id").orderBy("year_month")
+    """WIN-7: per-branch monthly ticket in time order, with the value of the month
+    before and a trailing moving average. Frames are ranges of the month's number,
+    so a month that is missing has no value: it is neither skipped over nor counted."""
+    number = F.year("year_month") * 12 + F.month("year_month")
+    w = Window.partitionBy("branch_id").orderBy(number)
     return pnl.select(
         "branch_id", "branch_name", "year_month", "avg_ticket",
-        F.lag("avg_ticket").over(w).alias("prev_ticket"),
-        r6(F.avg("avg_ticket").over(w.rowsBetween(-(ma_months - 1), 0))).alias("ticket_ma"))
+        F.max("avg_ticket").over(w.rangeBetween(-1, -1)).alias("prev_ticket"),
+        r6(F.avg("avg_ticket").over(w.rangeBetween(-(ma_months - 1), 0))).alias("ticket_ma"))
 
 
 # ------------------------------------------------------------- cash flow ----

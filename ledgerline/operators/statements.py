@@ -89,7 +89,7 @@ STATEMENT_LINES = [("2110", "revenue_accrual"), ("2120", "materials"), ("2100",
 
 def statement_lines(pnl: DataFrame, dim_branch: DataFrame, lines=STATEMENT_LINES) -> DataFrame:
     """RPT-6: per legal entity x line x year, current amount and the previous
-    year's (``lag`` over the year within entity x line)."""
+    calendar year's (NULL where that year is missing)."""
     ent = dim_branch.select("branch_id", "legal_entity_id")
     p = pnl.join(ent, "branch_id", "left")
     g = p.groupBy("legal_entity_id", F.year("year_month").alias("year")).agg(
@@ -99,19 +99,57 @@ def statement_lines(pnl: DataFrame, dim_branch: DataFrame, lines=STATEMENT_LINES
     w = Window.partitionBy("legal_entity_id", "line_code").orderBy("year")
     return long.select("legal_entity_id", F.make_date("year", F.lit(12), F.lit(31)).alias("period_end"),
                        "line_code", "line_name", "amount_current",
-                       F.lag("amount_current").over(w).alias("amount_previous"))
-
-
-def patient_base(fact: DataFrame) -> DataFrame:
-    """Per (month, branch, patient): paid visits and revenue, with the
-    patient's first month and lifetime value. An aggregate (never larger than
-    the fact) shared by the patient reports."""
-    pat = fact.where(F.col("patient_hash").isNotNull())
-    first = pat.groupBy("patient_hash").agg(F.min("year_month").alias("first_month"),
-                                            F.sum(F.when(_pay(), _amt())).alias("ltv"))
-    return (pat.groupBy("year_month", "branch_id", "patient_hash")
-            .agg(F.count(F.when(_pay(), 1)).alias("visits"), F.sum(F.when(_pay(), _amt())).alias("revenue"))
-            .join(first, "patient_hash", "inner"))
+                       F.max("amount_current").over(w.rangeBetween(-1, -1)).alias("amount_previous"))
+
+
+def patient_base(fact: DataFrame, by_age_group: bool = False) -> DataFrame:
+    """Per (month, branch, patient), with ``by_age_group`` also child or adult: paid
+    visits and revenue, with the patient's first month and lifetime value. An
+    aggregate (never larger than the fact) shared by the patient reports. A patient's
+    months are put together (one entry per month and branch) and their lifetime is
+    summed from them, so the fact is scanned once and nothing is joined back."""
+    keys = ["year_month", "branch_id", *(["is_child"] if by_age_group else []), "patient_hash"]
+    each = (fact.where(F.col("patient_hash").isNotNull()).groupBy(*keys)
+            .agg(F.count(F.when(_pay(), 1)).alias("visits"), F.sum(F.when(_pay(), _amt())).alias("revenue")))
+    held = [c for c in each.columns if c != "patient_hash"]
+    lives = each.groupBy("patient_hash").agg(F.min("year_month").alias("first_month"), F.sum("revenue").alias("ltv"),
+                                             F.collect_list(F.struct(*held)).alias("_each"))
+    return lives.select("patient_hash", "first_month", "ltv", F.inline("_each")).select("patient_hash", *held, "first_month", "ltv")
+
+
+AGE_BUCKETS = [("0_17", None, 17), ("18_30", 18, 30), ("31_45", 31, 45), ("46_60", 46, 60), ("60_plus", 61, None)]
+
+
+def patient_report(base: DataFrame, ages: DataFrame, date_from, date_to, group_by=("month", "branch"), branch_id=None,
+                   age_group: str | None = None) -> DataFrame:
+    """RPT-7 for a period: the months from ``date_from`` to ``date_to``, optionally of one branch or one age group (``adult`` or
+    ``child``), grouped by any of ``month``, ``branch`` and ``age_group``, or by none (one row).
+
+    ``base`` is ``patient_base(fact, by_age_group=True)``, so no report scans the fact; ``ages`` has (patient_hash, age), one row
+    a patient. A patient counts once in a group, is *new* there if the group holds their first month anywhere, and their lifetime
+    value is that of all time. Patients without an age are in no age bucket and not in the mean.
+    """
+    names = {"month": "year_month", "branch": "branch_id", "age_group": "is_child"}
+    keys = [names[g] for g in group_by]
+    rows = base.where(F.col("year_month").between(F.trunc(F.lit(date_from).cast("date"), "month"), F.lit(date_to).cast("date")))
+    if branch_id is not None:
+        rows = rows.where(F.col("branch_id") == branch_id)
+    if age_group is not None:
+        rows = rows.where(F.col("is_child") == (age_group == "child"))
+    each = rows.groupBy(*keys, "patient_hash").agg(
+        F.sum("visits").alias("v"), F.sum("revenue").alias("r"), F.max("ltv").alias("l"), F.max((F.col("year_month") == F.col("first_month"))).alias("new"))
+    each = each.join(ages.select("patient_hash", "age"), "patient_hash", "left")
+    inside = lambda lo, hi: (F.col("age") >= lo if lo is not None else F.lit(True)) & (F.col("age") <= hi if hi is not None else F.lit(True))
+    g = each.groupBy(*keys).agg(
+        F.count(F.lit(1)).alias("total_patients"), F.count_if("new").alias("new_patients"), F.sum("v").alias("_v"), F.sum("r").alias("_r"),
+        F.sum("l").alias("_l"), F.count("l").alias("_nl"), F.avg("age").alias("avg_age"),
+        *[F.count_if(F.col("age").isNotNull() & inside(lo, hi)).alias(f"age_{name}") for name, lo, hi in AGE_BUCKETS])
+    back = F.col("total_patients") - F.col("new_patients")
+    group = [F.when(F.col(k), "child").when(~F.col(k), "adult").alias("age_group") if k == "is_child" else F.col(k) for k in keys]
+    return g.select(*group, "total_patients", "new_patients", back.alias("returning_patients"), r6(ratio(back, "total_patients")).alias("retention_rate"),
+                    r6(F.col("avg_age")).alias("avg_age"), *[f"age_{name}" for name, _, _ in AGE_BUCKETS],
+                    r6(ratio("_v", "total_patients")).alias("avg_visits_per_patient"), ratio("_r", "total_patients").alias("avg_revenue_per_patient"),
+                    ratio("_l", "_nl").alias("avg_ltv"))
 
 
 def patient_stats(fact: DataFrame | None = None, keys=("year_month", "branch_id"), age_col: str | None = None,

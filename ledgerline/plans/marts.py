@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window, functions as F
+
 from ..operators import marts as M
 from ..sources.driver import Warehouse, DRIVER_CF_PATTERNS
 from .registry import query, finish
@@ -56,3 +58,24 @@ SELECT service_name, branch_id, branch_name, service_count, CAST(total_revenue A
 FROM service_economics""")
 def service_economics(spark, sf_dir):
     return finish(_wh(spark, sf_dir).service_economics)
+
+
+# Costs that change over time: a name's types take effect one after the other, a good year apart.
+DATED_COSTS = """dated AS (SELECT *, CAST(DATE '1992-06-01' + CAST(400 * (row_number() OVER (PARTITION BY service_name ORDER BY service_code) - 1) AS INTEGER) AS DATE) AS effective_date FROM costs)"""
+
+
+@query("service_economics_asof", S.with_fact(S.COSTS, DATED_COSTS, S.DIM_BRANCH, S.DIM_SERVICE) + """
+SELECT x.service_name, x.branch_id, b.display_name AS branch_name, x.service_count, CAST(x.total_revenue AS DOUBLE) AS total_revenue,
+       CAST(x.total_revenue AS DOUBLE) / x.service_count AS avg_price, CAST(x.material_cost AS DOUBLE) AS material_cost,
+       CAST(x.doctor_pay AS DOUBLE) AS doctor_pay, x.margin_pct, s.category
+FROM (SELECT f.service_name, f.branch_id, c.material_cost, c.doctor_pay, c.margin_pct,
+    COUNT(*) FILTER (WHERE f.operation_type = 'payment') AS service_count, SUM(f.transaction_amount) FILTER (WHERE f.operation_type = 'payment') AS total_revenue
+  FROM fact f ASOF LEFT JOIN dated c ON f.service_name = c.service_name AND f.transaction_date >= c.effective_date
+  WHERE f.service_name IS NOT NULL GROUP BY ALL) x
+LEFT JOIN dim_branch b ON x.branch_id = b.branch_id LEFT JOIN dim_service s ON x.service_name = s.name
+WHERE x.service_count >= 5""")
+def service_economics_asof(spark, sf_dir):
+    w = _wh(spark, sf_dir)
+    turn = F.row_number().over(Window.partitionBy("service_name").orderBy("service_code")) - 1
+    dated = w.costs.withColumn("effective_date", F.date_add(F.lit("1992-06-01").cast("date"), turn * 400))
+    return finish(M.service_economics_asof(w.fact, dated, w.branches, w.services))

@@ -104,3 +104,35 @@ def dq_duplicates(spark, sf_dir):
     w = _wh(spark, sf_dir)
     return Q.dq_duplicates(w.costs, "service_name", "cost_rows").unionByName(
         Q.dq_duplicates(w.doctors, "full_name", "dim_doctor"))
+
+
+# A feed with faults from the line items: dates that don't exist, codes that aren't known, doctors that no dimension has, no amount.
+FAULTY_SQL = """feed AS (SELECT CASE WHEN l_linenumber = 7 THEN '31.02.1995' ELSE strftime(l_shipdate, '%d.%m.%Y') END AS date_text,
+  CASE WHEN l_returnflag = 'N' AND l_linenumber = 6 THEN 'void' WHEN l_returnflag = 'R' THEN 'refund' ELSE 'payment' END AS operation_type,
+  CASE WHEN l_linenumber = 5 THEN l_suppkey + 1000000 WHEN l_linenumber = 4 THEN NULL ELSE l_suppkey END AS doctor_id,
+  CASE WHEN l_quantity = 50 THEN NULL ELSE l_extendedprice END AS amount FROM lineitem),
+bad AS (SELECT TRY_STRPTIME(date_text, '%d.%m.%Y') IS NULL AS d, amount IS NULL AS a, operation_type NOT IN ('payment', 'refund') AS o,
+  doctor_id IS NOT NULL AND doctor_id NOT IN (SELECT s_suppkey FROM supplier) AS k FROM feed)"""
+
+
+@query("dq_one_pass", f"""WITH {FAULTY_SQL}
+SELECT 'date' AS rule, COUNT(*) FILTER (WHERE d) AS rows FROM bad UNION ALL SELECT 'amount', COUNT(*) FILTER (WHERE a) FROM bad
+UNION ALL SELECT 'operation', COUNT(*) FILTER (WHERE o) FROM bad UNION ALL SELECT 'doctor', COUNT(*) FILTER (WHERE k) FROM bad
+UNION ALL SELECT 'quarantined', COUNT(*) FILTER (WHERE d OR a OR o OR k) FROM bad UNION ALL SELECT 'good', COUNT(*) FILTER (WHERE NOT (d OR a OR o OR k)) FROM bad""")
+def dq_one_pass(spark, sf_dir):
+    """Bad dates, amounts, codes and orphans found, counted and put aside in one scan of the feed."""
+    from pyspark.sql import functions as F
+    from ..sources.driver import read
+    from ..streaming.incremental import scratch_dirs
+    line, flag = F.col("l_linenumber"), F.col("l_returnflag")
+    feed = read(spark, sf_dir, "lineitem").select(
+        F.when(line == 7, "31.02.1995").otherwise(F.date_format("l_shipdate", "dd.MM.yyyy")).alias("date_text"),
+        F.when((flag == "N") & (line == 6), "void").when(flag == "R", vocab.REFUND).otherwise(vocab.PAYMENT).alias("operation_type"),
+        F.when(line == 5, F.col("l_suppkey") + 1_000_000).when(line != 4, F.col("l_suppkey")).alias("doctor_id"),
+        F.when(F.col("l_quantity") != 50, F.col("l_extendedprice")).alias("amount"))
+    suppliers = read(spark, sf_dir, "supplier")
+    found = Q.quarantine(feed, scratch_dirs(spark, "quarantine")[0],
+                         {"date": F.try_to_timestamp("date_text", F.lit("dd.MM.yyyy")).isNull(), "amount": F.col("amount").isNull(),
+                          "operation": ~F.col("operation_type").isin(vocab.PAYMENT, vocab.REFUND)},
+                         {"doctor": ("doctor_id", suppliers, "s_suppkey")})
+    return spark.createDataFrame(list(found.items()), "rule string, rows long")

@@ -46,6 +46,19 @@ def branch_scoped_view(spark, sf_dir):
     return finish(FL.branch_scoped_view(_pnl(spark, sf_dir), SCOPED_BRANCH))
 
 
+@query("branch_view_sql", S.with_pnl() + f"SELECT {S.pnl_select()} FROM pnl WHERE branch_id = {SCOPED_BRANCH}")
+def branch_view_sql(spark, sf_dir):
+    """The scope in SQL: a stored mart, a view bound to the session's branch."""
+    from ..operators import scoped
+    from ..streaming.incremental import scratch_dirs
+    path = scratch_dirs(spark, "scoped")[0]
+    _pnl(spark, sf_dir).write.parquet(path)
+    spark.read.parquet(path).createOrReplaceTempView("scoped_mart")
+    scoped.register_scope(spark, "scoped_mart", "my_branch_pnl", "branch_pnl")
+    scoped.set_scope(spark, SCOPED_BRANCH)
+    return finish(spark.sql("SELECT * FROM my_branch_pnl"))
+
+
 _TOT = ", ".join(f"{psum(m)} AS {m}" for m in R.PNL_METRICS)
 
 
@@ -171,8 +184,8 @@ def cumulative_balance(spark, sf_dir):
 
 @query("ticket_series", S.with_pnl() + """
 SELECT branch_id, branch_name, year_month, avg_ticket,
-       LAG(avg_ticket) OVER (PARTITION BY branch_id ORDER BY year_month) AS prev_ticket,
-       ROUND(AVG(avg_ticket) OVER (PARTITION BY branch_id ORDER BY year_month ROWS BETWEEN 2 PRECEDING AND CURRENT ROW), 6) AS ticket_ma
+       MAX(avg_ticket) OVER (PARTITION BY branch_id ORDER BY 12 * year(year_month) + month(year_month) RANGE BETWEEN 1 PRECEDING AND 1 PRECEDING) AS prev_ticket,
+       ROUND(AVG(avg_ticket) OVER (PARTITION BY branch_id ORDER BY 12 * year(year_month) + month(year_month) RANGE BETWEEN 2 PRECEDING AND CURRENT ROW), 6) AS ticket_ma
 FROM pnl""")
 def ticket_series(spark, sf_dir):
     return finish(R.ticket_series(_pnl(spark, sf_dir)))

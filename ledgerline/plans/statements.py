@@ -111,7 +111,7 @@ def _stmt_lines_sql():
   FROM pnl p LEFT JOIN dim_branch b ON p.branch_id = b.branch_id GROUP BY 1, 2)""", f"l AS ({rows})") + """
 SELECT legal_entity_id, make_date(year, 12, 31) AS period_end, line_code, line_name,
        CAST(amount_current AS DOUBLE) AS amount_current,
-       CAST(LAG(amount_current) OVER (PARTITION BY legal_entity_id, line_code ORDER BY year) AS DOUBLE) AS amount_previous
+       CAST(MAX(amount_current) OVER (PARTITION BY legal_entity_id, line_code ORDER BY year RANGE BETWEEN 1 PRECEDING AND 1 PRECEDING) AS DOUBLE) AS amount_previous
 FROM l"""
 
 
@@ -231,3 +231,67 @@ SELECT CASE WHEN g_ym = 0 AND g_br = 0 THEN 'year_month,branch_id' WHEN g_ym = 0
 FROM g""")
 def patient_stats_sets(spark, sf_dir):
     return finish(T.patient_stats_sets(base=_wh(spark, sf_dir).patient_base))
+
+
+def _ages(spark, sf_dir):
+    """Ages the driver tables don't have: from the customer's account balance, some unknown."""
+    from ..functions import patient_hash
+    age = F.pmod(F.floor("c_acctbal"), F.lit(95)).cast("int")
+    return read(spark, sf_dir, "customer").select(patient_hash("c_name").alias("patient_hash"), F.when(age < 90, age).alias("age"))
+
+
+def _report_sql(lo, hi, keys, where="TRUE"):
+    """``keys``: (column, output) pairs of the fact."""
+    cols = ", ".join(f"{c}" for c, _ in keys)
+    group = f"{cols}, " if cols else ""
+    out = "".join(f"{e} AS {o}, " for e, o in keys)
+    out = out.replace("is_child AS age_group", "CASE WHEN is_child THEN 'child' WHEN NOT is_child THEN 'adult' END AS age_group")
+    buckets = ", ".join(f"CAST(COUNT(*) FILTER (WHERE age BETWEEN {lo_} AND {hi_}) AS BIGINT) AS age_{n}"
+                        for n, lo_, hi_ in (("0_17", 0, 17), ("18_30", 18, 30), ("31_45", 31, 45), ("46_60", 46, 60), ("60_plus", 61, 999)))
+    return S.with_fact(f"""ages AS (SELECT substr(sha256(c_name), 1, 16) AS patient_hash, CASE WHEN a < 90 THEN a END AS age
+  FROM (SELECT c_name, ((CAST(floor(c_acctbal) AS BIGINT) % 95) + 95) % 95 AS a FROM customer)),
+life AS (SELECT patient_hash, MIN(year_month) AS first_month, SUM(transaction_amount) {PAYF} AS ltv FROM fact WHERE patient_hash IS NOT NULL GROUP BY patient_hash),
+p AS (SELECT {group}f.patient_hash, COUNT(*) {PAYF} AS v, SUM(transaction_amount) {PAYF} AS r, any_value(ltv) AS l, bool_or(year_month = first_month) AS new, any_value(age) AS age
+  FROM fact f JOIN life USING (patient_hash) LEFT JOIN ages USING (patient_hash) WHERE year_month BETWEEN DATE '{lo}' AND DATE '{hi}' AND {where} GROUP BY {group}f.patient_hash)""") + f"""
+SELECT {out}COUNT(*) AS total_patients, COUNT(*) FILTER (WHERE new) AS new_patients, COUNT(*) FILTER (WHERE NOT new) AS returning_patients,
+       {r6(ratio('COUNT(*) FILTER (WHERE NOT new)', 'COUNT(*)'))} AS retention_rate, {r6('AVG(age)')} AS avg_age, {buckets},
+       {r6(ratio('SUM(v)', 'COUNT(*)'))} AS avg_visits_per_patient, {ratio('SUM(r)', 'COUNT(*)')} AS avg_revenue_per_patient, {ratio('SUM(l)', 'COUNT(l)')} AS avg_ltv
+FROM p""" + (f" GROUP BY {cols}" if cols else "")
+
+
+PERIOD_LO, PERIOD_HI = "1995-01-01", "1996-06-30"
+
+
+def _report(spark, sf_dir, **kw):
+    w = _wh(spark, sf_dir)
+    base = w._get("patient_base_by_age_group", lambda: T.patient_base(w.fact, by_age_group=True))
+    return finish(T.patient_report(base, _ages(spark, sf_dir), PERIOD_LO, PERIOD_HI, **kw))
+
+
+@query("patient_report_month_branch", _report_sql(PERIOD_LO, PERIOD_HI, [("year_month", "year_month"), ("branch_id", "branch_id")]))
+def patient_report_month_branch(spark, sf_dir):
+    return _report(spark, sf_dir)
+
+
+@query("patient_report_age_group", _report_sql(PERIOD_LO, PERIOD_HI, [("is_child", "age_group")], "branch_id = 7"))
+def patient_report_age_group(spark, sf_dir):
+    return _report(spark, sf_dir, group_by=["age_group"], branch_id=7)
+
+
+@query("patient_report_adults", _report_sql(PERIOD_LO, PERIOD_HI, [("branch_id", "branch_id")], "is_child = FALSE"))
+def patient_report_adults(spark, sf_dir):
+    return _report(spark, sf_dir, group_by=["branch"], age_group="adult")
+
+
+@query("distinct_patients_period", S.with_fact() + f"""
+SELECT 'period' AS scope, NULL::INTEGER AS branch_id, COUNT(DISTINCT patient_hash) AS distinct_patients FROM fact WHERE year_month BETWEEN DATE '{PERIOD_LO}' AND DATE '{PERIOD_HI}'
+UNION ALL SELECT 'branch', branch_id, COUNT(DISTINCT patient_hash) FROM fact WHERE year_month BETWEEN DATE '{PERIOD_LO}' AND DATE '{PERIOD_HI}' AND branch_id IS NOT NULL GROUP BY branch_id""")
+def distinct_patients_period(spark, sf_dir):
+    """True distinct patients of a period, in all and per branch, from bitmaps made per month and branch."""
+    from ..operators import patients as PA
+    w = _wh(spark, sf_dir)
+    bits = w._get("patient_bitmaps", lambda: PA.patient_bitmaps(w.fact, PA.patient_numbers(w.fact)))
+    bits = bits.where(F.col("year_month").between(F.lit(PERIOD_LO).cast("date"), F.lit(PERIOD_HI).cast("date")))
+    whole = PA.distinct_patients(bits).select(F.lit("period").alias("scope"), F.lit(None).cast("int").alias("branch_id"), "distinct_patients")
+    per = PA.distinct_patients(bits.where("branch_id IS NOT NULL"), ["branch_id"]).select(F.lit("branch").alias("scope"), "branch_id", "distinct_patients")
+    return whole.unionByName(per)
