@@ -56,16 +56,28 @@ def conform_fact(tx: DataFrame, aliases: DataFrame, dim_branch: DataFrame, payme
         "transaction_amount")
 
 
-def conform_api_fact(flat: DataFrame) -> DataFrame:
-    """DIM-6: flattened API transactions -> fact rows (age group -> is_child,
-    visit type -> is_primary_visit, first service, operation code kept)."""
-    return flat.select(
-        "transaction_date", first_of_month("transaction_date").alias("year_month"),
-        F.col("branch_id_api").alias("branch_id"), F.col("patient_id").alias("patient_hash"), "patient_age",
-        "is_child", F.col("payment_type_code").try_cast("int").alias("payment_type_id"), "operation_type",
-        F.col("invoice_total_amount").alias("invoice_amount"), "invoice_debt", "service_name", "visit_date",
-        F.col("doctor_id_api").alias("doctor_id"), "is_primary_visit",
-        F.col("amount").alias("transaction_amount"))
+def _keyed(dim: DataFrame, key: str, id_col: str, to: str) -> DataFrame:
+    """(_key, to) with one row a key, the smallest id."""
+    return dim.where(F.col(key).isNotNull()).groupBy(trim_unicode(key).alias("_key")).agg(F.min(id_col).alias(to))
+
+
+def conform_api_fact(flat: DataFrame, dim_branch: DataFrame, payment_types: DataFrame, dim_service: DataFrame, dim_doctor: DataFrame) -> DataFrame:
+    """DIM-6: flattened API transactions -> fact rows with the ids of our own dimensions.
+
+    The API's ids are its own, so each reference is looked up by what both sides
+    know: the branch by code, the payment type by code (``payment_types``: code,
+    payment_type_id), the first service and the doctor by name. What a dimension
+    doesn't know is NULL, as in ``conform_fact``, for DQ to count.
+    """
+    f = flat
+    for column, dim, key, id_col in (("branch_code", dim_branch, "code", "branch_id"), ("payment_type_code", payment_types, "code", "payment_type_id"),
+                                     ("service_name", dim_service, "name", "service_id"), ("doctor_name", dim_doctor, "full_name", "doctor_id")):
+        f = f.withColumn("_key", trim_unicode(column)).join(_keyed(dim, key, id_col, id_col), "_key", "left").drop("_key")
+    return f.select(
+        "transaction_date", first_of_month("transaction_date").alias("year_month"), "branch_id",
+        F.col("patient_id").alias("patient_hash"), "patient_age", "is_child", "payment_type_id", "operation_type",
+        F.col("invoice_total_amount").alias("invoice_amount"), "invoice_debt", "service_id", "service_name", "visit_date",
+        "doctor_id", "is_primary_visit", F.col("amount").alias("transaction_amount"))
 
 
 def conform_cf_entries(entries: DataFrame, aliases: DataFrame, dim_branch: DataFrame) -> DataFrame:
@@ -84,6 +96,21 @@ def cf_monthly_conform(svod: DataFrame, entity_map: DataFrame) -> DataFrame:
             .where(F.col("year_month").isNotNull()))
 
 
+def cf_clinics_conform(clinics: DataFrame, aliases: DataFrame, dim_branch: DataFrame) -> DataFrame:
+    """DIM-5: per-branch grid rows -> monthly cash-flow fact with branch ids.
+
+    The month is the ``YYYY_MM`` (or ``YYYY-MM``) in the file's name; the branch
+    is resolved by alias and brings its legal entity. Rows without a month or
+    with an unknown branch are dropped, as unmapped entities are.
+    """
+    month = F.regexp_extract("source_file", r"(\d{4}[_-](0?[1-9]|1[0-2]))(?!\d)", 1)
+    entity = bounded_broadcast(dim_branch.select("branch_id", "legal_entity_id"))
+    j = resolve_branch(clinics, "branch", aliases, dim_branch, "branch_id").join(entity, "branch_id", "inner")
+    return (j.select(parse_year_month(F.translate(month, "_", "-")).alias("year_month"), "legal_entity_id", "branch_id",
+                     "line_item", "amount", "source_file")
+            .where(F.col("year_month").isNotNull()))
+
+
 def expense_hierarchy(lines: DataFrame, expense_types: DataFrame, name_col: str = "line_item",
                       amount_col: str = "amount") -> DataFrame:
     """DIM-7: lines -> expense type -> category -> parent, totals rolled up

@@ -212,14 +212,14 @@ def _svod(spark, sf_dir):
 
 @query("grid_unpivot_svod", S.with_(SVOD_EXPECTED) + "SELECT year_month_str, legal_entity, line_item, amount, source_file FROM sv")
 def grid_unpivot_svod(spark, sf_dir):
-    return _svod(spark, sf_dir)
+    return finish(_svod(spark, sf_dir))
 
 
 @query("cf_monthly_conform", S.with_(SVOD_EXPECTED) + """SELECT make_date(y, m, 1) AS year_month,
   r_regionkey AS legal_entity_id, CAST(NULL AS INTEGER) AS branch_id, line_item, amount, source_file FROM sv""")
 def cf_monthly_conform(spark, sf_dir):
     ent = read(spark, sf_dir, "region").select(F.col("r_name").alias("short_name"), F.col("r_regionkey").alias("legal_entity_id"))
-    return C.cf_monthly_conform(_svod(spark, sf_dir), ent)
+    return finish(C.cf_monthly_conform(_svod(spark, sf_dir), ent))
 
 
 @query("grid_unpivot_clinics", S.with_(OFR) + """SELECT n_name AS branch, o_orderpriority AS line_item,
@@ -228,7 +228,22 @@ def cf_monthly_conform(spark, sf_dir):
 FROM ofr WHERE n_regionkey <> 4 GROUP BY 1, 2, 4""")
 def grid_unpivot_clinics(spark, sf_dir):
     allowed = read(spark, sf_dir, "nation").where(F.col("n_regionkey") != 4).select("n_name")
-    return G.grid_unpivot_clinics(spark.read.parquet(FD.landed(spark, sf_dir, "clinics_cells")), allowed)
+    return finish(G.grid_unpivot_clinics(spark.read.parquet(FD.landed(spark, sf_dir, "clinics_cells")), allowed))
+
+
+@query("fact_cf_monthly", S.with_(SVOD_EXPECTED) + """SELECT make_date(y, m, 1) AS year_month, r_regionkey AS legal_entity_id,
+  CAST(NULL AS INTEGER) AS branch_id, line_item, amount, source_file FROM sv
+UNION ALL SELECT CAST(date_trunc('month', o_orderdate) AS DATE), n_regionkey, c_nationkey, o_orderpriority,
+  CAST(SUM(CAST(o_totalprice AS DECIMAL(15,2))) AS DOUBLE), 'cf_clinics_' || strftime(o_orderdate, '%Y_%m') || '.xlsx'
+FROM ofr WHERE n_regionkey <> 4 GROUP BY ALL""")
+def fact_cf_monthly(spark, sf_dir):
+    """Both grids as one monthly cash-flow fact: consolidated rows by legal entity, clinic rows by branch."""
+    ent = read(spark, sf_dir, "region").select(F.col("r_name").alias("short_name"), F.col("r_regionkey").alias("legal_entity_id"))
+    allowed = read(spark, sf_dir, "nation").where(F.col("n_regionkey") != 4).select("n_name")
+    clinics = G.grid_unpivot_clinics(spark.read.parquet(FD.landed(spark, sf_dir, "clinics_cells")), allowed)
+    branches = dim_branch(spark, sf_dir)
+    aliases = branches.select(F.col("name").alias("alias"), "code")
+    return finish(C.cf_monthly_conform(_svod(spark, sf_dir), ent).unionByName(C.cf_clinics_conform(clinics, aliases, branches)))
 
 
 # ----------------------------------------------------------------- JSON ----
@@ -237,13 +252,14 @@ LINES = """lines AS (SELECT l_orderkey, list_sort(list(struct_pack(service_id :=
     price := CAST(l_extendedprice AS DECIMAL(10,2)), discount := CAST(l_discount AS DECIMAL(10,2)),
     total := CAST(CAST(l_extendedprice AS DECIMAL(15,2)) * (1 - CAST(l_discount AS DECIMAL(4,2))) AS DECIMAL(15,2))))) AS sv,
   COUNT(*) AS n, SUM(CAST(l_extendedprice AS DECIMAL(15,2))) AS subtotal,
-  SUM(CAST(CAST(l_extendedprice AS DECIMAL(15,2)) * CAST(l_discount AS DECIMAL(4,2)) AS DECIMAL(15,2))) AS discount_total
+  SUM(CAST(CAST(l_extendedprice AS DECIMAL(15,2)) * CAST(l_discount AS DECIMAL(4,2)) AS DECIMAL(15,2))) AS discount_total,
+  MIN(l_suppkey) AS supp
   FROM lineitem LEFT JOIN part ON l_partkey = p_partkey GROUP BY l_orderkey)"""
 
 AGE_GROUP = "CASE WHEN c_mktsegment = 'HOUSEHOLD' THEN 'child' ELSE 'adult' END"
 
 FLAT_TX = f"""ft AS (SELECT o_orderkey AS transaction_id_api, CAST(o_orderdate AS DATE) AS transaction_date,
-  o_orderdate AS transaction_datetime, c_nationkey AS branch_id_api, n_name AS branch_name, lower(n_name) AS branch_code,
+  o_orderdate AS transaction_datetime, c_nationkey AS branch_id_api, ofr.n_name AS branch_name, lower(ofr.n_name) AS branch_code,
   patient_hash AS patient_id, CAST(NULL AS INTEGER) AS patient_age, {AGE_GROUP} AS patient_age_group,
   {AGE_GROUP} = 'child' AS is_child, substr(o_orderpriority, 1, 1) AS payment_type_code,
   o_orderpriority AS payment_type_name, CASE WHEN o_orderstatus = 'P' THEN 'refund' ELSE 'payment' END AS operation_type,
@@ -253,11 +269,12 @@ FLAT_TX = f"""ft AS (SELECT o_orderkey AS transaction_id_api, CAST(o_orderdate A
   sv[1].service_id AS service_id_api, sv[1].code AS service_code, sv[1].name AS service_name,
   sv[1].category AS service_category, sv[1].quantity AS service_quantity, sv[1].price AS service_price,
   sv[1].discount AS service_discount, sv[1].total AS service_total, CAST(n AS INTEGER) AS services_count,
-  CAST(NULL AS INTEGER) AS doctor_id_api, CAST(NULL AS VARCHAR) AS doctor_name, CAST(NULL AS VARCHAR) AS doctor_specialization,
+  CAST(s.s_suppkey AS INTEGER) AS doctor_id_api, s.s_name AS doctor_name, dr.r_name AS doctor_specialization,
   CAST(o_orderdate AS DATE) AS visit_date, CASE WHEN o_orderpriority = '1-URGENT' THEN 'primary' ELSE 'repeat' END AS visit_type,
   CAST(NULL AS VARCHAR) AS visit_reason, o_orderpriority = '1-URGENT' AS is_primary_visit,
   CAST(o_totalprice AS DECIMAL(15,2)) AS amount, o_orderdate AS created_at, o_orderdate AS updated_at
-  FROM ofr JOIN lines ON o_orderkey = l_orderkey)"""
+  FROM ofr JOIN lines ON o_orderkey = l_orderkey LEFT JOIN supplier s ON supp = s.s_suppkey
+  LEFT JOIN nation dn ON s.s_nationkey = dn.n_nationkey LEFT JOIN region dr ON dn.n_regionkey = dr.r_regionkey)"""
 FLAT_TX_COLS = ["transaction_id_api", "transaction_date", "transaction_datetime", "branch_id_api", "branch_name",
                 "branch_code", "patient_id", "patient_age", "patient_age_group", "is_child", "payment_type_code",
                 "payment_type_name", "operation_type", "invoice_id", "invoice_total_amount", "invoice_debt",
@@ -278,12 +295,19 @@ def flatten_transactions(spark, sf_dir):
 
 
 @query("conform_api_fact", S.with_(OFR, LINES, FLAT_TX) + """SELECT transaction_date,
-  CAST(date_trunc('month', transaction_date) AS DATE) AS year_month, branch_id_api AS branch_id, patient_id AS patient_hash,
-  patient_age, is_child, TRY_CAST(payment_type_code AS INTEGER) AS payment_type_id, operation_type,
-  CAST(invoice_total_amount AS DOUBLE) AS invoice_amount, CAST(invoice_debt AS DOUBLE) AS invoice_debt, service_name,
-  visit_date, doctor_id_api AS doctor_id, is_primary_visit, CAST(amount AS DOUBLE) AS transaction_amount FROM ft""")
+  CAST(date_trunc('month', transaction_date) AS DATE) AS year_month, n_nationkey AS branch_id, patient_id AS patient_hash,
+  patient_age, is_child, p.id AS payment_type_id, operation_type,
+  CAST(invoice_total_amount AS DOUBLE) AS invoice_amount, CAST(invoice_debt AS DOUBLE) AS invoice_debt, sv.id AS service_id, service_name,
+  visit_date, s_id AS doctor_id, is_primary_visit, CAST(amount AS DOUBLE) AS transaction_amount
+FROM ft LEFT JOIN nation ON lower(n_name) = branch_code LEFT JOIN (VALUES ('1', 50), ('2', 40), ('3', 30), ('4', 20)) p(code, id) ON p.code = payment_type_code
+LEFT JOIN (SELECT p_name, CAST(MIN(p_partkey) AS INTEGER) AS id FROM part GROUP BY p_name) sv ON p_name = service_name
+LEFT JOIN (SELECT s_name, CAST(MIN(s_suppkey) AS INTEGER) AS s_id FROM supplier GROUP BY s_name) ON s_name = doctor_name""")
 def conform_api_fact(spark, sf_dir):
-    return finish(C.conform_api_fact(_flat_tx(spark, sf_dir)))
+    """Ids come from the dimensions; the payment types know four of the feed's five codes."""
+    from ..sources.seeds import local_table
+    codes = local_table(spark, [("1", 50), ("2", 40), ("3", 30), ("4", 20)], "code string, payment_type_id int")
+    w = Warehouse.of(spark, sf_dir)
+    return finish(C.conform_api_fact(_flat_tx(spark, sf_dir), w.branches, codes, w.services, w.doctors))
 
 
 @query("flatten_doctors", S.with_("""ty AS (SELECT l_suppkey, array_to_string(list_sort(list(DISTINCT p_type)), ', ') AS specs

@@ -216,6 +216,7 @@ def _services_by_order(spark, sf_dir):
             F.col("l_discount").cast("decimal(10,2)").alias("discount"),
             (ext.cast(MONEY) * (F.lit(1) - F.col("l_discount").cast("decimal(4,2)"))).cast(MONEY).alias("total"),
         ))).alias("services"),
+        F.min("l_suppkey").alias("supp"),
         F.sum(ext.cast(MONEY)).alias("subtotal"),
         F.sum((ext.cast(MONEY) * F.col("l_discount").cast("decimal(4,2)")).cast(MONEY)).alias("discount_total"),
         F.array_sort(F.collect_list(F.struct(
@@ -247,7 +248,7 @@ def transaction_record(x: DataFrame, with_services: bool = True):
                  F.lit(None).cast(MONEY).alias("discount_amount"), F.lit(None).cast("decimal(5,2)").alias("discount_percent")
                  ).alias("invoice"),
         (F.col("services") if with_services else F.lit(None).cast(SC.TRANSACTION["services"].dataType)).alias("services"),
-        F.lit(None).cast(SC.TRANSACTION["doctor"].dataType).alias("doctor"),
+        (F.col("doctor") if with_services else F.lit(None).cast(SC.TRANSACTION["doctor"].dataType)).alias("doctor"),
         F.struct(F.to_date("o_orderdate").alias("date"),
                  F.when(pr == "1-URGENT", "primary").otherwise("repeat").alias("type"),
                  F.lit(None).cast("string").alias("reason")).alias("visit"),
@@ -260,10 +261,15 @@ def _orders_with_patient(spark, sf_dir):
 
 
 def transaction_json(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """SRC-8 input: one JSON transaction per order with its services array."""
+    """SRC-8 input: one JSON transaction per order with its services array; the doctor is the first supplier."""
     x = _orders_with_patient(spark, sf_dir)
-    sv = _services_by_order(spark, sf_dir).select("l_orderkey", "services")
-    x = x.join(sv, x.o_orderkey == sv.l_orderkey, "inner")
+    sv = _services_by_order(spark, sf_dir).select("l_orderkey", "services", "supp")
+    s = read(spark, sf_dir, "supplier").select("s_suppkey", F.col("s_name").alias("doctor_name"), F.col("s_nationkey").alias("home"))
+    n = bounded_broadcast(read(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("home"), F.col("n_regionkey").alias("region")))
+    r = bounded_broadcast(read(spark, sf_dir, "region").select(F.col("r_regionkey").alias("region"), F.col("r_name").alias("spec")))
+    doctors = s.join(n, "home", "left").join(r, "region", "left").select("s_suppkey", F.struct(
+        F.col("s_suppkey").cast("int").alias("id"), F.col("doctor_name").alias("name"), F.col("spec").alias("specialization")).alias("doctor"))
+    x = x.join(sv, x.o_orderkey == sv.l_orderkey, "inner").join(doctors, F.col("supp") == F.col("s_suppkey"), "left")
     return x.select(F.to_json(transaction_record(x)).alias("json"))
 
 

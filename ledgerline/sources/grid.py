@@ -14,8 +14,9 @@ SHEET = ["source_file", "sheet"]
 
 
 def _numeric_nonzero(v):
-    x = F.trim(v).try_cast("double")
-    return x, x.isNotNull() & (x != F.lit(0.0))
+    """Money of a cell, exact, and whether the cell is a number that isn't zero."""
+    x = F.trim(v).try_cast("decimal(15,2)")
+    return x, x.isNotNull() & (x != F.lit(0))
 
 
 def grid_unpivot_svod(cells: DataFrame, label: str = "Статья", ym_row: int = 0, entity_row: int = 1,

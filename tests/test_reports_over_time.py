@@ -114,3 +114,37 @@ def test_branch_scope_in_sql(spark):
     assert spark.sql("SELECT * FROM my_branch").count() == 0
     with pytest.raises(ValueError):
         scoped.register_scope(spark, "scope_mart; DROP TABLE x", "v")
+
+
+def test_documented_api_record_gets_our_ids(spark):
+    """Text codes and the API's own ids: every reference is found in our dimensions, or NULL."""
+    from ledgerline import schemas as SC
+    from ledgerline.operators import conform as C
+    from ledgerline.sources import api as A
+    record = """{"transaction_id": 1, "transaction_date": "2025-01-15", "branch": {"id": 77, "name": "North", "code": "north"},
+      "patient": {"id": "p1", "age": 34, "age_group": "adult"}, "payment_type": {"code": "card", "name": "Card"}, "operation_type": "payment",
+      "invoice": {"id": "I", "total_amount": 12500.00, "debt": 0}, "services": [{"service_id": 901, "code": "T1", "name": "Filling", "total": 5000.00}],
+      "doctor": {"id": 501, "name": " Dr One ", "specialization": "x"}, "visit": {"date": "2025-01-15", "type": "primary"}, "amount": 12500.00}"""
+    other = record.replace('"north"', '"south"').replace('"card"', '"barter"').replace("Filling", "Unknown").replace(" Dr One ", "Nobody")
+    rec = A.parse_records(spark.createDataFrame([(record,), (other,)], "json string"), "json", SC.TRANSACTION)
+    dims = [spark.createDataFrame(rows, ddl) for rows, ddl in (
+        ([(3, "north"), (4, "west")], "branch_id int, code string"), ([("card", 9)], "code string, payment_type_id int"),
+        ([(12, "Filling"), (11, "Filling")], "service_id int, name string"), ([(6, "Dr One")], "doctor_id int, full_name string"))]
+    got = C.conform_api_fact(A.flatten_transactions(rec), *dims).collect()
+    ids = {tuple(r[c] for c in ("branch_id", "payment_type_id", "service_id", "doctor_id")) for r in got}
+    assert ids == {(3, 9, 11, 6), (None, None, None, None)} and len(got) == 2
+    assert got[0]["year_month"] == month(1) and got[0]["is_primary_visit"] and got[0]["transaction_amount"] == Decimal("12500.00")
+
+
+def test_clinics_grid_to_branches(spark):
+    from ledgerline.operators import conform as C
+    from ledgerline.sources import grid as G
+    cells = [("2025_01_CF (2).xlsx", "s", 1, 2, " NORTH "), ("2025_01_CF (2).xlsx", "s", 1, 3, "OTHER"), ("2025_01_CF (2).xlsx", "s", 3, 1, "Rent"),
+             ("2025_01_CF (2).xlsx", "s", 3, 2, "0.1"), ("2025_01_CF (2).xlsx", "s", 3, 3, "7"), ("2025_01_CF (2).xlsx", "s", 4, 1, "Lab"), ("2025_01_CF (2).xlsx", "s", 4, 2, "12345678901.23"),
+             ("2025_01_CF (2).xlsx", "s", 5, 1, "Zero"), ("2025_01_CF (2).xlsx", "s", 5, 2, "0"), ("nothing.xlsx", "s", 1, 2, "NORTH"), ("nothing.xlsx", "s", 3, 1, "Rent"), ("nothing.xlsx", "s", 3, 2, "5")]
+    grid = G.grid_unpivot_clinics(spark.createDataFrame(cells, "source_file string, sheet string, row_idx int, col_idx int, value string"), ["NORTH", "OTHER"])
+    assert grid.schema["amount"].dataType.simpleString() == "decimal(15,2)"
+    branches = spark.createDataFrame([(3, "north", 1)], "branch_id int, code string, legal_entity_id int")
+    aliases = spark.createDataFrame([("NORTH", "north")], "alias string, code string")
+    got = {tuple(r[c] for c in ("year_month", "legal_entity_id", "branch_id", "line_item", "amount")) for r in C.cf_clinics_conform(grid, aliases, branches).collect()}
+    assert got == {(month(1), 1, 3, "Rent", Decimal("0.10")), (month(1), 1, 3, "Lab", Decimal("12345678901.23"))}
