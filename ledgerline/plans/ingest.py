@@ -478,3 +478,30 @@ def param_filter(spark, sf_dir):
     r = FL.param_filter(f, "transaction_date", PF["date_from"], PF["date_to"], contains={"service_name": PF["needle"]},
                         branch_id=PF["branch_id"], operation_type=PF["operation_type"])
     return finish(r)
+
+
+ETL_CTES = (SRC, TX_EXPECTED, """fact AS (SELECT CAST(date_trunc('month', transaction_date) AS DATE) AS year_month,
+  CASE WHEN clinic = 'Unknown clinic' THEN NULL ELSE c_nationkey END AS branch_id, patient_hash,
+  CASE WHEN operation_type = '""" + vocab.SOURCE_PAYMENT_LABEL + """' THEN 'payment' ELSE 'refund' END AS operation_type,
+  visit_status = '""" + vocab.SOURCE_PRIMARY_LABEL + """' AS is_primary_visit, transaction_amount FROM tx)""",
+            """cf AS (SELECT CAST(date_trunc('month', o_orderdate) AS DATE) AS year_month, c_nationkey AS branch_id, o_orderpriority AS line_item,
+  SUM(CAST(o_totalprice AS DECIMAL(15,2))) AS amount FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey
+  WHERE n_regionkey <> 4 GROUP BY ALL)""", S.DIM_BRANCH, S.REVENUE_ACCRUAL, S._cf_summary_sql(), S.PNL_BODY)
+
+
+@query("pipeline_monthly_pnl", S.with_(*ETL_CTES) + f"SELECT {S.pnl_select()} FROM pnl")
+def pipeline_monthly_pnl(spark, sf_dir):
+    """The P&L from landed files alone: transactions, clinic grids, journal, costs and leads loaded, all marts made."""
+    from .. import etl
+    from ..sources.driver import DRIVER_CF_PATTERNS, DRIVER_SERVICE_DEFAULT, DRIVER_SERVICE_RULES
+    from ..streaming.incremental import scratch_dirs
+    root = scratch_dirs(spark, "etl")[0]
+    paths = {"transactions": "transactions", "clinics_cells": "clinics_cells", "journal": "cf_journal", "costs": "cost_sheet", "leads": "leads_sheet"}
+    allowed = read(spark, sf_dir, "nation").where(F.col("n_regionkey") != 4).select("n_name")
+    branches = dim_branch(spark, sf_dir)
+    aliases = FD.branch_aliases(spark, sf_dir).unionByName(branches.select(F.col("name").alias("alias"), "code"))
+    ran = etl.run_all(spark, root, {k: FD.landed(spark, sf_dir, v) for k, v in paths.items()}, aliases, branches, _payment_types(spark),
+                      clinics=allowed, patterns=DRIVER_CF_PATTERNS, service_rules=DRIVER_SERVICE_RULES, service_default=DRIVER_SERVICE_DEFAULT)
+    if failed := ran.where("error IS NOT NULL").collect():
+        raise RuntimeError(f"steps failed: {failed}")
+    return finish(spark.read.parquet(f"{root}/marts/monthly_pnl"))

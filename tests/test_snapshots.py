@@ -174,3 +174,18 @@ def test_ids_in_order_without_one_task(spark):
     assert out.schema["doctor_id"].dataType.simpleString() == "int"
     got = _order.ranked(spark.createDataFrame([(i * 7 % 50, i) for i in range(50)], "a int, i int"), [F.desc("a")], "place").collect()
     assert all(r["place"] == 50 - r["a"] for r in got)
+
+
+def test_run_all_skips_and_isolates(spark, sf_dir, root):
+    """Sources that are named but absent are skipped, a broken one is reported, and the marts are made all the same."""
+    from ledgerline import etl, vocab
+    from ledgerline.sources import feeds as FD
+    from ledgerline.sources.driver import dim_branch
+    from ledgerline.sources.seeds import payment_types
+    land(spark, spark.createDataFrame([("x", 0, 1, 1, "y")], "source_file string, sheet string, row_idx int, col_idx int, nothing string"), f"{root}/bad_cells")
+    sources = {"transactions": FD.landed(spark, sf_dir, "transactions"), "clinics_cells": f"{root}/bad_cells", "journal": f"{root}/absent", "costs": FD.landed(spark, sf_dir, "cost_sheet")}
+    ran = {r["step"]: r for r in etl.run_all(spark, f"{root}/w", sources, FD.branch_aliases(spark, sf_dir), dim_branch(spark, sf_dir), payment_types(spark), clinics=["y"]).collect()}
+    assert ran["transactions"]["rows"] > 0 and ran["costs"]["rows"] > 0 and "leads" not in ran
+    assert ran["journal"]["error"] == "skipped: input missing" and ran["cash_flow"]["error"] and ran["cash_flow"]["rows"] is None
+    assert all(ran[f"mart {m}"]["error"] is None for m in ("monthly_pnl", "doctor_kpi", "branch_comparison", "service_economics", "alerts"))
+    assert ran["mart monthly_pnl"]["rows"] > 0 and spark.read.parquet(f"{root}/w/marts/service_economics").count() == ran["mart service_economics"]["rows"]
