@@ -108,7 +108,7 @@ def keys(x, light: int, percent: int):
             out.append(S.mixed((whole - less) ^ S.mixed(np.full(1, n - r, dtype=np.uint64))))
     if 100 * n >= percent * light:
         k = sum(1 for s in starts if s <= n) - 1
-        starts = classes_of(percent, starts[k] * 2)
+        starts = classes_of(percent, starts[k] * 10_000 // percent**2 + 2)   # two more at least
         for c in (k, k + 1):
             top = starts[c + 1] - 1
             p = parts_of(top, percent)

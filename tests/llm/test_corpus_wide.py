@@ -222,3 +222,70 @@ def test_prefix_trie_turnless_and_nothing(spark):
     got = [tuple(r) for r in trie.prefix_trie(turns).collect()]
     assert got == [(c, 0, None, 1, 0, 1, 0, hashlib.sha256(str(c).encode()).hexdigest())]
     assert trie.prefix_trie(turns.limit(0)).count() == 0
+
+
+@pytest.mark.parametrize("seed", range(4))
+def test_mixing_spends_its_budget(spark, seed):
+    """A document longer than the room doesn't end the pass, and only a little room stays."""
+    from ledgerline.llm import mixing
+    rng = np.random.default_rng(1)
+    rows = [(i, "a", int(n)) for i, n in enumerate(rng.integers(1, 60, 300))] + [(900, "a", 5000)] + [(1000 + i, "b", 10) for i in range(99)]
+    docs = spark.createDataFrame(rows, "doc_id long, source string, n long").withColumn("text", F.lit("t"))
+    total = sum(r[2] for r in rows)
+    mixed = mixing.mix(docs, target_entropy=0.99, budget_tokens=4000, tokens=F.col("n"), seed=seed)
+    spent = {r["source"]: r["s"] for r in mixed.groupBy("source").agg(F.sum("mix_tokens").alias("s")).collect()}
+    assert total > 10_000 and 4000 - 10 <= sum(spent.values()) <= 4000 and spent["a"] > 1500
+
+
+def test_mixing_with_clashing_names(spark):
+    from ledgerline.llm import mixing
+    docs = spark.createDataFrame([(i, f"s{i % 2}", "word " * (i + 1)) for i in range(20)], "doc_id long, source string, text string")
+    more = docs.select("*", *[F.lit("z").alias(c) for c in ("room", "tokens", "taken", "fits", "spent", "now", "mix_source", "mix_blocks", "t_source", "t_block", "size", "budget", "c0", "c1", "mix_spent")])
+    plain, clashing = (mixing.mix(d, max_repeats=1.5) for d in (docs, more))
+    assert clashing.columns == more.columns + ["mix_tokens", "mix_block", "mix_pass", "mix_rank"]
+    cols = ["doc_id", "mix_tokens", "mix_block", "mix_pass", "mix_rank"]
+    assert Counter(map(tuple, plain.select(cols).collect())) == Counter(map(tuple, clashing.select(cols).collect()))
+    assert {r["room"] for r in clashing.collect()} == {"z"}
+    with pytest.raises(ValueError):
+        mixing.mix(docs.withColumn("mix_tokens", F.lit(1)), max_repeats=1.5)
+
+
+def test_copies_are_told_by_id_and_text(spark):
+    from ledgerline.llm import exact
+    rows = [(None, "a b"), (None, "a  b"), (3, "A a"), (5, "A a"), (5, "B b"), (6, "B  b"), (7, None), (None, "")]
+    got = exact.drop_exact(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert Counter((r["doc_id"], " ".join((r["text"] or "").split())) for r in got) == Counter([(None, "a b"), (3, "A a"), (5, "B b"), (7, "")])
+
+
+def test_language_of_nothing_and_of_numerals(spark):
+    from ledgerline.llm import langid
+    docs = spark.createDataFrame([(i, "some text here", None, "z") for i in range(30)], "doc_id long, text string, lang string, names string")
+    assert langid.accepted(docs, langid.learn(docs)).count() == 30
+    assert not any(langid.has_letter(t) for t in ("", "²", "½ 3", "① _ 9", "١٢")) and all(langid.has_letter(t) for t in ("a", "½é", "漢", "ª"))
+
+
+def test_empty_parts_have_no_key_where_others_do():
+    from ledgerline.llm import jaccard
+    rng = np.random.default_rng(4)
+    for percent in (50, 80, 90):
+        keys = [np.unique(jaccard.keys(np.unique(rng.integers(0, 2**63, n).astype(np.uint64)), jaccard.classes_of(percent, 500)[0], percent)) for n in [60] * 40 + [240] * 40]
+        seen = Counter(np.concatenate(keys).tolist())
+        if percent >= 80:
+            assert sum(v for v in seen.values() if v > 1) <= 8    # unrelated sets hardly meet
+        assert all(jaccard.parts_of(top, percent) > jaccard.differs(2 * top, percent) for top in range(1, 400))
+
+
+@pytest.mark.parametrize("percent", [50, 80, 90])
+def test_linked_sets_share_a_key(percent):
+    from ledgerline.llm import jaccard
+    rng = np.random.default_rng(percent)
+    light = jaccard.classes_of(percent, 500)[0]
+    for _ in range(600):
+        n = int(rng.integers(light, 160))
+        a = np.unique(rng.integers(0, 2**63, n).astype(np.uint64))
+        most = jaccard.differs(2 * len(a), percent)
+        out, new = int(rng.integers(0, most + 1)), int(rng.integers(0, most + 1))
+        b = np.unique(np.concatenate([rng.permutation(a)[:max(len(a) - out, 1)], rng.integers(0, 2**63, new).astype(np.uint64)]))
+        both = len(np.intersect1d(a, b))
+        if both * 100 >= percent * (len(a) + len(b) - both) and min(len(a), len(b)) >= light:
+            assert len(np.intersect1d(jaccard.keys(a, light, percent), jaccard.keys(b, light, percent)))
