@@ -16,6 +16,7 @@ from collections.abc import Iterator
 
 from pyspark.sql import DataFrame, functions as F
 
+from ..operators._order import ranked
 from . import _shingles as S
 from ._bwt import equal_prefixes
 from ._shared import Scratch, cut, release
@@ -59,35 +60,31 @@ def anchors(data, length: int, gram: int):
 
 
 def _named(data, first, count, length: int):
-    """48-bit hashes of the contexts: the bytes that the strings starting at first .. first + count - 1 cover."""
+    """64-bit hashes of the contexts: the bytes that the strings starting at first .. first + count - 1 cover."""
     import numpy as np
     up, down = S._powers(len(data) + 1)
     sums = np.concatenate([[np.uint64(0)], np.cumsum((data.astype(np.uint64) + np.uint64(1)) * up[:len(data)], dtype=np.uint64)])
     ends = first + count - 1 + length
-    return S.mixed((sums[ends] - sums[first]) * down[first] + count.astype(np.uint64)) >> np.uint64(16)
+    return S.mixed((sums[ends] - sums[first]) * down[first] + count.astype(np.uint64))
 
 
 _FIELDS = {"hash": "<u8", "name": "<u8", "doc": "<i8", "at": "<u4", "n": "u1"}
 
 
 def _packed(kind: int, shard: int, columns: dict):
-    """One row for many entries: their fields as bytes. A name takes six."""
+    """One row for many entries: their fields as bytes."""
     import numpy as np
     import pyarrow as pa
     values = [np.ascontiguousarray(columns[f]).astype(t) for f, t in _FIELDS.items()]
-    values[1] = values[1].view(np.uint8).reshape(-1, 8)[:, :6]
     return pa.RecordBatch.from_arrays([pa.array([shard]), pa.array([kind], pa.int32())] + [pa.array([v.tobytes()], pa.binary()) for v in values],
                                       names=["shard", "kind", *_FIELDS])
 
 
 def _unpacked(table) -> dict:
     import numpy as np
-    out = {f: b"".join(table.column(f).to_pylist()) for f in _FIELDS}
     sizes = [len(x) // 8 for x in table.column("hash").to_pylist()]
-    name = np.zeros((sum(sizes), 8), dtype=np.uint8)
-    name[:, :6] = np.frombuffer(out.pop("name"), dtype=np.uint8).reshape(-1, 6)
-    found = {f: np.frombuffer(x, dtype=_FIELDS[f]) for f, x in out.items()}
-    return found | {"name": name.view("<u8")[:, 0], "kind": np.repeat(np.array(table.column("kind").to_pylist(), dtype=np.int8), sizes)}
+    found = {f: np.frombuffer(b"".join(table.column(f).to_pylist()), dtype=t) for f, t in _FIELDS.items()}
+    return found | {"kind": np.repeat(np.array(table.column("kind").to_pylist(), dtype=np.int8), sizes)}
 
 
 def _firsts(e: dict):
@@ -190,7 +187,7 @@ def _places(docs: DataFrame, length: int, gram: int) -> DataFrame:
             left = np.repeat(several & two, np.diff(np.append(starts, len(h)))) & ~again
         else:
             left = again
-        columns = [(doc, e["doc"][left]), (ra, a[left]), (rz, z[left]), (doc * 0, e["hash"][left].view(np.int64)), (doc * 0, e["name"][left].astype(np.int64))]
+        columns = [(doc, e["doc"][left]), (ra, a[left]), (rz, z[left]), (doc * 0, e["hash"][left].view(np.int64)), (doc * 0, e["name"][left].view(np.int64))]
         kinds = np.repeat(np.array([REPEAT, OPEN], dtype=np.int32), [len(doc), int(left.sum())])
         return pa.table([pa.array(kinds)] + [pa.array(np.concatenate(x), pa.int64()) for x in columns], names=["kind", "doc", "a", "z", "hash", "name"])
 
@@ -283,6 +280,20 @@ def repeated_spans(docs: DataFrame, length: int, gram: int, hot_contexts: int) -
     return spans
 
 
+def _ordered(rows: DataFrame) -> DataFrame:
+    """``rows`` with ``doc``: a number of its own for each row, in the order of the ids.
+
+    The id itself, unless ids are null or repeated: then rows get their places
+    by (id, row number), from a checkpoint so that they stay what they are.
+    """
+    shared = rows.groupBy("doc_id").agg(F.count(F.lit(1)).alias("rows")).filter("rows > 1 OR doc_id IS NULL")
+    if shared.isEmpty():
+        return rows.withColumn("doc", F.col("doc_id"))
+    rows = cut(rows.withColumn("row", F.monotonically_increasing_id()))
+    places = ranked(rows.select("doc_id", "row"), [F.asc_nulls_last("doc_id"), F.asc("row")], "doc").select("row", "doc")
+    return rows.join(places, "row").drop("row")
+
+
 def without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, gram: int = GRAM,
                     hot_contexts: int = HOT_CONTEXTS, keep_bytes: bool = True) -> DataFrame:
     """One row per document: doc_id, n_bytes, n_removed, n_spans, spans, kept_sha256 (and kept, the bytes left).
@@ -294,12 +305,17 @@ def without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     frequent passage is reduced before each shuffle, and an anchor with very
     many contexts is split by its strings.
 
-    A null text is empty. A null id ranks behind all others. Rows that repeat an
-    id are taken for one document: they don't take from each other, and share
-    their spans. An empty table gives no rows; other columns are not read.
+    A null text is empty. Rows without an id rank behind all others; of these,
+    and of rows that repeat an id, the ones read first count as smaller. Each
+    row has its own spans. An empty table gives no rows; other columns are not
+    read. ``length`` is 254 more than ``gram`` at most. Contexts under one anchor
+    are told apart by 64 bits: N different ones are mixed up with a chance of
+    N * N / 2**65.
     """
+    if length - gram + 1 > 255:
+        raise ValueError(f"length is at most {254 + gram} with grams of {gram} bytes")
     rows = docs.select(docs[id_col].cast("bigint").alias("doc_id"), F.coalesce(docs[text_col].cast("binary"), F.lit("").cast("binary")).alias("text"))
-    rows = rows.withColumn("doc", F.coalesce("doc_id", F.lit(LAST)))
+    rows = _ordered(rows)
     spans = repeated_spans(rows, length, gram, hot_contexts)
     joined = rows.join(spans, "doc", "left").select("doc_id", "text", "spans")
 

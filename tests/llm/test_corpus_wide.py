@@ -289,3 +289,17 @@ def test_linked_sets_share_a_key(percent):
         both = len(np.intersect1d(a, b))
         if both * 100 >= percent * (len(a) + len(b) - both) and min(len(a), len(b)) >= light:
             assert len(np.intersect1d(jaccard.keys(a, light, percent), jaccard.keys(b, light, percent)))
+
+
+def test_repeats_of_rows_without_or_with_shared_ids(spark):
+    """Each row loses its own repeats only: not what another row of the same or no id has twice."""
+    from ledgerline.llm import repeats
+    rng = np.random.default_rng(6)
+    word = lambda n: "".join(rng.choice(list("abcdefghij"), n))
+    shared, alone = word(72), word(87)
+    rows = [(1, "x" + shared), (None, "yy" + shared + "z"), (None, alone), (4, alone[:40] + word(60)), (4, word(90)), (4, "q" + shared), (None, word(70) + shared), (9, None)]
+    got = repeats.without_repeats(spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)).collect()
+    gone = Counter((r["doc_id"], r["n_bytes"], r["n_removed"]) for r in got)
+    assert gone == Counter([(1, 73, 0), (None, 75, 72), (None, 87, 0), (4, 100, 0), (4, 90, 0), (4, 73, 72), (None, 142, 72), (9, 0, 0)])
+    with pytest.raises(ValueError):
+        repeats.without_repeats(spark.createDataFrame(rows, "doc_id long, text string"), length=300, gram=16)
