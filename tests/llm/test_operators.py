@@ -348,7 +348,7 @@ def test_licences_on_lines_of_their_own(spark):
 @pytest.mark.parametrize("name", sorted(queries.oracle_sql()))
 def test_sql(spark, name):
     con = duckdb.connect()
-    for t in ("documents", "embeddings"):
+    for t in ("documents", "embeddings", "benchmark", "conversations"):
         con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{SMOKE}/{t}.parquet'")
     want = con.execute(queries.oracle_sql()[name])
     columns = [c[0] for c in want.description]
