@@ -115,7 +115,7 @@ changed AS (SELECT * REPLACE (CASE WHEN branch_id = 3 AND year_month = m + INTER
   FROM fact, m WHERE year_month > m)"""
 
 
-@query("mart_refresh", S.with_fact(CHANGED_SQL, S.REVENUE_ACCRUAL.replace("FROM fact ", "FROM changed ")) + """
+@query("mart_refresh", S.with_fact(CHANGED_SQL, S.revenue_accrual_sql("changed")) + """
 SELECT year_month, branch_id, CAST(gross_revenue AS DOUBLE) AS gross_revenue, CAST(refunds AS DOUBLE) AS refunds,
        CAST(net_revenue AS DOUBLE) AS net_revenue, unique_patients, payment_count, primary_visits, avg_ticket
 FROM revenue_accrual""")
