@@ -330,10 +330,10 @@ def service_kpis(se: DataFrame, approx: bool = False) -> DataFrame:
 
 
 def revenue_tree(se: DataFrame) -> DataFrame:
-    """AGG-14: rollup(category, service) revenue with share of the root."""
+    """AGG-14: rollup(category, service) revenue with share of the root, which is one number: no window gathers the rows."""
     g = se.rollup("category", "service_name").agg(F.sum("total_revenue").alias("total_revenue"),
                                                   F.grouping_id().alias("_gid"))
-    root = F.max(F.when(F.col("_gid") == 3, F.col("total_revenue"))).over(Window.partitionBy())
+    root = se.agg(F.sum("total_revenue")).scalar()
     level = F.when(F.col("_gid") == 3, "root").when(F.col("_gid") == 1, "category").otherwise("service")
     return g.select("category", "service_name", level.alias("level"), "total_revenue",
                     r6(ratio("total_revenue", root)).alias("share_of_root"))

@@ -60,9 +60,8 @@ def yoy_lines(lines: DataFrame, year_base: int, year_cur: int, key: str = "line_
     yr = F.year(date_col)
     g = f.groupBy(key).agg(psum(F.when(yr == year_base, F.col(amount))).alias("amount_base"),
                            psum(F.when(yr == year_cur, F.col(amount))).alias("amount_cur"))
-    w = Window.partitionBy()
-    sb = ratio("amount_base", F.sum("amount_base").over(w))
-    sc = ratio("amount_cur", F.sum("amount_cur").over(w))
+    sb = ratio("amount_base", g.agg(F.sum("amount_base")).scalar())   # one number each: no window gathers the lines
+    sc = ratio("amount_cur", g.agg(F.sum("amount_cur")).scalar())
     return g.select(key, "amount_base", "amount_cur", r6(sb).alias("share_base"), r6(sc).alias("share_cur"),
                     (F.col("amount_cur") - F.col("amount_base")).alias("delta"),
                     r6((ratio("amount_cur", "amount_base") - F.lit(1.0)) * F.lit(100.0)).alias("delta_pct"),
