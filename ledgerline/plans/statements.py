@@ -180,6 +180,23 @@ def appointment_outcomes(spark, sf_dir):
     return finish(T.appointment_outcomes(appointments(spark, sf_dir)))
 
 
+@query("appointment_outcomes_by_doctor", f"""WITH first AS (SELECT l_orderkey, CAST(MIN(l_suppkey) AS INTEGER) AS doctor_id FROM lineitem GROUP BY l_orderkey),
+g AS (SELECT c_nationkey AS branch_id, doctor_id, COUNT(*) AS appointments, COUNT(*) FILTER (WHERE o_orderstatus = 'F') AS completed,
+    COUNT(*) FILTER (WHERE o_orderstatus = 'P') AS cancelled, COUNT(*) FILTER (WHERE o_orderstatus = 'O') AS no_show
+  FROM orders JOIN customer ON o_custkey = c_custkey LEFT JOIN first ON l_orderkey = o_orderkey GROUP BY ALL)
+SELECT *, {r6(ratio('completed', 'appointments'))} AS completed_share, {r6(ratio('cancelled', 'appointments'))} AS cancelled_share,
+       {r6(ratio('no_show', 'appointments'))} AS no_show_share FROM g""")
+def appointment_outcomes_by_doctor(spark, sf_dir):
+    """Outcomes per branch and doctor: the doctor is the order's first supplier, unknown for orders without a line."""
+    first = read(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(F.min("l_suppkey").cast("int").alias("doctor_id"))
+    orders = read(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_orderstatus")
+    customers = read(spark, sf_dir, "customer").select("c_custkey", F.col("c_nationkey").alias("branch_id"))
+    st = F.col("o_orderstatus")
+    appts = (orders.join(customers, F.col("o_custkey") == F.col("c_custkey")).join(first, F.col("l_orderkey") == F.col("o_orderkey"), "left")
+             .select("branch_id", "doctor_id", F.when(st == "F", "completed").when(st == "P", "cancelled").when(st == "O", "no_show").alias("status")))
+    return finish(T.appointment_outcomes(appts, keys=("branch_id", "doctor_id")))
+
+
 def invoice_items(spark, sf_dir):
     """Invoice lines from lineitem: clinic = supplier nation, status = return flag,
     paid when the line is closed (``l_linestatus = 'F'``)."""
