@@ -1,14 +1,18 @@
 """Near-duplicate vectors by random-hyperplane sign hashing.
 
-Every vector gets a signature of k hyperplane signs in each of several tables;
-vectors that share one are compared by exact cosine, and links give connected
-components. k follows the logarithm of the number of vectors, so a bucket of
-unrelated vectors stays about as large as it is; the number of tables follows
-from k and the miss rate allowed for a pair right at the threshold.
+Every vector gets a code, the signs of ``CODE`` random hyperplanes; each of
+several tables keys it by some of these signs. Only ids and codes go to the
+tables' buckets, where codes that differ in too many signs are passed over.
+Vectors themselves are fetched for those left, compared by exact cosine, and
+links give connected components. The number of signs a key follows the
+logarithm of the number of vectors, the number of tables follows from it and
+the miss rate allowed for a pair right at the threshold, and is bounded: beyond
+that buckets grow instead, and large ones are compared block by block.
 """
 
 from __future__ import annotations
 
+import functools
 import math
 from collections.abc import Iterator
 
@@ -18,117 +22,242 @@ from ._graph import components
 from ._shared import cut
 
 THRESHOLD = 0.9
-MISS = 1e-3          # chance that all tables miss a pair with a cosine right at the threshold
-BUCKET = 32          # unrelated vectors that share a bucket, about
-BLOCK = 512          # a larger bucket is compared block by block, each pair of blocks on its own
-GROUP_ROWS = 4096    # rows of buckets worked on together
+MISS = 1e-3          # chance to miss a pair with a cosine right at the threshold
+CODE = 128           # signs a vector, kept as two longs
+BUCKET = 1024        # unrelated vectors that share a bucket, about; their codes are compared, not they
+MOST_TABLES = 64
+BLOCK = 8192         # a larger bucket is compared block by block, each pair of blocks on its own
+GROUP_ROWS = 32768   # rows of buckets worked on together
+GROUP_BYTES = 8 << 20  # of vectors worked on together, about
+STRIP = 1 << 21      # pairs looked at together
+
+
+def _differing(threshold: float) -> list[float]:
+    """Chance that the codes of a pair right at the threshold differ in 0, 1, ... CODE signs."""
+    p = math.acos(max(-1.0, min(1.0, threshold))) / math.pi
+    return [math.comb(CODE, d) * p ** d * (1 - p) ** (CODE - d) for d in range(CODE + 1)]
+
+
+def most_differing(threshold: float = THRESHOLD, miss: float = MISS) -> int:
+    """Signs in which two codes may differ and are still compared; a tenth of ``miss`` lies beyond."""
+    chances, rest = _differing(threshold), 1.0
+    for d, x in enumerate(chances):
+        rest -= x
+        if rest <= miss / 10:
+            return d
+    return CODE
 
 
 def plan(n: int, threshold: float = THRESHOLD, miss: float = MISS, bucket: int = BUCKET) -> tuple[int, int]:
-    """(bits, tables) for n vectors."""
-    bits = min(30, max(4, math.ceil(math.log2(max(n, 2) / bucket))))
-    same = (1 - math.acos(max(-1.0, min(1.0, threshold))) / math.pi) ** bits
-    return bits, 1 if same >= 1 else max(1, math.ceil(math.log(miss) / math.log(1 - same)))
+    """(signs a key, tables) for n vectors."""
+    chances, most = _differing(threshold), most_differing(threshold, miss)
+    for bits in range(min(24, max(2, math.ceil(math.log2(max(n, 2) / bucket)))), 0, -1):
+        meet = [math.comb(CODE - d, bits) / math.comb(CODE, bits) for d in range(most + 1)]
+        for tables in range(1, MOST_TABLES + 1):
+            if sum(c * (1 - m) ** tables for c, m in zip(chances, meet)) <= miss * 0.9:
+                return bits, tables
+    return 0, 1  # one bucket
+
+
+@functools.lru_cache(maxsize=8)
+def planes(dim: int, seed: int = 11):
+    import numpy as np
+    return np.random.default_rng([seed, dim]).standard_normal((CODE, dim))
 
 
-def planes(dim: int, bits: int, tables: int, seed: int = 11):
+def places(bits: int, tables: int, seed: int = 13):
+    """Which signs each table's key has: dealt from shuffled decks, so that all are used about equally often."""
     import numpy as np
-    return np.random.default_rng([seed, dim]).standard_normal((tables * bits, dim))
+    draw = np.random.default_rng([seed, bits])
+    a_deck = CODE // max(bits, 1)
+    decks = [draw.permutation(CODE)[:a_deck * bits].reshape(a_deck, bits) for _ in range(-(-tables // a_deck))]
+    return np.sort(np.concatenate(decks)[:tables], axis=1)
+
+
+def _units(m):
+    """Rows in double precision and unit length."""
+    import numpy as np
+    m = m.astype(np.float64)
+    m /= np.abs(m).max(1, keepdims=True)  # neither overflow nor underflow in the square
+    return m / np.sqrt((m * m).sum(1, keepdims=True))
 
 
 def _unit(vector):
-    """The vector in double precision and unit length; None where it can't link with anything."""
+    """One vector as ``_units`` makes it; None where it can't link with anything."""
     import numpy as np
     if vector is None or any(x is None for x in vector):
         return None
     v = np.asarray(vector, dtype=np.float64)
-    if not len(v) or not np.isfinite(v).all():
-        return None
-    top = abs(v).max()
-    if not top > 0:
-        return None
-    v = v / top  # neither overflow nor underflow in the square
-    return v / np.sqrt(v @ v)
+    return _units(v[None])[0] if len(v) and np.isfinite(v).all() and v.any() else None
+
+
+def _matrices(column):
+    """(rows, matrix) for each length of the vectors in an Arrow list column; those that link with nothing are left out."""
+    import numpy as np
+    at, flat = column.offsets.to_numpy().astype(np.int64), column.values
+    values = flat.fill_null(0).to_numpy(zero_copy_only=False)
+    values = values if values.dtype == np.float32 else values.astype(np.float64)
+    bad = ~np.isfinite(values) | flat.is_null().to_numpy(zero_copy_only=False)
+    bad = np.concatenate([[0], np.cumsum(bad)])
+    size = np.diff(at)
+    fine = ~column.is_null().to_numpy(zero_copy_only=False) & (bad[at[1:]] == bad[at[:-1]])
+    for dim in np.unique(size[fine & (size > 0)]):
+        rows = np.flatnonzero(fine & (size == dim))
+        m = values[at[rows][:, None] + np.arange(dim)] + values.dtype.type(0)  # no negative zeros
+        some = m.any(1)
+        yield rows[some], m[some]
+
+
+def _named(m) -> list[bytes]:
+    """A name for each row: 128 bits of SHA-256 over its numbers."""
+    import hashlib
+    return [hashlib.sha256(row.tobytes()).digest()[:16] for row in m]
+
+
+def coded(vectors: DataFrame) -> DataFrame:
+    """(vec_id, key, dim, c0, c1) of rows (vec_id, v): name and code of each vector, null where it links with nothing."""
+    kind = vectors.schema["vec_id"].dataType.simpleString()
+
+    def run(batches: Iterator) -> Iterator:
+        import numpy as np
+        import pyarrow as pa
+        for batch in batches:
+            n = batch.num_rows
+            key, dims, codes = [None] * n, np.zeros(n, np.int32), np.zeros((n, 2), np.int64)
+            for rows, m in _matrices(batch.column(1)):
+                signs = _units(m) @ planes(m.shape[1]).T >= 0
+                codes[rows] = np.packbits(signs, axis=1, bitorder="little").view("<i8")
+                dims[rows] = m.shape[1]
+                for row, name in zip(rows, _named(m)):
+                    key[row] = name
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(key, pa.binary()), pa.array(dims), pa.array(codes[:, 0]), pa.array(codes[:, 1])],
+                                             names=["vec_id", "key", "dim", "c0", "c1"])
+
+    return vectors.mapInArrow(run, f"vec_id {kind}, key binary, dim int, c0 bigint, c1 bigint")
+
+
+def stored(vectors: DataFrame) -> DataFrame:
+    """(key, v) of rows (vec_id, v): the numbers of each vector that can link, as bytes."""
+
+    def run(batches: Iterator) -> Iterator:
+        import pyarrow as pa
+        for batch in batches:
+            for _, m in _matrices(batch.column(0)):
+                yield pa.RecordBatch.from_arrays([pa.array(_named(m), pa.binary()), pa.array([row.tobytes() for row in m], pa.binary())], names=["key", "v"])
+
+    return vectors.select("v").mapInArrow(run, "key binary, v binary")
 
 
 def bucketed(classes: DataFrame, bits: int, tables: int) -> DataFrame:
-    """One row per class and table: cls, m, unit (doubles as bytes), signatures (ints as bytes), dim, t, sig."""
+    """One row per class and table: cls, dim, c0, c1, t, sig."""
+    where = places(bits, tables)
 
     def run(batches: Iterator) -> Iterator:
         import numpy as np
         import pyarrow as pa
-        made = {}
         for batch in batches:
-            cls, m = batch.column(0).to_pylist(), batch.column(1).to_pylist()
-            out = {k: [] for k in ("cls", "m", "unit", "all", "dim", "t", "sig")}
-            for i, vector in enumerate(batch.column(2)):
-                v = _unit(vector.as_py())
-                if v is None:
-                    continue
-                if len(v) not in made:
-                    made[len(v)] = planes(len(v), bits, tables)
-                signs = (made[len(v)] @ v >= 0).reshape(tables, bits)
-                sig = (signs.astype(np.int64) << np.arange(bits)).sum(1).astype("<i4")
-                for t in range(tables):
-                    for k, x in zip(out, (cls[i], m[i], v.tobytes(), sig.tobytes(), len(v), t, int(sig[t]))):
-                        out[k].append(x)
-                if len(out["cls"]) > 20_000:
-                    yield pa.RecordBatch.from_pydict(out, schema=schema)
-                    out = {k: [] for k in out}
-            yield pa.RecordBatch.from_pydict(out, schema=schema)
+            signs = np.unpackbits(_codes(batch).view(np.uint8), axis=1, bitorder="little")
+            for t in range(tables):
+                sig = (signs[:, where[t]].astype(np.int32) << np.arange(bits, dtype=np.int32)).sum(1, dtype=np.int32)
+                yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("cls", "dim", "c0", "c1")), pa.array(np.full(len(sig), t, np.int32)), pa.array(sig)],
+                                                 names=["cls", "dim", "c0", "c1", "t", "sig"])
 
-    import pyarrow as pa
-    schema = pa.schema([("cls", pa.int64()), ("m", pa.int64()), ("unit", pa.binary()), ("all", pa.binary()), ("dim", pa.int32()), ("t", pa.int32()), ("sig", pa.int32())])
-    return classes.mapInArrow(run, "cls bigint, m bigint, unit binary, `all` binary, dim int, t int, sig int")
+    return classes.select("cls", "dim", "c0", "c1").mapInArrow(run, "cls bigint, dim int, c0 bigint, c1 bigint, t int, sig int")
 
 
-def _links(group, threshold: float):
-    """Links inside one group of buckets: per class the vectors linked with it, and an edge to the bucket's tree."""
+def _codes(table):
     import numpy as np
-    import pyarrow as pa
-    col = {n: group.column(n).combine_chunks() if hasattr(group.column(n), "combine_chunks") else group.column(n) for n in group.schema.names}
-    keys = np.stack([col[k].to_numpy(zero_copy_only=False) for k in ("dim", "t", "sig", "i", "j")], axis=1)
+    return np.stack([np.asarray(table.column(c)).astype(np.int64) for c in ("c0", "c1")], axis=1)
+
+
+def _masks(bits: int, tables: int):
+    """Each table's signs as a mask over the code."""
+    import numpy as np
+    on = np.zeros((tables, CODE), dtype=np.uint8)
+    np.put_along_axis(on, places(bits, tables), 1, axis=1)
+    return np.packbits(on, axis=1, bitorder="little").view("<u8")
+
+
+def _buckets(table):
+    """(order of the rows, their keys in that order, first row of each bucket and the end)."""
+    import numpy as np
+    keys = np.stack([np.asarray(table.column(k)).astype(np.int64) for k in ("dim", "t", "sig", "i", "j")], axis=1)
     order = np.lexsort(keys.T[::-1])
     keys = keys[order]
-    starts = np.flatnonzero(np.concatenate([[True], (keys[1:] != keys[:-1]).any(1), [True]]))
-    cls, m, side = (col[k].to_numpy(zero_copy_only=False)[order] for k in ("cls", "m", "side"))
-    unit, every = col["unit"].to_pylist(), col["all"].to_pylist()
+    return order, keys, np.flatnonzero(np.concatenate([[True], (keys[1:] != keys[:-1]).any(1), [True]]))
+
+
+def _strips(side, lone: bool):
+    """(left rows, right rows) of a bucket, in strips of a bounded number of pairs; ``lone``: a block with itself."""
+    import numpy as np
+    left, right = (np.arange(len(side)),) * 2 if lone else (np.flatnonzero(side == 0), np.flatnonzero(side == 1))
+    step = max(1, STRIP // max(1, len(right)))
+    for s in range(0, len(left) if len(right) else 0, step):
+        yield left[s:s + step], right[s + 1:] if lone else right
+
+
+def _met_first(codes, p, q, masks, t: int):
+    """Which of the pairs meet in table ``t`` first, as positions."""
+    import numpy as np
+    fresh = np.arange(len(p))
+    apart = codes[p] ^ codes[q]
+    for mask in masks[:t]:
+        if not len(fresh):
+            break
+        fresh = fresh[(apart[fresh] & mask).any(1)]
+    return fresh
+
+
+def _candidates(table, bits: int, tables: int, most: int):
+    """The rows of buckets that have a partner whose code is near and that they meet in no earlier table."""
+    import numpy as np
+    order, keys, starts = _buckets(table)
+    codes, side = _codes(table)[order].view(np.uint64), np.asarray(table.column("side"))[order]
+    masks, found = _masks(bits, tables), np.zeros(len(order), dtype=bool)
+    for a, b in zip(starts, starts[1:]):
+        lone, c = keys[a, 3] == keys[a, 4], codes[a:b]
+        for left, right in _strips(side[a:b], lone):
+            apart = np.bitwise_count(c[left, None, 0] ^ c[None, right, 0]) + np.bitwise_count(c[left, None, 1] ^ c[None, right, 1])
+            p, q = np.nonzero(apart <= most)
+            p, q = left[p], right[q]
+            if lone:
+                p, q = p[p < q], q[p < q]
+            fresh = _met_first(c, p, q, masks, int(keys[a, 1]))
+            found[a + p[fresh]] = found[a + q[fresh]] = True
+    return table.take(order[found]).select(["cls", "dim", "c0", "c1", "t", "sig", "i", "j", "side"])
+
+
+def _links(table, bits: int, tables: int, threshold: float):
+    """Links inside one group of buckets: per class the vectors linked with it, and an edge to the bucket's tree."""
+    import numpy as np
+    import pyarrow as pa
+    order, keys, starts = _buckets(table)
+    codes = _codes(table)[order].view(np.uint64)
+    cls, m, side = (np.asarray(table.column(k))[order] for k in ("cls", "m", "side"))
+    raw, masks = table.column("v").to_pylist(), _masks(bits, tables)
     out = {"cls": [], "add": [], "root": []}
     for a, b in zip(starts, starts[1:]):
-        if b - a < 2:
-            continue
-        x = np.stack([np.frombuffer(unit[o]) for o in order[a:b]])
-        lone = keys[a, 3] == keys[a, 4]  # a block with itself: every pair once
-        left = np.arange(a, b) if lone else np.flatnonzero(side[a:b] == 0) + a
-        right = left if lone else np.flatnonzero(side[a:b] == 1) + a
-        if not len(left) or not len(right):
-            continue
-        near = x[left - a] @ x[right - a].T >= threshold
-        if lone:
-            near &= ~np.tri(len(left), dtype=bool)
-        p, q = np.nonzero(near)
-        if not len(p):
-            continue
-        p, q = left[p], right[q]
-        edges_p, edges_q = p, q
-        t = keys[a, 1]
-        if t:  # counted by the first table in which the two meet
-            used = np.unique(np.concatenate([p, q]))
-            sig = np.stack([np.frombuffer(every[order[u]], dtype="<i4")[:t] for u in used])
-            ip, iq = np.searchsorted(used, p), np.searchsorted(used, q)
-            fresh = np.concatenate([~(sig[ip[s:s + 65536]] == sig[iq[s:s + 65536]]).any(1) for s in range(0, len(p), 65536)])
+        dim, t, lone, c = int(keys[a, 0]), int(keys[a, 1]), keys[a, 3] == keys[a, 4], codes[a:b]
+        kind = np.float32 if len(raw[order[a]]) == 4 * dim else np.float64
+        x = _units(np.frombuffer(b"".join(raw[o] for o in order[a:b]), dtype=kind).reshape(b - a, dim))
+        add, root, used = np.zeros(b - a), np.arange(b - a), np.zeros(b - a, dtype=bool)
+        for left, right in _strips(side[a:b], lone):
+            p, q = np.nonzero(x[left] @ x[right].T >= threshold)
+            p, q = left[p], right[q]
+            if lone:
+                p, q = p[p < q], q[p < q]
+            # Counted by the first table in which the two meet.
+            fresh = _met_first(c, p, q, masks, t)
             p, q = p[fresh], q[fresh]
-        add = np.bincount(np.concatenate([p, q]) - a, np.concatenate([m[q], m[p]]), b - a)
-        root = np.arange(b - a)
-        while True:  # smallest member reachable, by label passing
-            new = root.copy()
-            np.minimum.at(new, edges_p - a, root[edges_q - a])
-            np.minimum.at(new, edges_q - a, root[edges_p - a])
-            new = new[new]
-            if (new == root).all():
-                break
-            root = new
-        for i in np.unique(np.concatenate([edges_p, edges_q]) - a):
+            add += np.bincount(p, m[a:b][q], b - a) + np.bincount(q, m[a:b][p], b - a)
+            used[p] = used[q] = True
+            while len(p):  # smallest member reachable so far, by label passing between roots
+                low, high = np.minimum(root[p], root[q]), np.maximum(root[p], root[q])
+                p, q, low, high = (z[low < high] for z in (p, q, low, high))
+                np.minimum.at(root, high, low)
+                while (root[root] != root).any():
+                    root = root[root]
+        for i in np.flatnonzero(used):
             out["cls"].append(int(cls[a + i]))
             out["add"].append(int(add[i]))
             out["root"].append(int(cls[a + root[i]]))
@@ -139,11 +268,12 @@ def near_vectors(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "
                  miss: float = MISS) -> DataFrame:
     """One row per vector: vec_id, n_links (other vectors linked directly), component_id, kept.
 
-    Equal vectors are one class with a multiplicity before anything is hashed,
+    Equal vectors are one class with a multiplicity before anything is compared,
     so a vector that fills a third of the table is compared once. A bucket of
     more than ``BLOCK`` classes is dealt into blocks and each pair of blocks is
     compared on its own, so no bucket lands in one task; nothing is capped. A
-    task emits at most one row per class and bucket, never all pairs.
+    task emits at most one row per class and bucket, never all pairs. Equality
+    is told by 128 bits of SHA-256.
 
     Vectors that are null, zero, empty, or hold null or non-finite components
     link with nothing (component: themselves). Vectors of different lengths
@@ -153,34 +283,37 @@ def near_vectors(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "
     gives no rows.
     """
     rows = vectors.select(vectors[id_col].alias("vec_id"), vectors[vector_col].alias("v"))
-    classes = rows.groupBy("v").agg(F.min("vec_id").alias("first"), F.count(F.lit(1)).alias("m"))
-    classes = cut(classes.withColumn("cls", F.monotonically_increasing_id()))
+    named = cut(coded(rows))
+    classes = named.filter("key IS NOT NULL").groupBy("key").agg(F.min("vec_id").alias("first"), F.count(F.lit(1)).alias("m"), F.min(F.struct("dim", "c0", "c1")).alias("x"))
+    classes = cut(classes.select("key", "first", "m", "x.*", F.monotonically_increasing_id().alias("cls")))
     n = classes.count()
     bits, tables = plan(n, threshold, miss)
-    buckets = bucketed(classes.select("cls", "m", "v"), bits, tables)
-    key = ["dim", "t", "sig"]
-    sizes = cut(bucketed(classes.select("cls", "m", "v"), bits, tables).groupBy(*key).agg(F.count(F.lit(1)).alias("size")).filter("size > 1"))
+    most, key = most_differing(threshold, miss), ["dim", "t", "sig"]
+    sizes = bucketed(classes, bits, tables).groupBy(*key).agg(F.count(F.lit(1)).alias("size"))
     # Hot buckets are few next to the rows; others have one block.
-    hot = sizes.filter(F.col("size") > BLOCK).select(*key, F.ceil(F.col("size") / BLOCK).cast("int").alias("blocks"))
-    met = buckets.join(sizes.select(*key), key, "left_semi") if n else buckets
-    met = met.join(hot, key, "left").withColumn("blocks", F.coalesce("blocks", F.lit(1)))
-    own = F.pmod(F.xxhash64("cls"), F.col("blocks")).cast("int")
+    hot = cut(sizes.filter(F.col("size") > BLOCK).select(*key, F.ceil(F.col("size") / BLOCK).cast("int").alias("blocks")))
+    met = bucketed(classes, bits, tables).join(hot, key, "left").withColumn("blocks", F.coalesce("blocks", F.lit(1)))
+    met = met.withColumn("own", F.pmod(F.xxhash64("cls"), F.col("blocks")).cast("int"))
     # Block b meets itself and every other block: (i, j) with i <= j, on side 0 as i and on side 1 as j.
     pairs = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda x: F.struct(F.least(x, F.col("own")).alias("i"), F.greatest(x, F.col("own")).alias("j"), F.when(x < F.col("own"), 1).otherwise(0).alias("side")))
-    met = met.withColumn("own", own).select("cls", "m", "unit", "all", *key, F.explode(pairs).alias("p")).select("cls", "m", "unit", "all", *key, "p.*")
-    groups = max(1, math.ceil(n * tables / GROUP_ROWS))
-    met = met.withColumn("grp", F.pmod(F.xxhash64(*key, "i", "j"), F.lit(groups)))
-    found = cut(met.groupBy("grp").applyInArrow(lambda group: _links(group, threshold), "cls bigint, add bigint, root bigint"))
+    met = met.withColumn("p", F.explode(pairs)).select("cls", "c0", "c1", *key, "p.*")
+    groups = lambda k: F.pmod(F.xxhash64(*key, "i", "j"), F.lit(max(1, k)))
+    met = met.withColumn("grp", groups(math.ceil(n * tables / GROUP_ROWS)))
+    members = cut(met.groupBy("grp").applyInArrow(lambda table: _candidates(table, bits, tables, most),
+                                                  "cls bigint, dim int, c0 bigint, c1 bigint, t int, sig int, i int, j int, side int"))
+    size = members.agg(F.sum(F.col("dim") * F.lit(8))).first()[0] or 0
+    # A vector's numbers are fetched by its name, once for all its copies.
+    numbers = stored(rows).groupBy("key").agg(F.max("v").alias("v"))
+    held = members.join(classes.select("cls", "key", "m"), "cls").join(numbers, "key").drop("key").withColumn("grp", groups(math.ceil(size / GROUP_BYTES)))
+    found = cut(held.groupBy("grp").applyInArrow(lambda table: _links(table, bits, tables, threshold), "cls bigint, add bigint, root bigint"))
     counts = found.groupBy("cls").agg(F.sum("add").alias("add"))
     comp = components(found.select(F.col("cls").alias("a"), F.col("root").alias("b")))
-    named = classes.select("cls", "first", "m", "v").join(comp.withColumnRenamed("node", "cls"), "cls", "left").join(counts, "cls", "left")
-    named = cut(named.select("cls", "first", "m", "v", F.coalesce("component", "cls").alias("component"), F.coalesce("add", F.lit(0)).alias("add")))
-    names = cut(named.groupBy("component").agg(F.min("first").alias("component_id")))
-    named = cut(named.join(names, "component"))
-    finite = F.forall("v", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) != F.lit(float("inf")))) & F.exists("v", lambda x: x != 0)
-    links = F.coalesce(finite, F.lit(False))
-    out = rows.join(named.select("v", "m", "component_id", "add"), rows["v"].eqNullSafe(named["v"])).select(
-        "vec_id", rows["v"], "m", "component_id", "add")
+    whole = classes.select("cls", "key", "first", "m").join(comp.withColumnRenamed("node", "cls"), "cls", "left").join(counts, "cls", "left")
+    whole = cut(whole.select("key", "first", "m", F.coalesce("component", "cls").alias("component"), F.coalesce("add", F.lit(0)).alias("add")))
+    names = whole.groupBy("component").agg(F.min("first").alias("component_id"))
+    whole = cut(whole.join(names, "component").select("key", "m", "add", "component_id"))
+    out = named.select("vec_id", "key").join(whole, "key", "left")
+    links = F.col("key").isNotNull()
     return out.select("vec_id", F.when(links, F.col("m") - 1 + F.col("add")).otherwise(F.lit(0)).cast("bigint").alias("n_links"),
                       F.when(links, F.col("component_id")).otherwise(F.col("vec_id")).alias("component_id")).withColumn(
         "kept", F.col("vec_id").eqNullSafe(F.col("component_id")))
