@@ -23,36 +23,39 @@ from ._shared import cut
 
 THRESHOLD = 0.9
 MISS = 1e-3          # chance to miss a pair with a cosine right at the threshold
-CODE = 128           # signs a vector, kept as two longs
+CODE = 256           # signs a vector, kept as four longs
+FIRST = 128          # of them, whose differences are counted before a vector is fetched
+WORDS = [f"c{i}" for i in range(CODE // 64)]
+CODES = ", ".join(f"{c} bigint" for c in WORDS)
 BUCKET = 1024        # unrelated vectors that share a bucket, about; their codes are compared, not they
-MOST_TABLES = 64
+MOST_TABLES = 192    # reached at about 130 million vectors
 BLOCK = 8192         # a larger bucket is compared block by block, each pair of blocks on its own
 GROUP_ROWS = 32768   # rows of buckets worked on together
 GROUP_BYTES = 8 << 20  # of vectors worked on together, about
 STRIP = 1 << 21      # pairs looked at together
 
 
-def _differing(threshold: float) -> list[float]:
-    """Chance that the codes of a pair right at the threshold differ in 0, 1, ... CODE signs."""
+def _differing(threshold: float, signs: int) -> list[float]:
+    """Chance that a pair right at the threshold differs in 0, 1, ... of so many signs."""
     p = math.acos(max(-1.0, min(1.0, threshold))) / math.pi
-    return [math.comb(CODE, d) * p ** d * (1 - p) ** (CODE - d) for d in range(CODE + 1)]
+    return [math.comb(signs, d) * p ** d * (1 - p) ** (signs - d) for d in range(signs + 1)]
 
 
 def most_differing(threshold: float = THRESHOLD, miss: float = MISS) -> int:
-    """Signs in which two codes may differ and are still compared; a tenth of ``miss`` lies beyond."""
-    chances, rest = _differing(threshold), 1.0
+    """Differences in the ``FIRST`` signs up to which two vectors are compared; a tenth of ``miss`` lies beyond."""
+    chances, rest = _differing(threshold, FIRST), 1.0
     for d, x in enumerate(chances):
         rest -= x
         if rest <= miss / 10:
             return d
-    return CODE
+    return FIRST
 
 
 def plan(n: int, threshold: float = THRESHOLD, miss: float = MISS, bucket: int = BUCKET) -> tuple[int, int]:
     """(signs a key, tables) for n vectors."""
-    chances, most = _differing(threshold), most_differing(threshold, miss)
+    chances = _differing(threshold, CODE)
     for bits in range(min(24, max(2, math.ceil(math.log2(max(n, 2) / bucket)))), 0, -1):
-        meet = [math.comb(CODE - d, bits) / math.comb(CODE, bits) for d in range(most + 1)]
+        meet = [math.comb(CODE - d, bits) / math.comb(CODE, bits) for d in range(CODE + 1)]
         for tables in range(1, MOST_TABLES + 1):
             if sum(c * (1 - m) ** tables for c, m in zip(chances, meet)) <= miss * 0.9:
                 return bits, tables
@@ -115,7 +118,7 @@ def _named(m) -> list[bytes]:
 
 
 def coded(vectors: DataFrame) -> DataFrame:
-    """(vec_id, key, dim, c0, c1) of rows (vec_id, v): name and code of each vector, null where it links with nothing."""
+    """(vec_id, key, dim, c0 to c3) of rows (vec_id, v): name and code of each vector, null where it links with nothing."""
     kind = vectors.schema["vec_id"].dataType.simpleString()
 
     def run(batches: Iterator) -> Iterator:
@@ -123,17 +126,17 @@ def coded(vectors: DataFrame) -> DataFrame:
         import pyarrow as pa
         for batch in batches:
             n = batch.num_rows
-            key, dims, codes = [None] * n, np.zeros(n, np.int32), np.zeros((n, 2), np.int64)
+            key, dims, codes = [None] * n, np.zeros(n, np.int32), np.zeros((n, len(WORDS)), np.int64)
             for rows, m in _matrices(batch.column(1)):
                 signs = _units(m) @ planes(m.shape[1]).T >= 0
                 codes[rows] = np.packbits(signs, axis=1, bitorder="little").view("<i8")
                 dims[rows] = m.shape[1]
                 for row, name in zip(rows, _named(m)):
                     key[row] = name
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(key, pa.binary()), pa.array(dims), pa.array(codes[:, 0]), pa.array(codes[:, 1])],
-                                             names=["vec_id", "key", "dim", "c0", "c1"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(key, pa.binary()), pa.array(dims), *map(pa.array, codes.T.copy())],
+                                             names=["vec_id", "key", "dim", *WORDS])
 
-    return vectors.mapInArrow(run, f"vec_id {kind}, key binary, dim int, c0 bigint, c1 bigint")
+    return vectors.mapInArrow(run, f"vec_id {kind}, key binary, dim int, {CODES}")
 
 
 def stored(vectors: DataFrame) -> DataFrame:
@@ -149,7 +152,7 @@ def stored(vectors: DataFrame) -> DataFrame:
 
 
 def bucketed(classes: DataFrame, bits: int, tables: int) -> DataFrame:
-    """One row per class and table: cls, dim, c0, c1, t, sig."""
+    """One row per class and table: cls, dim, c0 to c3, t, sig."""
     where = places(bits, tables)
 
     def run(batches: Iterator) -> Iterator:
@@ -159,15 +162,15 @@ def bucketed(classes: DataFrame, bits: int, tables: int) -> DataFrame:
             signs = np.unpackbits(_codes(batch).view(np.uint8), axis=1, bitorder="little")
             for t in range(tables):
                 sig = (signs[:, where[t]].astype(np.int32) << np.arange(bits, dtype=np.int32)).sum(1, dtype=np.int32)
-                yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("cls", "dim", "c0", "c1")), pa.array(np.full(len(sig), t, np.int32)), pa.array(sig)],
-                                                 names=["cls", "dim", "c0", "c1", "t", "sig"])
+                yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("cls", "dim", *WORDS)), pa.array(np.full(len(sig), t, np.int32)), pa.array(sig)],
+                                                 names=["cls", "dim", *WORDS, "t", "sig"])
 
-    return classes.select("cls", "dim", "c0", "c1").mapInArrow(run, "cls bigint, dim int, c0 bigint, c1 bigint, t int, sig int")
+    return classes.select("cls", "dim", *WORDS).mapInArrow(run, f"cls bigint, dim int, {CODES}, t int, sig int")
 
 
 def _codes(table):
     import numpy as np
-    return np.stack([np.asarray(table.column(c)).astype(np.int64) for c in ("c0", "c1")], axis=1)
+    return np.stack([np.asarray(table.column(c)).astype(np.int64) for c in WORDS], axis=1)
 
 
 def _masks(bits: int, tables: int):
@@ -217,14 +220,14 @@ def _candidates(table, bits: int, tables: int, most: int):
     for a, b in zip(starts, starts[1:]):
         lone, c = keys[a, 3] == keys[a, 4], codes[a:b]
         for left, right in _strips(side[a:b], lone):
-            apart = np.bitwise_count(c[left, None, 0] ^ c[None, right, 0]) + np.bitwise_count(c[left, None, 1] ^ c[None, right, 1])
+            apart = sum(np.bitwise_count(c[left, None, w] ^ c[None, right, w]) for w in range(FIRST // 64))
             p, q = np.nonzero(apart <= most)
             p, q = left[p], right[q]
             if lone:
                 p, q = p[p < q], q[p < q]
             fresh = _met_first(c, p, q, masks, int(keys[a, 1]))
             found[a + p[fresh]] = found[a + q[fresh]] = True
-    return table.take(order[found]).select(["cls", "dim", "c0", "c1", "t", "sig", "i", "j", "side"])
+    return table.take(order[found]).select(["cls", "dim", *WORDS, "t", "sig", "i", "j", "side"])
 
 
 def _links(table, bits: int, tables: int, threshold: float):
@@ -284,7 +287,7 @@ def near_vectors(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "
     """
     rows = vectors.select(vectors[id_col].alias("vec_id"), vectors[vector_col].alias("v"))
     named = cut(coded(rows))
-    classes = named.filter("key IS NOT NULL").groupBy("key").agg(F.min("vec_id").alias("first"), F.count(F.lit(1)).alias("m"), F.min(F.struct("dim", "c0", "c1")).alias("x"))
+    classes = named.filter("key IS NOT NULL").groupBy("key").agg(F.min("vec_id").alias("first"), F.count(F.lit(1)).alias("m"), F.min(F.struct("dim", *WORDS)).alias("x"))
     classes = cut(classes.select("key", "first", "m", "x.*", F.monotonically_increasing_id().alias("cls")))
     n = classes.count()
     bits, tables = plan(n, threshold, miss)
@@ -296,11 +299,11 @@ def near_vectors(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "
     met = met.withColumn("own", F.pmod(F.xxhash64("cls"), F.col("blocks")).cast("int"))
     # Block b meets itself and every other block: (i, j) with i <= j, on side 0 as i and on side 1 as j.
     pairs = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda x: F.struct(F.least(x, F.col("own")).alias("i"), F.greatest(x, F.col("own")).alias("j"), F.when(x < F.col("own"), 1).otherwise(0).alias("side")))
-    met = met.withColumn("p", F.explode(pairs)).select("cls", "c0", "c1", *key, "p.*")
+    met = met.withColumn("p", F.explode(pairs)).select("cls", *WORDS, *key, "p.*")
     groups = lambda k: F.pmod(F.xxhash64(*key, "i", "j"), F.lit(max(1, k)))
     met = met.withColumn("grp", groups(math.ceil(n * tables / GROUP_ROWS)))
     members = cut(met.groupBy("grp").applyInArrow(lambda table: _candidates(table, bits, tables, most),
-                                                  "cls bigint, dim int, c0 bigint, c1 bigint, t int, sig int, i int, j int, side int"))
+                                                  f"cls bigint, dim int, {CODES}, t int, sig int, i int, j int, side int"))
     size = members.agg(F.sum(F.col("dim") * F.lit(8))).first()[0] or 0
     # A vector's numbers are fetched by its name, once for all its copies.
     numbers = stored(rows).groupBy("key").agg(F.max("v").alias("v"))
