@@ -11,6 +11,7 @@ from __future__ import annotations
 BITS = 16
 SIZE = 1 << BITS
 SLICE = 1 << 20  # bytes of a long text worked on at a time
+MOST_SAMPLED = 40_000  # documents of a training sample, all labels together
 _FACTORS = (0x9E3779B1, 0x85EBCA77, 0xC2B2AE3D, 0x27D4EB2F)
 
 
@@ -92,26 +93,34 @@ def sampled_indicators(marks, docs, per_class: int, lower: bool, words: bool):
     """A bounded training sample: lists of feature numbers and of labels.
 
     ``marks`` has doc_id and label, ``docs`` doc_id and text. Of each label, the
-    ``per_class`` documents with the smallest hash of their id are taken; ids
-    are chosen first and sent to the texts, which become bitmaps of SIZE bits on
-    the executors, so the driver gets (number of labels) x ``per_class`` x
-    SIZE / 8 bytes at most, and no text but the chosen ones moves.
+    ``per_class`` documents with the smallest hash of their id are taken (fewer
+    where all labels together would be more than ``MOST_SAMPLED``); ids are
+    chosen first, in one pass for all labels, and sent to the texts, which
+    become bitmaps of SIZE bits on the executors, so the driver gets
+    ``MOST_SAMPLED`` x SIZE / 8 bytes at most, and no text but the chosen ones
+    moves. Of a repeated id the greatest text is taken.
     """
     import numpy as np
-    from pyspark.sql import functions as F
+    from pyspark.sql import Window, functions as F
+
+    from ._shared import cut
 
     ids = marks.select("doc_id", F.col("label").cast("string").alias("label")).dropna().distinct()
-    ids = ids.join(docs.select("doc_id").distinct(), "doc_id", "left_semi")
-    counts = {r["label"]: r["n"] for r in ids.groupBy("label").agg(F.count(F.lit(1)).alias("n")).orderBy("label").collect()}
+    ids = cut(ids.join(docs.select("doc_id").distinct(), "doc_id", "left_semi"))
+    sizes = cut(ids.groupBy("label").agg(F.count(F.lit(1)).alias("n")))
+    labels = sizes.count()
+    if not labels:
+        return [], [], {}
+    if labels > MOST_SAMPLED:
+        raise ValueError(f"{labels} labels are more than a sample of {MOST_SAMPLED} documents can hold")
+    counts = {r["label"]: r["n"] for r in sizes.orderBy("label").collect()}
+    per_class = min(per_class, MOST_SAMPLED // labels)
+    # A hash is uniform: twice the wanted share of a label (and some) holds its smallest, so few rows are ranked.
     rank = F.xxhash64(F.col("doc_id").cast("string"))
-    chosen = [ids.filter(F.col("label") == label).orderBy(rank, "doc_id").limit(per_class) for label in counts]
-    if not chosen:
-        return [], [], counts
-    some = chosen[0]
-    for x in chosen[1:]:
-        some = some.unionByName(x)
-    picked = some.collect()  # ids only: number of labels x per_class
-    few = docs.sparkSession.createDataFrame(picked, some.schema)
+    share = F.lit(2.0 * per_class + 200) / F.col("n")
+    drawn = ids.join(sizes, "label").select("doc_id", "label", rank.alias("rank"), share.alias("share")).filter(F.col("rank") / F.lit(2.0 ** 64) + 0.5 <= F.col("share"))
+    place = F.row_number().over(Window.partitionBy("label").orderBy("rank", "doc_id"))
+    few = cut(drawn.withColumn("place", place).filter(F.col("place") <= per_class).select("doc_id", "label"))  # MOST_SAMPLED ids at most
     texts = docs.select("doc_id", "text").join(F.broadcast(few), "doc_id").groupBy("doc_id", "label").agg(F.max("text").alias("text"))
 
     def bitmaps(batches):
