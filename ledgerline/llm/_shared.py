@@ -93,13 +93,18 @@ def fold(id_col, folds: int):
     return F.crc32(F.coalesce(id_col.cast("string"), F.lit(""))) % F.lit(folds)
 
 
-def by_bytes(texts: list[str], most: int):
-    """Runs (first, last + 1) of texts of about ``most`` characters in all, one text at least."""
-    start = size = 0
-    for i, t in enumerate(texts):
-        if size and size + len(t) > most:
+def runs(sizes: list[int], most: int):
+    """Runs (first, last + 1) of items of about ``most`` in all, one item at least."""
+    start = total = 0
+    for i, size in enumerate(sizes):
+        if total and total + size > most:
             yield start, i
-            start, size = i, 0
-        size += len(t)
-    if start < len(texts):
-        yield start, len(texts)
+            start, total = i, 0
+        total += size
+    if start < len(sizes):
+        yield start, len(sizes)
+
+
+def by_bytes(texts: list[str], most: int):
+    """Runs of texts of about ``most`` characters in all, one text at least."""
+    return runs([len(t) for t in texts], most)

@@ -14,9 +14,9 @@ from collections.abc import Iterator
 
 from pyspark.sql import DataFrame, functions as F
 
-from ._shared import by_bytes, keyed
+from ._shared import keyed, runs
 
-RUN_CHARS = 4 << 20        # characters handed to the encoder at a time
+RUN_BYTES = 4 << 20        # bytes of text handed to the encoder at a time
 PIECE_CHARS = 1 << 16      # longer texts are split at spaces into pieces of about this size
 CACHE_WORDS = 200_000      # words remembered per worker; when full it starts anew
 
@@ -49,12 +49,13 @@ class _JsonCounter:
             known.append(sum(filter(None, found)))
             rest = [w for w, n in zip(words, found) if n is None]
             seen.update(rest)
-            joined = " ".join(rest)
-            while joined:  # pieces that end at a space
-                at = joined.find(" ", PIECE_CHARS) if len(joined) > PIECE_CHARS else -1
-                piece, joined = (joined, "") if at < 0 else (joined[:at], joined[at:])
-                rests.append(piece)
+            joined, start = " ".join(rest), 0
+            while start < len(joined):  # pieces that end at a space
+                end = joined.find(" ", start + PIECE_CHARS) if len(joined) - start > PIECE_CHARS else -1
+                end = len(joined) if end < 0 else end
+                rests.append(joined[start:end])
                 owner.append(i)
+                start = end
         for i, e in zip(owner, self._encode(rests)):
             known[i] += len(e)
         if len(self.words) > CACHE_WORDS:
@@ -102,10 +103,10 @@ def count_tokens(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", text_
         counter = _counter(vocabulary)
         for batch in batches:
             texts = batch.column(1).to_pylist()
+            sizes = pc.binary_length(batch.column(1)).cast(pa.int64())
             n = []
-            for a, b in by_bytes(texts, RUN_CHARS):
+            for a, b in runs(sizes.to_pylist(), RUN_BYTES):
                 n += counter.counts(texts[a:b])
-            sizes = pc.binary_length(batch.column(1)).cast(pa.int64())
             yield pa.RecordBatch.from_arrays([batch.column(0), sizes, pa.array(n, pa.int64())],
                                              names=["doc_id", "n_bytes", "n_tokens"])
 
