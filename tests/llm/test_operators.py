@@ -377,3 +377,69 @@ def test_pipeline(spark, tmp_path):
             assert set(ids) == {r["doc_id"] for r in before.collect()}
     packed = C.run(spark, SMOKE)
     assert {r["doc_id"] for r in packed.select("doc_id").distinct().collect()} == set(ids)
+
+
+def test_long_texts_in_pieces(monkeypatch):
+    import public_tokenizers
+    from tokenizers import Tokenizer
+    path = public_tokenizers.path("word_bpe_49k.json")
+    monkeypatch.setattr(tokens, "PIECE_CHARS", 64)
+    texts = [" ".join(f"word{i * 7919 % 997}x" for i in range(k)) for k in (0, 1, 30, 500)] + ["a" * 1000 + " " + "b" * 200, "  x   y  "]
+    want = [len(Tokenizer.from_file(path).encode(t, add_special_tokens=False).ids) for t in texts]
+    assert tokens._JsonCounter(path).counts(texts) == want
+    assert list(_shared.runs([3, 9, 1, 1, 20, 0], 5)) == [(0, 1), (1, 2), (2, 4), (4, 5), (5, 6)] and not list(_shared.runs([], 5))
+
+
+def test_sample_is_each_label_s_smallest_hashes(spark):
+    from ledgerline.llm import _grams
+    docs = spark.createDataFrame([(i, f"text {i}") for i in range(3000)], "doc_id long, text string")
+    marks = docs.select("doc_id", F.when(F.col("doc_id") % 3 == 0, "a").when(F.col("doc_id") < 40, "b").when(F.col("doc_id") < 2900, "c").alias("label"))
+    rows, labels, counts = _grams.sampled_indicators(marks.unionByName(marks.limit(50)), docs, 50, True, False)
+    assert Counter(labels) == {"a": 50, "b": 26, "c": 50} and counts == {"a": 1000, "b": 26, "c": 1907}
+    ranked = marks.filter("label = 'c'").orderBy(F.xxhash64(F.col("doc_id").cast("string"))).limit(50).collect()
+    want = {tuple(np.flatnonzero(_grams.indicators(f"text {r['doc_id']}", True, False))) for r in ranked}
+    assert {tuple(r) for r, x in zip(rows, labels) if x == "c"} == want
+
+
+def test_hinge_descent_finds_the_least_loss(spark):
+    from ledgerline.llm import _grams
+    draw = np.random.default_rng(3)
+    rows = [np.sort(draw.choice(12, size=draw.integers(1, 6), replace=False)) for _ in range(60)]
+    y = np.array([1 if 3 in r or draw.random() < 0.3 else -1 for r in rows])
+    cost = np.full(60, 0.7)
+    x = np.zeros((60, 13))
+    for i, r in enumerate(rows):
+        x[i, r] = 1 / np.sqrt(len(r))
+        x[i, 12] = 1  # the bias
+
+    def loss(w):
+        return w @ w / 2 + (cost * np.maximum(0, 1 - y * (x @ w))).sum()
+
+    w, bias = _grams.hinge_descent(rows, y, cost, 12, epochs=2000)
+    found, plain, best = loss(np.append(w, bias)), np.zeros(13), np.inf
+    for step in range(1, 20001):  # plain subgradient steps over all rows
+        plain -= (plain - (cost * y * (y * (x @ plain) < 1)) @ x) / (step + 10)
+        best = min(best, loss(plain))
+    assert found <= best * 1.02
+
+
+def test_decoder_against_a_plain_loop():
+    from ledgerline.llm import _grams
+    draw = np.random.default_rng(4)
+    code = langid.codewords(5)
+    model = {"names": list("abcde"), "code": code, "weights": draw.standard_normal((_grams.SIZE, code.shape[1])).astype(np.float32),
+             "bias": draw.standard_normal(code.shape[1]), "trust": draw.random(code.shape)}
+    decode = langid._decoder(model, 0.05)
+    for text in ("some words", "Ünïcode", "x" * 400, "a b c d"):
+        seen = np.flatnonzero(_grams.indicators(text, True, False))
+        losses = []
+        for i in range(5):
+            total = 0.0
+            for b in range(code.shape[1]):
+                margin = sum(float(model["weights"][f, b]) for f in seen) / math.sqrt(len(seen)) + model["bias"][b]
+                total += model["trust"][i, b] * math.log1p(math.exp(min(30, max(-30, -2 * code[i, b] * margin))))
+            losses.append(total)
+        share = [math.exp(min(losses) - x) for x in losses]
+        share = sorted(((s / sum(share), n) for s, n in zip(share, "abcde")), reverse=True)
+        lang, score, ambiguous = decode(text)
+        assert lang == share[0][1] and abs(score - share[0][0]) < 1e-9 and ambiguous == (share[0][0] - share[1][0] < 0.05)
