@@ -115,10 +115,11 @@ def sampled_indicators(marks, docs, per_class: int, lower: bool, words: bool):
         raise ValueError(f"{labels} labels are more than a sample of {MOST_SAMPLED} documents can hold")
     counts = {r["label"]: r["n"] for r in sizes.orderBy("label").collect()}
     per_class = min(per_class, MOST_SAMPLED // labels)
+    # One row a label, MOST_SAMPLED at most: small enough to send everywhere, so no label's ids meet in one task.
     # A hash is uniform: twice the wanted share of a label (and some) holds its smallest, so few rows are ranked.
     rank = F.xxhash64(F.col("doc_id").cast("string"))
     share = F.lit(2.0 * per_class + 200) / F.col("n")
-    drawn = ids.join(sizes, "label").select("doc_id", "label", rank.alias("rank"), share.alias("share")).filter(F.col("rank") / F.lit(2.0 ** 64) + 0.5 <= F.col("share"))
+    drawn = ids.join(F.broadcast(sizes), "label").select("doc_id", "label", rank.alias("rank"), share.alias("share")).filter(F.col("rank") / F.lit(2.0 ** 64) + 0.5 <= F.col("share"))
     place = F.row_number().over(Window.partitionBy("label").orderBy("rank", "doc_id"))
     few = cut(drawn.withColumn("place", place).filter(F.col("place") <= per_class).select("doc_id", "label"))  # MOST_SAMPLED ids at most
     texts = docs.select("doc_id", "text").join(F.broadcast(few), "doc_id").groupBy("doc_id", "label").agg(F.max("text").alias("text"))
