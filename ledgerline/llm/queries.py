@@ -144,7 +144,10 @@ def _map(pairs) -> str:
 
 OP10_SQL = rf"""
 WITH a AS (SELECT doc_id, regexp_replace(translate(coalesce(text, ''), '{licenses.UPPER}', '{licenses.LOWER}'), '{licenses.TAG}', chr(10) || chr(10) || 'spdx-license-identifier \1' || chr(10) || chr(10), 'g') AS t FROM documents),
-b AS (SELECT doc_id, string_split(regexp_replace(regexp_replace(t, '{licenses.ENDS}', chr(1), 'g'), '[^0-9a-z]+', ' ', 'g'), chr(1)) AS s FROM a),
+l AS (SELECT doc_id, chr(2) || regexp_replace(regexp_replace(regexp_replace(t, '{licenses.ENDS}', chr(1), 'g'), '[^0-9a-z\x01\n]+', ' ', 'g'), '\n', chr(2), 'g') || chr(2) AS t FROM a),
+-- Every end of a line or sentence twice, so that one can close a known sentence and the other open the next.
+k AS (SELECT doc_id, regexp_replace(regexp_replace(t, '([\x01\x02])', '\1\1', 'g'), '([\x01\x02] ?){licenses.pattern("[ " + chr(92) + "x02]+")}( ?[\x01\x02])', '\1' || chr(1) || '\2\3\4' || chr(1) || '\5', 'g') AS t FROM l),
+b AS (SELECT doc_id, string_split(regexp_replace(t, '[ \x02]+', ' ', 'g'), chr(1)) AS s FROM k),
 c AS (SELECT doc_id, list_filter(list_transform(s, lambda x: trim(x)), lambda x: x <> '') AS s FROM b),
 e AS (SELECT doc_id, s, list_filter(range(1, len(s) + 1), lambda i: map_contains({_map(licenses.known().items())}, s[i])) AS spots FROM c),
 f AS (SELECT doc_id, len(s) AS n_sentences, len(spots) AS n_known, coalesce(array_to_string(list_transform(range(1, len(spots) + 1),
