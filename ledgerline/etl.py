@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from . import vocab
 from .operators import conform as C
-from .operators.marts import monthly_pnl, doctor_kpi, branch_comparison, service_economics
+from .operators.marts import branch_patients, monthly_pnl, doctor_kpi, branch_comparison, service_economics
 from .operators.quality import alerts
 from .pipeline import run_steps
 from .session import ensure_checkpoint_dir
@@ -144,10 +144,11 @@ def refresh(spark: SparkSession, root: str, dim_branch: DataFrame, cf_monthly: D
     if cf_monthly is None:
         cf_monthly = _read_or_empty(spark, at("dwh", "fact_cf_monthly"), "year_month date, branch_id int, line_item string, amount decimal(15,2)")
     cost_rows = _read_or_empty(spark, at("dwh", "fact_cost_structure"), "service_name string")
+    patients = branch_patients(fact).persist()  # a row per month and branch, counted once for two marts
     marts = {
-        "monthly_pnl": lambda: monthly_pnl(fact, cf_monthly, dim_branch, patterns),
+        "monthly_pnl": lambda: monthly_pnl(fact, cf_monthly, dim_branch, patterns, patients=patients),
         "doctor_kpi": lambda: doctor_kpi(fact, doctors, dim_branch),
-        "branch_comparison": lambda: branch_comparison(fact, dim_branch),
+        "branch_comparison": lambda: branch_comparison(fact, dim_branch, patients=patients),
         "alerts": lambda: alerts(spark.read.parquet(at("marts", "monthly_pnl"))),
     }
     if "material_cost" in cost_rows.columns:
@@ -158,7 +159,8 @@ def refresh(spark: SparkSession, root: str, dim_branch: DataFrame, cf_monthly: D
         try:
             mart = build()
             by_month = "year_month" in mart.columns
-            out[name] = write_table(mart.hint("rebalance", "year_month") if by_month else mart, at("marts", name), "overwrite", "year_month" if by_month else None)
+            out[name] = write_table(mart.hint("rebalance", "year_month") if by_month and name != "doctor_kpi" else mart, at("marts", name), "overwrite", "year_month" if by_month else None)
         except Exception as e:  # isolate, as a failed refresh must not block the rest
             out[name] = f"error: {str(e).splitlines()[0][:200]}"
+    patients.unpersist()
     return out

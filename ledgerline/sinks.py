@@ -23,6 +23,8 @@ def write_table(df: DataFrame, target: str, mode: str = "overwrite", partition_b
     obs = Observation("write")
     df = df.observe(obs, F.count(F.lit(1)).alias("rows"))
     w = df.write.mode(mode).format(fmt).option("partitionOverwriteMode", overwrite)
+    if fmt == "parquet":
+        w = w.option("compression", "zstd")
     if partition_by:
         w = w.partitionBy(*([partition_by] if isinstance(partition_by, str) else partition_by))
     if "/" in target:
