@@ -57,8 +57,8 @@ def conform_fact(tx: DataFrame, aliases: DataFrame, dim_branch: DataFrame, payme
 
 
 def _keyed(dim: DataFrame, key: str, id_col: str, to: str) -> DataFrame:
-    """(_key, to) with one row a key, the smallest id."""
-    return dim.where(F.col(key).isNotNull()).groupBy(trim_unicode(key).alias("_key")).agg(F.min(id_col).alias(to))
+    """(_key, to) with one row a key, the smallest id; broadcast while it is small, so that the fact isn't moved."""
+    return bounded_broadcast(dim.where(F.col(key).isNotNull()).groupBy(trim_unicode(key).alias("_key")).agg(F.min(id_col).alias(to)))
 
 
 def conform_api_fact(flat: DataFrame, dim_branch: DataFrame, payment_types: DataFrame, dim_service: DataFrame, dim_doctor: DataFrame) -> DataFrame:
