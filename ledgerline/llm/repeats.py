@@ -25,8 +25,8 @@ from ._shared import Scratch, cut, release
 LENGTH = 50
 GRAM = 16
 SHARD_BYTES = 1 << 20        # context bytes of a shard
-ANCHOR_SHARD_BYTES = 16 << 20  # text whose anchors meet in one shard
-RUN_BYTES = 16 << 20         # text whose anchors a batch settles by itself
+ANCHOR_SHARD_BYTES = 8 << 20  # text whose anchors meet in one shard
+RUN_BYTES = 8 << 20          # text whose anchors a batch settles by itself
 PIECE_BYTES = 1 << 18        # text whose anchors are found at once
 HOT_CONTEXTS = 20_000        # an anchor with more contexts is split up by the strings themselves
 ROUND_BYTES = 64 << 20       # contexts, and strings of hot anchors, move in rounds of so many bytes at least
@@ -378,7 +378,7 @@ def _contexts(docs: DataFrame, marks: DataFrame, kind: str, part: int = 0, parts
         import numpy as np
         import pyarrow as pa
         schema = pa.schema([("doc", pa.int64()), ("a", pa.int64()), ("hash", pa.int64()), ("name", pa.int64()), ("context", pa.binary())])
-        for batch in _runs(batches, RUN_BYTES // 4):
+        for batch in _runs(batches, RUN_BYTES // 2):
             made, context = {f: [] for f in ("doc", "a", "hash", "name")}, []
             for doc, text, places in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2)):
                 text, x = text.as_py(), _unpacked([places.as_py()], _PLACE)
